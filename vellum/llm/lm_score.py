@@ -1,0 +1,266 @@
+"""Document scores by masked pseudo-likelihood.
+
+Every word is predicted from the two before and the two after it by a small window network:
+one embedding for each class and offset, their sum through tanh, a softmax over word
+classes; the word is then drawn within its class. A document's score is the sum of the log
+probabilities of its words, each given both its sides.
+
+Words (lower-case runs without white space) are hashed into 65,536 buckets. A first pass
+counts the buckets over the whole corpus; the most frequent ones are classes of their own
+and the rest share classes of about equal mass, inside which a word has its share of the
+counts (plus one). A second pass trains: each task fits a copy of the network, in numpy,
+on the windows of its documents (a fixed share of every document's windows, drawn by a
+generator seeded with the document itself), and the copies are averaged, weighted by their
+windows, in a two-level aggregation. A third pass scores. What is gathered grows with the
+corpus: counts and a copy from every task, and windows from every document.
+
+Defined results: a null or empty text has no words, score 0 and a null mean; repeated rows
+are counted and scored each; a null doc_id is scored like any other; an empty table gives
+an empty result. Whole texts are read. Only doc_id and text are read, so other columns may
+have any name.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+from zlib import crc32
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BUCKETS = 1 << 16
+CLASSES = 256
+SINGLE = 160
+WIDTH = 24
+OFFSETS = (-2, -1, 1, 2)
+REACH = 2
+#: Share of each document's windows that is trained on, and those of one step.
+SHARE = 1 / 8
+STEP = 512
+RATE = 0.15
+SEED = 7
+BLOCK = 4096
+FAN_IN = 64
+COLUMNS = "doc_id bigint, n_words bigint, log_likelihood double, mean_log_likelihood double"
+
+
+def buckets(text: str | None) -> np.ndarray:
+    """The hash bucket of each word."""
+    found = (text or "").lower().encode().split()
+    return np.fromiter(map(crc32, found), np.uint32, len(found)) & np.uint32(BUCKETS - 1)
+
+
+def count_words(docs: DataFrame) -> np.ndarray:
+    """Occurrences of each bucket over all of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                found = buckets(text)
+                if len(found) < 4000:
+                    np.add.at(n, found, 1)
+                else:
+                    n += np.bincount(found, minlength=BUCKETS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["bucket", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    out = np.zeros(BUCKETS, np.int64)
+    for bucket, n in rows.collect():  # at most 65,536 rows
+        out[bucket] = n
+    return out
+
+
+@dataclass
+class Vocabulary:
+    """The class of each bucket, its log share of the class, and each class's share of the corpus."""
+
+    of: np.ndarray
+    within: np.ndarray
+    prior: np.ndarray
+
+
+def vocabulary(counts: np.ndarray) -> Vocabulary:
+    n = counts + 1.0
+    order = np.argsort(-n, kind="stable")
+    of = np.empty(BUCKETS, np.int16)
+    of[order[:SINGLE]] = np.arange(SINGLE)
+    rest = order[SINGLE:]
+    mass = np.cumsum(n[rest])
+    of[rest] = SINGLE + np.minimum(mass / mass[-1] * (CLASSES - SINGLE), CLASSES - SINGLE - 1).astype(np.int16)
+    total = np.bincount(of, weights=n, minlength=CLASSES)
+    return Vocabulary(of, np.log(n / total[of]).astype(np.float32), (total + 1) / (total + 1).sum())
+
+
+class Network:
+    """inputs: (offset, class or border, width); the arrays are views of one flat vector."""
+
+    SIZES = (len(OFFSETS) * (CLASSES + 1) * WIDTH, WIDTH, WIDTH * CLASSES, CLASSES)
+
+    def __init__(self, flat: np.ndarray) -> None:
+        self.flat = flat
+        a, b, c, d = np.split(flat, np.cumsum(self.SIZES)[:-1])
+        self.inputs, self.shift, self.out, self.bias = a.reshape(len(OFFSETS), CLASSES + 1, WIDTH), b, c.reshape(WIDTH, CLASSES), d
+
+    @classmethod
+    def fresh(cls, prior: np.ndarray) -> Network:
+        net = cls(np.random.default_rng(SEED).normal(0, 0.1, sum(cls.SIZES)).astype(np.float32))
+        net.shift[:] = 0
+        net.bias[:] = np.log(prior)
+        return net
+
+    def hidden(self, context: np.ndarray) -> np.ndarray:
+        """context: (offset, window)."""
+        h = self.inputs[0][context[0]]
+        for k in range(1, len(OFFSETS)):
+            h += self.inputs[k][context[k]]
+        h += self.shift
+        return np.tanh(h, out=h)
+
+    def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        z = self.hidden(context) @ self.out
+        z += self.bias
+        top = z.max(axis=1)
+        hit = z[np.arange(len(z)), target] - top
+        z -= top[:, None]
+        np.exp(z, out=z)
+        return hit - np.log(z.sum(axis=1))
+
+    def train(self, context: np.ndarray, target: np.ndarray, squares: np.ndarray, rate: float = RATE) -> None:
+        """One AdaGrad step on the mean cross-entropy; squares: the flat sums of squared gradients."""
+        h = self.hidden(context)
+        z = h @ self.out + self.bias
+        z -= z.max(axis=1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(axis=1, keepdims=True)
+        z[np.arange(len(z)), target] -= 1
+        z /= len(z)
+        grad = np.zeros_like(self.flat)
+        g = Network(grad)
+        g.out[:] = h.T @ z
+        g.bias[:] = z.sum(axis=0)
+        dh = (z @ self.out.T) * (1 - h * h)
+        g.shift[:] = dh.sum(axis=0)
+        for k in range(len(OFFSETS)):
+            np.add.at(g.inputs[k], context[k], dh)
+        squares += grad * grad
+        self.flat -= rate * grad / (np.sqrt(squares) + 1e-6)
+
+
+def windows(classes: np.ndarray) -> np.ndarray:
+    """(offset, position) classes around each position; CLASSES is beyond the text's ends."""
+    padded = np.pad(classes.astype(np.int64), REACH, constant_values=CLASSES)
+    return np.stack([padded[REACH + o : REACH + o + len(classes)] for o in OFFSETS])
+
+
+def train_corpus(docs: DataFrame, vocab: Vocabulary, share: float = SHARE) -> Network:
+    """The average of the tasks' networks."""
+    size = sum(Network.SIZES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        net, squares = Network.fresh(vocab.prior), np.full(size, 1e-4, np.float32)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = seen = 0
+
+        def spend(everything: bool) -> None:
+            nonlocal held, waiting
+            context, target = np.concatenate([c for c, _ in held], axis=1), np.concatenate([t for _, t in held])
+            order = np.random.default_rng(seen).permutation(len(target))
+            end = len(order) if everything else len(order) // STEP * STEP
+            for k in range(0, end, STEP):
+                at = order[k : k + STEP]
+                net.train(context[:, at], target[at], squares)
+            held, waiting = ([], 0) if end == len(order) else ([(context[:, order[end:]], target[order[end:]])], len(order) - end)
+
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                found = buckets(text)
+                if not len(found):
+                    continue
+                classes = vocab.of[found].astype(np.int64)
+                at = np.flatnonzero(np.random.default_rng([SEED, len(found), int(found.sum())]).random(len(found)) < share)
+                if len(at):
+                    held.append((windows(classes)[:, at], classes[at]))
+                    waiting += len(at)
+                    seen += len(at)
+                if waiting >= 64 * STEP:
+                    spend(False)
+        if waiting:
+            spend(True)
+        if seen:
+            part = TaskContext.get().partitionId()
+            parts = [net.flat[k : k + BLOCK] for k in range(0, size, BLOCK)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part % FAN_IN] * len(parts), pa.int32()), pa.array(range(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())],
+                ["branch", "block", "weight", "vec"],
+            )
+
+    def average(group: pa.Table) -> pa.Table:
+        weights = group.column("weight").to_numpy()
+        total = np.zeros(len(group.column("vec")[0].as_py()) // 4)
+        for w, v in zip(weights, group.column("vec").to_pylist(), strict=True):
+            total += w * np.frombuffer(v, np.float32)
+        out = {"branch": group.column("branch")[:1], "block": group.column("block")[:1], "weight": [int(weights.sum())], "vec": [(total / weights.sum()).astype(np.float32).tobytes()]}
+        return pa.table(out, schema=pa.schema([("branch", pa.int32()), ("block", pa.int32()), ("weight", pa.int64()), ("vec", pa.binary())]))
+
+    shape = "branch int, block int, weight bigint, vec binary"
+    copies = docs.select("text").mapInArrow(run, shape)
+    merged = copies.groupBy("branch", "block").applyInArrow(average, shape).groupBy("block").applyInArrow(average, shape)
+    found = {r["block"]: np.frombuffer(r["vec"], np.float32) for r in merged.collect()}  # one network
+    if not found:
+        return Network.fresh(vocab.prior)
+    return Network(np.concatenate([found[k] for k in range(len(found))]))
+
+
+def score_text(found: np.ndarray, vocab: Vocabulary, net: Network) -> np.ndarray:
+    """The log probability of each word, given those around it."""
+    classes = vocab.of[found].astype(np.int64)
+    context = windows(classes)
+    parts = [net.log_probability(context[:, k : k + 8192], classes[k : k + 8192]) for k in range(0, len(classes), 8192)]
+    return np.concatenate(parts) + vocab.within[found]
+
+
+def score_documents(docs: DataFrame, share: float = SHARE) -> DataFrame:
+    """One row of scores for every row of docs, under a network trained on docs. Texts are never shuffled."""
+    vocab = vocabulary(count_words(docs))
+    net = train_corpus(docs, vocab, share).flat
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Network(net)
+        for b in batches:
+            counts, sums = [], []
+            texts = b.column(1).to_pylist()
+            for k in range(0, len(texts), 256):
+                found = [buckets(t) for t in texts[k : k + 256]]
+                counts += map(len, found)
+                sums += scored_together(found, vocab, own)
+            n, s = np.array(counts, np.int64), np.array(sums, float)
+            mean = pa.array(np.divide(s, n, where=n > 0, out=np.zeros(len(n))), mask=n == 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(s), mean], ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, COLUMNS)
+
+
+def scored_together(found: list[np.ndarray], vocab: Vocabulary, net: Network) -> list[float]:
+    """The sums of score_text of several texts, computed over their concatenation."""
+    border = np.full(REACH, CLASSES, np.int64)
+    pieces = [border]
+    for f in found:
+        pieces += [vocab.of[f].astype(np.int64), border]
+    line = np.concatenate(pieces)
+    where = np.flatnonzero(line != CLASSES)
+    if not len(where):
+        return [0.0] * len(found)
+    logs = np.empty(len(where))
+    for k in range(0, len(where), 8192):
+        w = where[k : k + 8192]
+        logs[k : k + 8192] = net.log_probability(np.stack([line[w + o] for o in OFFSETS]), line[w])
+    logs += vocab.within[np.concatenate(found)]
+    ends = np.cumsum([len(f) for f in found])
+    return [float(logs[e - len(f) : e].sum()) for e, f in zip(ends, found, strict=True)]
