@@ -34,7 +34,7 @@ COSINE = 0.95
 RECALL = 0.98
 #: Vectors that a cell of the grid has on average, and the most centroids of a half.
 CELL = 32
-MOST_CENTROIDS = 1024
+MOST_CENTROIDS = 8192
 STEPS = 6
 #: Queries whose partners are searched by brute force to measure the limit, and the least partners that count.
 PROBES = 256

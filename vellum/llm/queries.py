@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embed_dedup, license_scan, lm_score, packing, pii, quality, secret_scan, simhash_dedup
+from . import bpe, embed_dedup, html_extract, license_scan, lm_score, packing, pii, quality, secret_scan, simhash_dedup
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_lm_scoring,
         op3_embedding_near_dedup,
         op4_simhash_near_dedup,
+        op5_html_extraction,
         op6_pii,
         op7_license_scans,
         op8_quality_rules,
