@@ -92,7 +92,7 @@ def courier_names(_: int, rows: Rows) -> bytes:
 
 
 @query(
-    """SELECT CAST(p_partkey AS BIGINT) AS part, CAST(i AS INTEGER) AS glyph_idx, substr(p_name, CAST(i + 1 AS INTEGER), 1) AS text, round(72 + 7.2 * i, 4) AS x0, round(72 + 7.2 * (i + 1), 4) AS x1
+    """SELECT CAST(p_partkey AS BIGINT) AS part, CAST(i AS INTEGER) AS glyph_idx, substr(p_name, CAST(i + 1 AS INTEGER), 1) AS text, round(72 + CAST(7.2 AS DOUBLE) * i, 4) AS x0, round(72 + CAST(7.2 AS DOUBLE) * (i + 1), 4) AS x1
 FROM (SELECT p_partkey, p_name, unnest(range(length(p_name))) AS i FROM part)"""
 )
 def glyph_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +134,7 @@ def rectangles(_: int, rows: Rows) -> bytes:
 
 @query(
     """SELECT CAST(l_suppkey AS BIGINT) AS doc_id, l_returnflag = 'R' AS stroke, CAST(count(*) AS BIGINT) AS n, round(sum(2 * l_quantity * 2 * round(l_tax * 100, 4)), 2) AS area,
-round(min(10 + 20 * l_linenumber), 4) AS x0, round(min(20 + 2 * round(l_discount * 100, 4)), 4) AS y0,
+CAST(min(10 + 20 * l_linenumber) AS DOUBLE) AS x0, round(min(20 + 2 * round(l_discount * 100, 4)), 4) AS y0,
 round(max(10 + 2 * (10 * l_linenumber + l_quantity)), 4) AS x1, round(max(20 + 2 * (round(l_discount * 100, 4) + round(l_tax * 100, 4))), 4) AS y1 FROM lineitem GROUP BY ALL"""
 )
 def path_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -515,7 +515,8 @@ def inherited(_: int, rows: Rows) -> bytes:
 
 
 @query(
-    """WITH p AS (SELECT n_regionkey, n_nationkey AS k, 2 * (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) + j AS i, j FROM nation, (VALUES (0), (1)) v(j))
+    """WITH o AS (SELECT n_regionkey, n_nationkey AS k, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS nth FROM nation),
+p AS (SELECT n_regionkey, k, 2 * nth + j AS i, j FROM o, (VALUES (0), (1)) v(j))
 SELECT CAST(n_regionkey AS BIGINT) AS doc_id, CAST(i AS INTEGER) AS page_idx, CAST(CASE j WHEN 0 THEN 100 + k ELSE 50 END AS DOUBLE) AS width, CAST(CASE k % 2 WHEN 1 THEN 90 ELSE 0 END AS INTEGER) AS rotate, CAST(40 AS DOUBLE) AS crop FROM p"""
 )
 def page_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -750,14 +751,14 @@ def paragraphs(_: int, rows: Rows) -> bytes:
     height = 200 + sum(60 + 12 * len(own) for own in by.values())
     y, body = height - 100, []
     for nation, own in by.items():
-        body.append(show_lines([nation, *(r["s_name"] for r in own)], size=10, leading=12, y=y))
+        body.append(show_lines([nation, *(r["s_name"] for r in own)], size=10, leading=10, y=y))
         y -= 60 + 12 * len(own)
     w.page(b"\n".join(body), font, True, MediaBox=[0, 0, 612, height])
     return w.save()
 
 
 @query(
-    f"""WITH b AS (SELECT n_regionkey, n_nationkey, n_name || chr(10) || string_agg(s_name, chr(10) ORDER BY s_suppkey) || chr(10) AS text FROM {_BY_NATION} GROUP BY ALL)
+    f"""WITH b AS (SELECT n_regionkey, n_nationkey, n_name || chr(10) || string_agg(s_name, chr(10) ORDER BY s_suppkey) || chr(10) AS text FROM {_BY_NATION} GROUP BY n_regionkey, n_nationkey, n_name)
 SELECT CAST(n_regionkey AS BIGINT) AS doc_id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS reading_index, text FROM b
 UNION ALL SELECT CAST(n_regionkey AS BIGINT), NULL, n_name || chr(10) FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)
 UNION ALL SELECT CAST(n_regionkey AS BIGINT), NULL, s_name || chr(10) FROM {_BY_NATION}"""
@@ -807,7 +808,7 @@ def cid_texts(_: int, rows: Rows) -> bytes:
     return w.save(xref="objects")
 
 
-@query(f"SELECT CAST(n_regionkey AS BIGINT) AS doc_id, {_NTH} AS page_idx, n_name AS chars, round(length(n_name) * 5.0, 4) AS width FROM nation WHERE n_name NOT LIKE '%!%'")
+@query(f"SELECT CAST(n_regionkey AS BIGINT) AS doc_id, {_NTH} AS page_idx, n_name AS chars, CAST(length(n_name) * 5 AS DOUBLE) AS width FROM nation WHERE n_name NOT LIKE '%!%'")
 def composite_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pdfs = render(grouped(table(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey", "n_name"), cid_texts)
     return relation(pdfs, "content_objects", space="default", kinds=["text"]).select("doc_id", "page_idx", "chars", F.round("displacement.x", 4).alias("width"))
