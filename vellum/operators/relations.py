@@ -57,6 +57,7 @@ SCHEMAS: dict[str, str] = {
     "layout_items": f"doc_id bigint, page_idx int, item_id int, parent_id int, kind string, ordinal int, reading_index int, writing_mode string, text string, bbox {RECT}",
     "page_text": "doc_id bigint, page_idx int, label string, text string",
     "images": f"doc_id bigint, page_idx int, item_seq int, name string, stream_id bigint, width int, height int, bits int, colorspace string, imagemask boolean, suffix string, bytes binary, bbox {RECT}",
+    "glyph_contents": f"doc_id bigint, page_idx int, item_seq int, glyph_idx int, part_seq int, object_type string, bbox {RECT}, ctm {MATRIX}, chars string",
     "page_content": "doc_id bigint, page_idx int, content binary",
 }
 #: Output rows that a worker gathers before it hands them on, and the bytes that end a batch sooner.
@@ -194,6 +195,17 @@ def glyphs(doc: Document, o: Options) -> Iterator[dict[str, Any]]:
             yield {"page_idx": p.index, "op_seq": x.seq, "item_seq": k, "xobj_path": list(x.forms), "glyph_idx": n, "cid": g.cid, "text": g.text, "matrix": _matrix(g.matrix), "dx": g.displacement[0], "dy": g.displacement[1], "bbox": _rect(g.bbox), "fontname": x.state.font.name if x.state.font else None}
 
 
+def glyph_contents(doc: Document, o: Options) -> Iterator[dict[str, Any]]:
+    """What the glyphs of Type 3 fonts paint."""
+    known: dict[int, Font] = {}
+    for p in _selected(doc, o):
+        reader = Interpreter(doc, p, o.get("space", "screen"), (TEXT, PATH, IMAGE), fonts=known)
+        for k, x in enumerate(reader):
+            for n, g in enumerate(x.glyphs):
+                for m, y in enumerate(reader.glyph_items(x, g)):
+                    yield {"page_idx": p.index, "item_seq": k, "glyph_idx": n, "part_seq": m, "object_type": y.kind, "bbox": _rect(y.bbox), "ctm": _matrix(y.ctm), "chars": y.chars or None}
+
+
 def fonts(doc: Document, o: Options) -> Iterator[dict[str, Any]]:
     known: dict[int, Font] = {}
     for p in _selected(doc, o):
@@ -277,7 +289,7 @@ READERS: dict[str, Callable[[Document, Options], Iterator[dict[str, Any]]]] = {
     f.__name__: f
     for f in (
         documents, xref_entries, objects, tokens, pages, page_ops, page_content, content_objects, glyphs, fonts, annotations, destinations, outline_items, struct_nodes, parent_tree, label_ranges,
-        name_entries, layout_items, page_text, images,
+        name_entries, layout_items, page_text, images, glyph_contents,
     )
 }
 
