@@ -1,6 +1,6 @@
 """SimHash near-dedup by random bit-sampling tables.
 
-A 128-bit fingerprint of a text's distinct words; documents within ``max_distance`` bits
+A 256-bit fingerprint of a text's distinct words; documents within ``max_distance`` bits
 belong to one group, transitively, and its least doc_id stays. Equal fingerprints are
 collapsed first, which is exact. Of the rest, each of several tables samples some bit
 positions and groups on them; a bucket beyond ``cap`` is split by additional sampled bits,
@@ -28,13 +28,15 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, components, small
 
-BITS = 128
-MAX_DISTANCE = 24
+BITS = 256
+WORDS = BITS // 64
+HALVES = [f"h{k}" for k in range(WORDS)]
+MAX_DISTANCE = 48
 CAP = 512
 EXTRA_BITS = 4
 FAN = 2
 RECALL = 0.95
-DESIGN_DISTANCE = 18
+DESIGN_DISTANCE = 36
 SEED = 20_011
 
 
@@ -46,8 +48,8 @@ def mix(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: str) -> tuple[int, int] | None:
-    """Two signed 64-bit halves; a bit is set where over half of the distinct words have it."""
+def fingerprint(text: str) -> tuple[int, ...] | None:
+    """Signed 64-bit parts; a bit is set where over half of the distinct words have it."""
     words = set(map(crc32, text.lower().encode().split()))
     if not words:
         return None
@@ -55,21 +57,21 @@ def fingerprint(text: str) -> tuple[int, int] | None:
     total = np.zeros(BITS, np.int64)
     for k in range(0, len(h), 1 << 16):
         part = h[k : k + (1 << 16)]
-        signs = np.unpackbits(np.stack([mix(part, 1), mix(part, 2)], axis=1).view(np.uint8), axis=1)
+        signs = np.unpackbits(np.stack([mix(part, k + 1) for k in range(WORDS)], axis=1).view(np.uint8), axis=1)
         total += np.add.reduce(signs, axis=0, dtype=np.int64)
-    a, b = np.packbits(2 * total > len(h)).view(np.int64)
-    return int(a), int(b)
+    return tuple(np.packbits(2 * total > len(h)).view(np.int64).tolist())
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, h0, h1) of each row that has both a doc_id and a word."""
+    """(doc_id, h0, ...) of each row that has both a doc_id and a word."""
+    names = ["doc_id", *HALVES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(i, *f) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (f := fingerprint(t))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 3, ["doc_id", "h0", "h1"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(names), names)
 
-    return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(run, "doc_id bigint, h0 bigint, h1 bigint")
+    return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
 def plan(n: int, cap: int = CAP, recall: float = RECALL, distance: int = DESIGN_DISTANCE) -> tuple[int, int]:
@@ -80,7 +82,7 @@ def plan(n: int, cap: int = CAP, recall: float = RECALL, distance: int = DESIGN_
 
 
 def masks(tables: int, bits: int) -> np.ndarray:
-    """For each table, the two 64-bit masks of its sampled positions."""
+    """For each table, the 64-bit masks of its sampled positions."""
     rng = np.random.default_rng(SEED)
     out = np.zeros((tables, BITS), np.uint8)
     for row in out:
@@ -88,9 +90,12 @@ def masks(tables: int, bits: int) -> np.ndarray:
     return np.packbits(out, axis=1).view(np.int64)
 
 
-def linked(ids: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int) -> Iterator[np.ndarray]:
+def linked(ids: np.ndarray, h: np.ndarray, distance: int) -> Iterator[np.ndarray]:
     """Of one bucket, rows (id, least id of its group) for those that are not the least."""
-    near = (np.bitwise_count(a[:, None] ^ a) + np.bitwise_count(b[:, None] ^ b)) <= distance
+    far = np.zeros((len(ids), len(ids)), np.uint16)
+    for k in range(h.shape[1]):
+        far += np.bitwise_count(h[:, None, k] ^ h[:, k])
+    near = far <= distance
     if near.sum() == len(ids):
         return
     label = np.arange(len(ids))
@@ -103,7 +108,7 @@ def linked(ids: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int) -> Iter
     yield np.stack([ids[moved], ids[label[moved]]], axis=1)
 
 
-def refined(ids: np.ndarray, a: np.ndarray, b: np.ndarray, used: np.ndarray, rng: np.random.Generator, distance: int, cap: int, fan: int) -> Iterator[np.ndarray]:
+def refined(ids: np.ndarray, h: np.ndarray, used: np.ndarray, rng: np.random.Generator, distance: int, cap: int, fan: int) -> Iterator[np.ndarray]:
     """The links of a bucket; beyond the cap, of its parts by additional bits, in fan ways."""
     if len(ids) < 2:
         return
@@ -111,41 +116,44 @@ def refined(ids: np.ndarray, a: np.ndarray, b: np.ndarray, used: np.ndarray, rng
     if len(ids) <= cap or not len(free):
         step = max(1, cap)
         if len(ids) <= step:
-            yield from linked(ids, a, b, distance)
+            yield from linked(ids, h, distance)
         else:  # all positions are used up: compare block by block
             for i in range(0, len(ids), step):
                 for j in range(i, len(ids), step):
                     k = np.r_[i : min(i + step, len(ids))] if i == j else np.r_[i : min(i + step, len(ids)), j : min(j + step, len(ids))]
-                    yield from linked(ids[k], a[k], b[k], distance)
+                    yield from linked(ids[k], h[k], distance)
         return
     for _ in range(fan):
         more = np.zeros(BITS, np.uint8)
         more[rng.choice(free, min(EXTRA_BITS, len(free)), replace=False)] = 1
-        m0, m1 = np.packbits(more).view(np.uint64)
-        _, part = np.unique(np.stack([a & m0, b & m1], axis=1), axis=0, return_inverse=True)
+        _, part = np.unique(h & np.packbits(more).view(np.uint64), axis=0, return_inverse=True)
         order = np.argsort(part.ravel(), kind="stable")
         for at in np.split(order, np.flatnonzero(np.diff(part.ravel()[order])) + 1):
-            yield from refined(ids[at], a[at], b[at], used | more, rng, distance, cap, fan)
+            yield from refined(ids[at], h[at], used | more, rng, distance, cap, fan)
 
 
 def links(fps: DataFrame, tables: int, bits: int, distance: int = MAX_DISTANCE, cap: int = CAP, fan: int = FAN) -> DataFrame:
-    """Verified links (a, b) between different fingerprints; fps has doc_id, h0, h1."""
+    """Verified links (a, b) between different fingerprints; fps has doc_id, h0, ...
+
+    A bucket is known by a hash of its table and sampled bits; should two have one hash, they
+    are verified as one.
+    """
     m = masks(tables, bits)
-    keys = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("h0").bitwiseAND(F.lit(int(m0))).alias("k0"), F.col("h1").bitwiseAND(F.lit(int(m1))).alias("k1")) for t, (m0, m1) in enumerate(m)])).alias("key")
-    rows = fps.select("doc_id", "h0", "h1", keys).select("key.t", "key.k0", "key.k1", "doc_id", "h0", "h1")
-    rows = rows.repartition("t", "k0", "k1").sortWithinPartitions("t", "k0", "k1", "doc_id")
+    keys = [F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), *(F.col(n).bitwiseAND(F.lit(int(x))) for n, x in zip(HALVES, row, strict=True))).alias("key")) for t, row in enumerate(m)]
+    rows = fps.select("doc_id", *HALVES, F.explode(F.array(*keys)).alias("of")).select("of.key", "of.t", "doc_id", *HALVES)
+    rows = rows.repartition("key").sortWithinPartitions("key", "t", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spread = np.unpackbits(m.view(np.uint8), axis=1)
         held: list[np.ndarray] = []
 
         def settle(x: np.ndarray) -> Iterator[np.ndarray]:
-            cuts = np.flatnonzero((np.diff(x[:, :3], axis=0) != 0).any(axis=1)) + 1
+            cuts = np.flatnonzero(np.diff(x[:, 0]) != 0) + 1
             sizes = np.diff(cuts, prepend=0, append=len(x))
             for at, n in zip(np.append(0, cuts)[sizes > 1], sizes[sizes > 1], strict=True):
                 g = x[at : at + n]
-                rng = np.random.default_rng([SEED, *g[0, :3].view(np.uint64).tolist()])
-                yield from refined(g[:, 3], g[:, 4].view(np.uint64), g[:, 5].view(np.uint64), spread[g[0, 0]], rng, distance, cap, fan)
+                rng = np.random.default_rng([SEED, *g[0, :1].view(np.uint64).tolist()])
+                yield from refined(g[:, 2], np.ascontiguousarray(g[:, 3:]).view(np.uint64), spread[g[0, 1]], rng, distance, cap, fan)
 
         def out(found: list[np.ndarray]) -> pa.RecordBatch:
             e = np.unique(np.concatenate(found), axis=0)
@@ -154,15 +162,14 @@ def links(fps: DataFrame, tables: int, bits: int, distance: int = MAX_DISTANCE,
         for b in batches:
             if not b.num_rows:
                 continue
-            x = np.stack([b.column(i).cast(pa.int64()).to_numpy(zero_copy_only=False) for i in range(6)], axis=1)
-            same = (x[:, :3] == x[-1, :3]).all(axis=1)
-            if same.all() and (not held or (held[-1][-1, :3] == x[0, :3]).all()):
+            x = np.stack([c.cast(pa.int64()).to_numpy(zero_copy_only=False) for c in b.columns], axis=1)
+            last = int(np.searchsorted(x[:, 0], x[-1, 0]))
+            if not last and held and held[-1][-1, 0] == x[0, 0]:
                 held.append(x)
                 continue
-            last = len(x) - int(np.argmin(same[::-1])) if not same.all() else 0
             ready = np.ascontiguousarray(np.concatenate([*held, x[:last]]))
             held = [x[last:]]
-            if found := list(settle(ready)):
+            if len(ready) and (found := list(settle(ready))):
                 yield out(found)
         if held and (found := list(settle(np.ascontiguousarray(np.concatenate(held))))):
             yield out(found)
@@ -172,13 +179,13 @@ def links(fps: DataFrame, tables: int, bits: int, distance: int = MAX_DISTANCE,
 
 def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, cap: int = CAP, fan: int = FAN, recall: float = RECALL) -> DataFrame:
     """(doc_id, group_id, kept) of every document that has a near or exact copy; group_id is the least doc_id."""
-    fps = checkpointed(fingerprints(docs).groupBy("doc_id").agg(F.min(F.struct("h0", "h1")).alias("h")).select("doc_id", "h.h0", "h.h1"))
-    firsts = checkpointed(fps.groupBy("h0", "h1").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
+    fps = checkpointed(fingerprints(docs).groupBy("doc_id").agg(F.min(F.struct(*HALVES)).alias("h")).select("doc_id", "h.*"))
+    firsts = checkpointed(fps.groupBy(*HALVES).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
     bits, tables = plan(firsts.count(), cap, recall)
-    roots = components(links(firsts.select("doc_id", "h0", "h1"), tables, bits, max_distance, cap, fan))
-    known = firsts.join(roots, firsts["doc_id"] == roots["node"], "left").select("h0", "h1", "n", F.col("doc_id").alias("first"), "root").where("n > 1 or root is not null")
+    roots = components(links(firsts.select("doc_id", *HALVES), tables, bits, max_distance, cap, fan))
+    known = firsts.join(roots, firsts["doc_id"] == roots["node"], "left").select(*HALVES, "n", F.col("doc_id").alias("first"), "root").where("n > 1 or root is not null")
     return (
-        fps.join(known, ["h0", "h1"])
+        fps.join(known, HALVES)
         .select("doc_id", F.coalesce("root", "first").alias("group_id"))
         .withColumn("kept", F.col("doc_id") == F.col("group_id"))
     )
