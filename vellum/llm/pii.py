@@ -24,6 +24,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from ipaddress import ip_address
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +39,10 @@ LABELERS = ("format", "checksum", "gazetteer", "context", "neighbour", "surround
 LOOSE: dict[str, re.Pattern[str]] = {
     "email": re.compile(r"[\w.+%-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){1,8}"),
     "iban": re.compile(r"(?i)\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
-    "ip": re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"),
+    "ip": re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)|(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:])"),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
-    "card": re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w]|\.\d)"),
-    "phone": re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w]|\.\d)|(?<![\w.])\+\d{9,14}(?!\w)"),
+    "card": re.compile(r"(?<![\w.+])\d(?:[ -]?\d){12,18}(?![\w]|\.\d)"),
+    "phone": re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w]|\.\d)|(?<![\w.])\+\d{1,3}(?:[ ./-]?\(?\d{1,5}\)?){2,7}(?![\w]|\.\d)|(?<![\w.])\(0\d{1,5}\) ?\d{4,9}(?!\w)|(?<![\w.])0\d{2,5}[ /-]\d{5,9}(?!\w)"),
 }
 KINDS = tuple(LOOSE)
 STRICT: dict[str, re.Pattern[str]] = {
@@ -50,7 +51,7 @@ STRICT: dict[str, re.Pattern[str]] = {
     "ip": re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.|$)){4}"),
     "ssn": re.compile(r"(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}"),
     "card": re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5}"),
-    "phone": re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}|\+\d{9,14}"),
+    "phone": re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}|\+\d{1,3}(?:[ ./-]?\(?\d{1,5}\)?){2,7}|\(?0\d{1,5}\)?[ /-]?\d{4,9}"),
 }
 #: Public top-level domains, calling codes, card prefixes and IBAN countries.
 DOMAINS = frozenset("com org net edu gov mil int info biz io dev app ai co me eu de fr es it nl be ch at uk us ca au nz jp cn in br mx ar cl pt pl se no fi dk ie cz ru ua za kr".split())
@@ -85,6 +86,14 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def valid_ip(s: str) -> bool:
+    try:
+        ip_address(s)
+    except ValueError:
+        return all(x.isdigit() and int(x) < 256 for x in s.split("."))
+    return True
+
+
 def loose_spans(text: str) -> list[tuple[int, int, str]]:
     """Candidates without overlap, in order of their start."""
     found: list[tuple[int, int, str]] = []
@@ -121,9 +130,11 @@ def vote(text: str, a: int, b: int, kind: str, near: bool) -> str:
     elif kind == "iban":
         check = mod97(s) or None
     elif kind == "ip":
-        check = all(int(x) < 256 for x in s.split("."))
+        check = valid_ip(s)
+        form = check if ":" in s else form
     elif kind == "phone":
-        check = 7 <= len(digits) <= 15
+        check = (8 if s[0] == "+" else 9 if s[0] in "(0" else 10) <= len(digits) <= 15
+        form = form and check
     elif kind == "ssn":
         check = form
     known: bool | None = None
