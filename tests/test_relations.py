@@ -74,12 +74,14 @@ def test_corpus_and_sinks(spark, tmp_path):
     assert [r["w"] for r in corpus.map_pages(lambda doc, page: {"w": page.mediabox[2]}, "w double").collect()] == [612, 612]
     assert '"n_pages":2' in files.metadata_json(corpus.pdfs).first()["json"]
     w = Writer()
-    im = w.stream(bytes(12), True, Subtype=Name("Image"), Width=2, Height=2, BitsPerComponent=8, ColorSpace=Name("DeviceRGB"))
+    mask = w.stream(b"\x80\x00", Subtype=Name("Image"), Width=2, Height=2, BitsPerComponent=1, ImageMask=True)
+    im = w.stream(bytes(12), True, SMask=mask, Subtype=Name("Image"), Width=2, Height=2, BitsPerComponent=8, ColorSpace=Name("DeviceRGB"))
     program = w.stream(b"program")
     font = w.add({"Type": Name("Font"), "Subtype": Name("TrueType"), "BaseFont": Name("Own"), "FontDescriptor": {"FontFile2": program}})
     w.page(b"/I Do", {"XObject": {"I": im}, "Font": {"F": font}})
     corpus = files.parse_pdf(spark, w.save())
-    (image,) = files.write_images(corpus.images, str(tmp_path / "i")).collect()
+    image, mask = sorted(files.write_images(corpus.images, str(tmp_path / "i")).collect(), key=lambda r: r["path"])
+    assert open(mask["path"], "rb").read() == b"P4\n2 2\n\x7f\xff"
     assert open(image["path"], "rb").read() == b"P6\n2 2\n255\n" + bytes(12)
     (written,) = files.write_fonts(corpus.table("fonts", programs=True), str(tmp_path / "f")).collect()
     assert os.path.basename(written["path"]).endswith("Own.ttf") and open(written["path"], "rb").read() == b"program"
@@ -94,6 +96,27 @@ def test_streaming_ingest(spark, tmp_path):
         assert spark.read.parquet(str(to)).count() == (1, 3)[k]
 
 
+def test_streams_of_events_and_files(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "e"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "e")).withColumn("ts", F.col("ts").cast("timestamp"))
+
+    def result(df, name, mode):
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(240)
+        return spark.table(name)
+
+    own = result(ingest.event_windows(stream, "1 hour"), "windows", "complete")
+    want = ingest.event_windows(events, "1 hour", streaming=False)
+    assert own.count() == want.count() and own.agg(F.sum("n")).first()[0] == events.count()
+    users = result(ingest.running_totals(stream.select("user_id", "value")), "totals", "update").groupBy("user_id").agg(F.max("n").alias("n"))
+    assert sorted(map(tuple, users.collect())) == sorted(map(tuple, events.groupBy("user_id").count().collect()))
+    (tmp_path / "f").mkdir()
+    for name in "ab":
+        (tmp_path / "f" / f"{name}.pdf").write_bytes(sample())
+    assert result(ingest.first_of_content(ingest.arriving_files(spark, str(tmp_path / "f"))).select("path"), "firsts", "append").count() == 1
+
+
 def test_geometry_columns(spark):
     df = spark.createDataFrame([(90,), (0,), (180,), (270,)], "r int").withColumn("box", G.rect(F.lit(0), F.lit(0), F.lit(400), F.lit(600)))
     from vellum.core.geometry import initial_matrix

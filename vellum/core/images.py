@@ -34,6 +34,21 @@ def tiff(data: bytes, width: int, height: int) -> bytes:
     return out + struct.pack("<I", 0) + struct.pack("<4H", 8, 8, 8, 8) + data
 
 
+def jbig2(doc: Document, stream: Stream, data: bytes) -> bytes:
+    """A file of the stream's segments, after the global ones, with the header and the end that files have."""
+    params = next((p for f, p in doc.filters(stream) if f == "JBIG2Decode"), {})
+    shared = doc.resolve(params.get("JBIG2Globals"))
+    head = b"\x97JB2\r\n\x1a\n\x01" + struct.pack(">I", 1)
+    return head + (doc.stream_bytes(shared) if isinstance(shared, Stream) else b"") + data + struct.pack(">IBBBI", 0xFFFF, 51, 0, 0, 0)
+
+
+def companions(doc: Document, stream: Stream) -> list[tuple[str, Stream]]:
+    """The masks and alternates of an image."""
+    found = [(k.lower(), doc.resolve(stream.attrs.get(k))) for k in ("Mask", "SMask")]
+    found += [(f"alternate{i}", doc.resolve(doc.dict_of(a).get("Image"))) for i, a in enumerate(doc.list_of(stream.attrs.get("Alternates")))]
+    return [(k, v) for k, v in found if isinstance(v, Stream)]
+
+
 def image_file(doc: Document, stream: Stream, attrs: dict[str, Any]) -> tuple[str, bytes]:
     """(suffix, bytes) of an image."""
     try:
@@ -43,7 +58,8 @@ def image_file(doc: Document, stream: Stream, attrs: dict[str, Any]) -> tuple[st
         return ".dat", stream.raw
     last = attrs["filters"][-1] if attrs["filters"] else None
     if last in ("DCTDecode", "JPXDecode", "JBIG2Decode"):
-        return {"DCTDecode": ".jpg", "JPXDecode": ".jp2", "JBIG2Decode": ".jb2"}[last], data
+        suffix = {"DCTDecode": ".jpg", "JPXDecode": ".jp2", "JBIG2Decode": ".jb2"}[last]
+        return suffix, jbig2(doc, stream, data) if suffix == ".jb2" else data
     w, h, bits, parts = attrs["width"], attrs["height"], attrs["bits"], attrs["components"]
     head = f"{w} {h}\n".encode()
     if attrs["colorspace"] == "Indexed":

@@ -56,7 +56,7 @@ SCHEMAS: dict[str, str] = {
     "name_entries": "doc_id bigint, tree string, ordinal int, key string, value string",
     "layout_items": f"doc_id bigint, page_idx int, item_id int, parent_id int, kind string, ordinal int, reading_index int, writing_mode string, text string, bbox {RECT}",
     "page_text": "doc_id bigint, page_idx int, label string, text string",
-    "images": f"doc_id bigint, page_idx int, item_seq int, name string, stream_id bigint, width int, height int, bits int, colorspace string, imagemask boolean, suffix string, bytes binary, bbox {RECT}",
+    "images": f"doc_id bigint, page_idx int, item_seq int, part string, name string, stream_id bigint, width int, height int, bits int, colorspace string, imagemask boolean, suffix string, bytes binary, bbox {RECT}",
     "glyph_contents": f"doc_id bigint, page_idx int, item_seq int, glyph_idx int, part_seq int, object_type string, bbox {RECT}, ctm {MATRIX}, chars string",
     "page_content": "doc_id bigint, page_idx int, content binary",
 }
@@ -277,12 +277,14 @@ def page_text(doc: Document, o: Options) -> Iterator[dict[str, Any]]:
 
 
 def images(doc: Document, o: Options) -> Iterator[dict[str, Any]]:
-    from ..core.images import image_file
+    """Each image, then its masks and alternates, as files; `part` says which of these."""
+    from ..core.images import companions, image_file
 
     for p, k, x in _items(doc, o, (IMAGE,)):
-        a = image_attrs(doc, x.stream)
-        suffix, data = image_file(doc, x.stream, a)
-        yield {"page_idx": p.index, "item_seq": k, "name": x.name, "stream_id": x.stream.objid, "width": a["width"], "height": a["height"], "bits": a["bits"], "colorspace": a["colorspace"], "imagemask": a["mask"], "suffix": suffix, "bytes": data, "bbox": _rect(x.bbox)}
+        for part, stream in [("image", x.stream), *companions(doc, x.stream)]:
+            a = image_attrs(doc, stream)
+            suffix, data = image_file(doc, stream, a)
+            yield {"page_idx": p.index, "item_seq": k, "part": part, "name": x.name, "stream_id": stream.objid, "width": a["width"], "height": a["height"], "bits": a["bits"], "colorspace": a["colorspace"], "imagemask": a["mask"], "suffix": suffix, "bytes": data, "bbox": _rect(x.bbox)}
 
 
 READERS: dict[str, Callable[[Document, Options], Iterator[dict[str, Any]]]] = {

@@ -145,12 +145,12 @@ def write_images(images: DataFrame, folder: str) -> DataFrame:
         for part in parts:
             paths = []
             for r in part.itertuples():
-                paths.append(f"{folder}/doc{r.doc_id}-page{r.page_idx + 1}-{r.item_seq}{r.suffix}")
+                paths.append(f"{folder}/doc{r.doc_id}-page{r.page_idx + 1}-{r.item_seq}-{r.part}{r.suffix}")
                 with open(paths[-1], "wb") as f:
                     f.write(r.bytes)
             yield pd.DataFrame({"doc_id": part["doc_id"], "page_idx": part["page_idx"], "path": paths})
 
-    return images.select("doc_id", "page_idx", "item_seq", "suffix", "bytes").mapInPandas(run, "doc_id bigint, page_idx int, path string")
+    return images.select("doc_id", "page_idx", "item_seq", "part", "suffix", "bytes").mapInPandas(run, "doc_id bigint, page_idx int, path string")
 
 
 def write_fonts(fonts: DataFrame, folder: str) -> DataFrame:
