@@ -760,13 +760,13 @@ def paragraphs(_: int, rows: Rows) -> bytes:
 @query(
     f"""WITH b AS (SELECT n_regionkey, n_nationkey, n_name || chr(10) || string_agg(s_name, chr(10) ORDER BY s_suppkey) || chr(10) AS text FROM {_BY_NATION} GROUP BY n_regionkey, n_nationkey, n_name)
 SELECT CAST(n_regionkey AS BIGINT) AS doc_id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS reading_index, text FROM b
-UNION ALL SELECT CAST(n_regionkey AS BIGINT), NULL, n_name || chr(10) FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)
-UNION ALL SELECT CAST(n_regionkey AS BIGINT), NULL, s_name || chr(10) FROM {_BY_NATION}"""
+UNION ALL SELECT CAST(n_regionkey AS BIGINT), -1, n_name || chr(10) FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)
+UNION ALL SELECT CAST(n_regionkey AS BIGINT), -1, s_name || chr(10) FROM {_BY_NATION}"""
 )
 def text_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     pdfs = render(grouped(rows, "n_regionkey", "n_nationkey", "n_name", "s_suppkey", "s_name"), paragraphs)
-    return relation(pdfs, "layout_items").where("kind in ('textbox', 'textline')").select("doc_id", "reading_index", "text")
+    return relation(pdfs, "layout_items").where("kind in ('textbox', 'textline')").select("doc_id", F.coalesce("reading_index", F.lit(-1)).alias("reading_index"), "text")
 
 
 def many_fonts(_: int, rows: Rows) -> bytes:
@@ -822,6 +822,111 @@ def catalog_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.reference_closure(objects, roots, rounds=3).groupBy("doc_id", "distance").agg(F.count("*").alias("n"))
 
 
+# exports, spans and searches over the relations
+
+
+@query(f"SELECT CAST(n_regionkey AS BIGINT) AS doc_id, {_NTH} AS page_idx, '<span style=\"font-family: ''Helvetica''; font-size: 12pt\">' || n_name || '</span>' AS html FROM nation")
+def styled_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pdfs = render(grouped(table(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey", "n_name"), one_name_a_page)
+    return L.styled_spans(relation(pdfs, "content_objects", kinds=["text"])).select("doc_id", "page_idx", "html")
+
+
+def drawn(_: int, rows: Rows) -> bytes:
+    w = Writer()
+    for r in rows:
+        w.page(f"{r['n_nationkey']} 0 m {r['n_nationkey'] + 5} 9 l S".encode())
+    return w.save()
+
+
+@query(f"SELECT CAST(n_regionkey AS BIGINT) AS doc_id, {_NTH} AS page_idx, 'M' || n_nationkey || '.0,0.0 L' || (n_nationkey + 5) || '.0,9.0' AS d FROM nation")
+def figure_svg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pdfs = render(grouped(table(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey"), drawn)
+    return L.svg_paths(relation(pdfs, "content_objects", space="default", kinds=["path"])).select("doc_id", "page_idx", "d")
+
+
+def hidden(_: int, rows: Rows) -> bytes:
+    """Every third text is invisible, every other third is white."""
+    w = Writer()
+    body = [b"BT /F1 8 Tf 9 TL 20 800 Td"]
+    for r in rows:
+        k = r["s_suppkey"] % 3
+        body.append((b"3 Tr 0 g ", b"0 Tr 1 g ", b"0 Tr 0 g ")[k] + latin(r["s_name"]) + b" '")
+    w.page(b"\n".join([*body, b"ET"]), {"Font": {"F1": w.core_font()}})
+    return w.save()
+
+
+@query("SELECT CAST(s_nationkey AS BIGINT) AS doc_id, s_name AS chars, CASE s_suppkey % 3 WHEN 0 THEN 'invisible' ELSE 'white' END AS why FROM supplier WHERE s_suppkey % 3 < 2")
+def hidden_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pdfs = render(grouped(table(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey", "s_name"), hidden)
+    t = relation(pdfs, "content_objects", kinds=["text"])
+    why = F.when(F.col("gstate.render_mode") == 3, "invisible").when(F.col("gstate.ncolor.values")[0] == 1, "white")
+    return t.select("doc_id", "chars", why.alias("why")).where("why is not null")
+
+
+@query(f"SELECT CAST(n_regionkey AS BIGINT) AS doc_id, min_by(n_name, n_nationkey) AS title FROM {_BY_NATION} GROUP BY 1")
+def struct_find_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.find_first(relation(supplier_trees(spark, sf_dir), "struct_nodes"), "Sect").select("doc_id", "title")
+
+
+@query(f"SELECT CAST(n_regionkey AS BIGINT) AS doc_id, kind, role, CAST(depth AS INTEGER) AS depth, CAST(n AS BIGINT) AS n FROM (SELECT n_regionkey, 'element' AS kind, 'Document' AS role, 0 AS depth, 1 AS n FROM {_BY_NATION} GROUP BY 1 UNION ALL SELECT n_regionkey, 'element', 'Sect', 1, count(DISTINCT n_name) FROM {_BY_NATION} GROUP BY 1 UNION ALL SELECT n_regionkey, 'element', 'P', 2, count(*) FROM {_BY_NATION} GROUP BY 1 UNION ALL SELECT n_regionkey, 'item', NULL, 3, count(*) FROM {_BY_NATION} GROUP BY 1)")
+def struct_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relation(supplier_trees(spark, sf_dir), "struct_nodes").groupBy("doc_id", "kind", "role", "depth").agg(F.count("*").alias("n"))
+
+
+@query("WITH b AS (SELECT c_nationkey, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i, count(*) OVER (PARTITION BY c_nationkey) AS k FROM customer) SELECT CAST(c_nationkey AS BIGINT) AS doc_id, CAST(i AS INTEGER) AS first_page, c_mktsegment AS prefix FROM b")
+def label_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pdfs = render(grouped(table(spark, sf_dir, "customer"), "c_nationkey", "c_custkey", "c_mktsegment"), same_labels)
+    return relation(pdfs, "label_ranges").select("doc_id", "first_page", "prefix")
+
+
+@query(f"SELECT CAST(n_regionkey AS BIGINT) AS doc_id, 'Dests' AS tree, n_name AS key, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1 AS INTEGER) AS ordinal FROM nation")
+def name_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relation(nation_links(spark, sf_dir), "name_entries").select("doc_id", "tree", "key", "ordinal")
+
+
+@query(f"SELECT CAST(n_regionkey AS BIGINT) AS doc_id, {_NTH} AS page_idx, md5('BT /F1 12 Tf 14 TL 72 720 Td' || chr(10) || '(' || n_name || ') Tj' || chr(10) || 'ET') AS digest FROM nation")
+def content_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pdfs = render(grouped(table(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey", "n_name"), one_name_a_page)
+    return relation(pdfs, "page_content").select("doc_id", "page_idx", F.md5("content").alias("digest"))
+
+
+@query("SELECT CAST(n_regionkey AS BIGINT) AS doc_id, CAST(count(*) AS INTEGER) AS pages, string_agg(n_name, ',' ORDER BY n_nationkey) AS texts FROM nation GROUP BY 1")
+def split_page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same texts where every two pages are a task of their own."""
+    from ..operators.relations import split_pages
+
+    pdfs = render(grouped(table(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey", "n_name"), one_name_a_page)
+    t = relation(split_pages(pdfs, 2), "page_text")
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_idx", "text"))), lambda s: s.getField("text")), ",")
+    return t.groupBy("doc_id").agg(F.count("*").cast("int").alias("pages"), said.alias("texts"))
+
+
+@query(f"SELECT CAST(n_regionkey AS BIGINT) AS doc_id, {_NTH} AS page_idx, n_name AS text FROM nation")
+def sql_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.relations import register_functions
+
+    register_functions(spark)
+    pdfs = render(grouped(table(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey", "n_name"), one_name_a_page)
+    return spark.sql("SELECT t.doc_id, t.page_idx, t.text FROM {pdfs} p, LATERAL pdf_page_text(p.doc_id, p.content) t", pdfs=pdfs)
+
+
+def with_type_3(_: int, rows: Rows) -> bytes:
+    w = Writer()
+    for r in rows:
+        side = 100 + r["n_nationkey"]
+        proc = w.stream(f"500 0 0 0 {side} {side} d1 0 0 {side} {side} re f".encode())
+        font = {"Type": Name("Font"), "Subtype": Name("Type3"), "FontMatrix": [0.001, 0, 0, 0.001, 0, 0], "FontBBox": [0, 0, side, side], "CharProcs": {"sq": proc}, "Encoding": {"Differences": [97, Name("sq")]}, "FirstChar": 97, "Widths": [500]}
+        w.page(b"BT /F 10 Tf 100 200 Td (aa) Tj ET", {"Font": {"F": w.add(font)}})
+    return w.save()
+
+
+@query(f"SELECT CAST(n_regionkey AS BIGINT) AS doc_id, {_NTH} AS page_idx, CAST(g AS INTEGER) AS glyph_idx, CAST(100 + 5 * g AS DOUBLE) AS x0, round(CAST(100 + 5 * g AS DOUBLE) + (100 + n_nationkey) / CAST(100 AS DOUBLE), 4) AS x1 FROM nation, (VALUES (0), (1)) v(g)".replace("OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)", "OVER (PARTITION BY n_regionkey, g ORDER BY n_nationkey)"))
+def type_3_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pdfs = render(grouped(table(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey"), with_type_3)
+    g = relation(pdfs, "glyph_contents", space="default")
+    return g.select("doc_id", "page_idx", "glyph_idx", F.round("bbox.x0", 4).alias("x0"), F.round("bbox.x1", 4).alias("x1"))
+
+
 # plain windows over the event table: additions, with the functions of the streams
 
 
