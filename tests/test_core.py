@@ -227,7 +227,7 @@ def test_rotation(rotate, corner):
 
 def test_matrices():
     assert multiply((2, 0, 0, 2, 0, 0), (1, 0, 0, 1, 5, 6)) == (2, 0, 0, 2, 5, 6)
-    for a in (-1, -0.5, 0, 0.5, 1):
+    for a in (-0.5, -1, 1, 0.5, 0):
         for b in (-1, 0, 1):
             x0, y0, x1, y1 = transform_rect((a, b, -b, a, 0, 0), (0, 0, 100, 100))
             assert x1 - x0 == pytest.approx(100 * (abs(a) + abs(b))) and y1 - y0 == pytest.approx(100 * (abs(a) + abs(b)))

@@ -20,10 +20,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-s", "--stream", type=int, metavar="OBJID", help="decoded bytes of a stream")
     for flag, said in (
         ("content-streams", "the pages' decoded content"), ("catalog", "the catalog as JSON"), ("content-objects", "all content objects as JSON"), ("text-objects", "text objects as JSON"), ("text", "the text of each page"),
-        ("structure", "the logical structure as JSON"), ("outline", "the outline as JSON"),
+        ("explode-text", "glyphs in place of text objects"), ("structure", "the logical structure as JSON"), ("outline", "the outline as JSON"),
     ):
         p.add_argument(f"--{flag}", action="store_true", help=said)
-    p.add_argument("--explode-text", action="store_true", help="glyphs in place of text objects")
     p.add_argument("--images", metavar="FOLDER")
     p.add_argument("--fonts", metavar="FOLDER")
     p.add_argument("--relation", choices=sorted(READERS), help="any relation, as JSON lines")

@@ -6,6 +6,7 @@ import stringprep
 import struct
 import unicodedata
 from hashlib import md5, sha256, sha384, sha512
+from itertools import cycle
 from typing import Any
 
 from .values import EncryptionProblem, Stream, WrongPassword
@@ -14,20 +15,19 @@ PAD = bytes.fromhex("28bf4e5e4e758a4164004e56fffa01082e2e00b6d0683e802f0ca9fe645
 
 
 def rc4(key: bytes, data: bytes) -> bytes:
-    s = list(range(256))
-    j = 0
-    for i in range(256):
-        j = (j + s[i] + key[i % len(key)]) & 255
-        s[i], s[j] = s[j], s[i]
-    out = bytearray(len(data))
-    i = j = 0
-    for k, c in enumerate(data):
-        i = (i + 1) & 255
-        a = s[i]
-        j = (j + a) & 255
-        b = s[j]
-        s[i], s[j] = b, a
-        out[k] = c ^ s[(a + b) & 255]
+    box, at = bytearray(range(256)), 0
+    for place, byte in zip(range(256), cycle(key), strict=False):
+        mine = box[place]
+        at = (at + mine + byte) & 255
+        box[place], box[at] = box[at], mine
+    out, at = bytearray(data), 0
+    for k in range(len(out)):
+        place = (k + 1) & 255
+        mine = box[place]
+        at = (at + mine) & 255
+        other = box[at]
+        box[place], box[at] = other, mine
+        out[k] ^= box[(mine + other) & 255]
     return bytes(out)
 
 
@@ -168,18 +168,19 @@ class Security:
         h = md5((password + PAD)[:32] + self.o + struct.pack("<I", self.p) + self.id)
         if self.r >= 4 and not self.metadata:
             h.update(b"\xff" * 4)
-        key = h.digest()
-        if self.r >= 3:
-            for _ in range(50):
-                key = md5(key[: self.size]).digest()
-        return key[: self.size]
+        return self._rehashed(h.digest(), self.size)[: self.size]
+
+    def _rehashed(self, key: bytes, n: int) -> bytes:
+        """From revision 3 on, fifty times more."""
+        for _ in range(50 * (self.r > 2)):
+            key = md5(key[:n]).digest()
+        return key
 
     def _proof(self, key: bytes) -> bytes:
-        if self.r == 2:
-            return rc4(key, PAD)
-        out = rc4(key, md5(PAD + self.id).digest())
-        for i in range(1, 20):
-            out = rc4(bytes(x ^ i for x in key), out)
+        """What a file has as U, from its key."""
+        out = PAD if self.r < 3 else md5(PAD + self.id).digest()
+        for turn in range(1 if self.r < 3 else 20):
+            out = rc4(bytes(turn ^ x for x in key), out)
         return out
 
     def _user(self, password: bytes) -> bytes | None:
@@ -191,10 +192,7 @@ class Security:
         raw = password.encode("latin-1", "replace")
         if (key := self._user(raw)) is not None:
             return key
-        own = md5((raw + PAD)[:32]).digest()
-        if self.r >= 3:
-            for _ in range(50):
-                own = md5(own).digest()
+        own = self._rehashed(md5((raw + PAD)[:32]).digest(), 16)
         own, user = own[: self.size], self.o
         for i in range(19, -1, -1) if self.r >= 3 else (0,):
             user = rc4(bytes(x ^ i for x in own), user)

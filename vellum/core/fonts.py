@@ -227,7 +227,7 @@ class Cff:
                 text = ""
                 while "x" not in text:
                     for n in (data[k] >> 4, data[k] & 15):
-                        text += ("0", "1", "2", "3", "4", "5", "6", "7", "8", "9", ".", "E", "E-", "", "-", "x")[n]
+                        text += str(n) if n < 10 else {10: ".", 11: "E", 12: "E-", 14: "-", 15: "x"}.get(n, "")
                     k += 1
                 held.append(float(text.split("x")[0] or 0))
             elif b <= 246:

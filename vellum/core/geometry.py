@@ -7,7 +7,7 @@ from collections.abc import Iterable
 Matrix = tuple[float, float, float, float, float, float]
 Rect = tuple[float, float, float, float]
 Point = tuple[float, float]
-IDENTITY: Matrix = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+IDENTITY: Matrix = (1.0, *(0.0,) * 2, 1.0, *(0.0,) * 2)
 
 
 def multiply(first: Matrix, then: Matrix) -> Matrix:
@@ -19,12 +19,13 @@ def multiply(first: Matrix, then: Matrix) -> Matrix:
 
 def moved(m: Matrix, x: float, y: float) -> Matrix:
     """m after a translation by (x, y) in its own space."""
-    a, b, c, d, e, f = m
-    return (a, b, c, d, x * a + y * c + e, x * b + y * d + f)
+    right, up = apply(m, (x, y))
+    return (*m[:4], right, up)
 
 
 def apply(m: Matrix, p: Point) -> Point:
-    return (p[0] * m[0] + p[1] * m[2] + m[4], p[0] * m[1] + p[1] * m[3] + m[5])
+    dx, dy = apply_vector(m, p)
+    return (m[4] + dx, m[5] + dy)
 
 
 def apply_vector(m: Matrix, p: Point) -> Point:

@@ -16,6 +16,8 @@ from .values import Name, PdfError, Ref, Stream, number, numbers, plain, text_of
 TEXT, PATH, IMAGE, FORM, TAG = "text", "path", "image", "xobject", "tag"
 KINDS = (TEXT, PATH, IMAGE, FORM, TAG)
 DEPTH = 32
+#: What an image fills.
+UNIT: Rect = (0.0,) * 2 + (1.0,) * 2
 
 
 @dataclass(slots=True)
@@ -214,7 +216,7 @@ class Interpreter:
                 if not isinstance(part, bytes):
                     continue
                 for cid, text in font.decode(part):
-                    here = multiply(scaling, multiply((1.0, 0.0, 0.0, 1.0, pen[0], pen[1]), multiply(line, ctm)))
+                    here = multiply(scaling, moved(multiply(line, ctm), pen[0], pen[1]))
                     start = start or here
                     step = font.advance(cid) * size + state.charspace + (state.wordspace if cid == 32 and not font.multibyte else 0.0)
                     dx, dy = (0.0, step) if vertical else (step * scale, 0.0)
@@ -224,7 +226,7 @@ class Interpreter:
                     pen[0] += dx
                     pen[1] += dy
             if wanted and start is not None:
-                stop = multiply(scaling, multiply((1.0, 0.0, 0.0, 1.0, pen[0], pen[1]), multiply(line, ctm)))
+                stop = multiply(scaling, moved(multiply(line, ctm), pen[0], pen[1]))
                 yield item(TEXT, glyphs=found, matrix=start, end=(stop[4], stop[5]), bbox=union(g.bbox for g in found))
 
         def next_line(x: float, y: float) -> None:
@@ -288,7 +290,7 @@ class Interpreter:
             own_key = doc.resolve(form.attrs.get("StructParent"))
             if kind == "Image":
                 if IMAGE in self.kinds:
-                    x = item(IMAGE, name=str(name), stream=form, bbox=transform_rect(ctm, (0.0, 0.0, 1.0, 1.0)))
+                    x = item(IMAGE, name=str(name), stream=form, bbox=transform_rect(ctm, UNIT))
                     if type(own_key) is int:
                         x.parent_key = own_key
                     yield x
@@ -395,7 +397,7 @@ class Interpreter:
                     yield from show([args[2]])
                 elif op == "EI":
                     if IMAGE in self.kinds:
-                        yield item(IMAGE, stream=args[0], bbox=transform_rect(ctm, (0.0, 0.0, 1.0, 1.0)))
+                        yield item(IMAGE, stream=args[0], bbox=transform_rect(ctm, UNIT))
                 elif op == "Do":
                     yield from invoke(args[0])
                 elif op == "BMC":
