@@ -29,8 +29,8 @@ MIN_LENGTH = 20
 MAX_RATIO = 2.1
 COLUMNS = "doc_id bigint, start bigint, stop bigint, n_tokens bigint, chars_per_token double, introduced_by string"
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
-UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-HEX = re.compile(r"[0-9a-fA-F]+")
+UUID = re.compile("[A-Fa-f0-9]{8}(?:-[A-Fa-f0-9]{4}){3}-[A-Fa-f0-9]{12}")
+HEX = re.compile("[A-Fa-f0-9]+")
 SECRET_WORD = re.compile(r"(?i)(token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth\w*|bearer|credential\w*|key)[\"']?\s{0,3}(?:[=:]|=>|:=|\s)\s{0,3}[\"'`]?$")
 DIGEST_WORD = re.compile(r"(?i)(?:md5|sha-?\d{1,3}(?:[-/]\d{3})?|digest|checksum|commit|revision|etag|integrity|hash|blake\w*)[\"']?[\s=:\-(]{1,4}[\"'`]?$")
 PLACE = re.compile(r"(?i)(?:://\S*|www\.\S*|@\S*|[\w.]/)$")
