@@ -194,7 +194,7 @@ class Security:
             return key
         own = self._rehashed(md5((raw + PAD)[:32]).digest(), 16)
         own, user = own[: self.size], self.o
-        for i in range(19, -1, -1) if self.r >= 3 else (0,):
+        for i in reversed(range(20 if self.r > 2 else 1)):
             user = rc4(bytes(x ^ i for x in own), user)
         return self._user(user)
 
@@ -206,12 +206,12 @@ class Security:
                 return Aes(digest(stored[40:48])).cbc_decrypt(bytes(wrapped)[:32], bytes(16))
         return None
 
-    def decipher(self, objid: int, genno: int, data: bytes) -> bytes:
+    def decipher(self, objid: int, revision: int, data: bytes) -> bytes:
         if self.method == "Identity":
             return data
         if self.method == "AESV3":
             return unpadded(Aes(self.key).cbc_decrypt(data[16:], data[:16])) if len(data) >= 16 else data
-        salted = self.key + struct.pack("<I", objid)[:3] + struct.pack("<I", genno)[:2] + (b"sAlT" if self.method == "AESV2" else b"")
+        salted = self.key + struct.pack("<I", objid)[:3] + struct.pack("<I", revision)[:2] + (b"sAlT" if self.method == "AESV2" else b"")
         key = md5(salted).digest()[: min(len(self.key) + 5, 16)]
         if self.method == "AESV2":
             return unpadded(Aes(key).cbc_decrypt(data[16:], data[:16])) if len(data) >= 16 else data

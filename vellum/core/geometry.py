@@ -61,5 +61,5 @@ def initial_matrix(media: Rect, rotate: int, space: str) -> Matrix:
     if space == "screen":
         return multiply(m, (1.0, 0.0, 0.0, -1.0, -x0, y1))
     if space == "page":
-        return multiply(m, (1.0, 0.0, 0.0, 1.0, -x0, -y0))
+        return (*m[:4], m[4] - x0, m[5] - y0)
     return m
