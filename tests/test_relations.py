@@ -171,3 +171,14 @@ def test_query_against_sql(spark, name):
     want = con.sql(plans.ORACLES[name])
     assert want.columns == df.columns
     assert own == sorted(repr(r) for r in want.fetchall())
+
+
+def test_the_rest_does_without_the_corpus_operators():
+    import re
+    from pathlib import Path
+
+    root = Path(__spark_entry__.__file__).parent
+    for p in (root / "vellum").rglob("*.py"):
+        if "llm" not in p.parts:
+            assert not re.search(r"(?:from|import)\s+[\w.]*\bllm\b", p.read_text()), p
+    assert set(plans.QUERIES) <= set(__spark_entry__.queries())
