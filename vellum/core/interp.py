@@ -203,7 +203,13 @@ class Interpreter:
             rise = state.rise
             wanted = TEXT in self.kinds
             found: list[Glyph] = []
-            scaling = (size * scale, 0.0, 0.0, size, 0.0, rise)
+            base = multiply(line, ctm)
+            shape = (size * scale * base[0], size * scale * base[1], size * base[2], size * base[3])
+
+            def placed() -> Matrix:
+                x, y = pen[0], pen[1] + rise
+                return (*shape, x * base[0] + y * base[2] + base[4], x * base[1] + y * base[3] + base[5])
+
             start: Matrix | None = None
             vertical = font.vertical
             for part in parts:
@@ -216,17 +222,17 @@ class Interpreter:
                 if not isinstance(part, bytes):
                     continue
                 for cid, text in font.decode(part):
-                    here = multiply(scaling, moved(multiply(line, ctm), pen[0], pen[1]))
+                    here = placed()
                     start = start or here
                     step = font.advance(cid) * size + state.charspace + (state.wordspace if cid == 32 and not font.multibyte else 0.0)
                     dx, dy = (0.0, step) if vertical else (step * scale, 0.0)
                     if wanted:
                         box = transform_rect(here, font.box(cid))
-                        found.append(Glyph(cid, text, here, apply_vector(multiply(line, ctm), (dx, dy)), box))
+                        found.append(Glyph(cid, text, here, apply_vector(base, (dx, dy)), box))
                     pen[0] += dx
                     pen[1] += dy
             if wanted and start is not None:
-                stop = multiply(scaling, moved(multiply(line, ctm), pen[0], pen[1]))
+                stop = placed()
                 yield item(TEXT, glyphs=found, matrix=start, end=(stop[4], stop[5]), bbox=union(g.bbox for g in found))
 
         def next_line(x: float, y: float) -> None:

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 Build = Callable[[int, list[dict[str, Any]]], bytes]
 
 
-def grouped(rows: DataFrame, doc_id: Column | str, *columns: str, limit_rows: int | None = None) -> DataFrame:
+def grouped(rows: DataFrame, doc_id: Column | str, *columns: str) -> DataFrame:
     """(doc_id, rows): the rows of each document, sorted by the columns given."""
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return rows.groupBy(key.cast("bigint").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("rows"))
+    # few bytes, much work: a fixed number of partitions isn't coalesced, and the aggregate needs no shuffle of its own
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = rows.select(key.cast("bigint").alias("doc_id"), F.struct(*columns).alias("row")).repartition(parts, "doc_id")
+    return own.groupBy("doc_id").agg(F.sort_array(F.collect_list("row")).alias("rows"))
 
 
 def render(groups: DataFrame, build: Build) -> DataFrame:
