@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embed_dedup, html_extract, license_scan, lm_score, packing, pii, quality, secret_scan, simhash_dedup
+from . import bpe, embed_dedup, html_extract, license_scan, packing, pii, quality, secret_scan, simhash_dedup, token_lm
 from .common import table
 
 
@@ -15,7 +15,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+    return token_lm.score_documents(table(spark, sf_dir, "documents"))
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
