@@ -56,3 +56,13 @@ def test_odd_rows(spark, tmp_path):
     assert [out[k]["n_words"] for k in range(5)] == [0, 0, 0, 1, 1]
     assert all(out[k]["log_likelihood"] == 0 and out[k]["mean_log_likelihood"] is None for k in range(3))
     assert out[3]["mean_log_likelihood"] < 0
+
+
+def test_every_window_is_trained(spark, tmp_path, monkeypatch):
+    """By default no window of a text is left out, however short the text."""
+    seen = []
+    plain = token_lm.train_corpus
+    monkeypatch.setattr(token_lm, "train_corpus", lambda rows, tree, share: seen.append(share) or plain(rows, tree, share))
+    out = scores(spark, tmp_path, ["one two", "three"])
+    assert len(out) == 2
+    assert all(token_lm.drawn(np.arange(n, dtype=np.uint16), seen[0]).all() for n in range(1, 50))

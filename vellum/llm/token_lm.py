@@ -37,8 +37,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 WIDTH = 24
 OFFSETS = (-2, -1, 1, 2)
 REACH = 2
-#: Share of each document's windows that is trained on, and those of one step.
-SHARE = 1 / 8
+#: Share of each document's windows that is trained on (all), and those of one step.
+SHARE = 1.0
 STEP = 4096
 RATE = 0.15
 SEED = 7
