@@ -6,8 +6,9 @@ collapsed first, which is exact. Of the rest, each of several tables samples som
 positions and groups on them; a bucket beyond ``cap`` is split by additional sampled bits,
 in ``fan`` different ways, again and again until its parts are within the cap; every pair
 of every final bucket is then verified. Nothing is dropped: the cap only decides when more
-bits are added. How many bits and tables there are follows from the number of different
-fingerprints by formula, so that ``recall`` holds at the design distance.
+bits are added. How many bits there are follows from the number of different fingerprints,
+and how many tables from that and from the sizes of one table's buckets, so that
+``recall`` is expected at ``max_distance`` itself, with what the splits lose counted in.
 
 Defined results: a null doc_id or text, and a text without words, belongs to no group; a
 doc_id in several rows is one document, whose least fingerprint counts, and one of
@@ -18,7 +19,8 @@ doc_id and text are read, so other columns may have any name.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Mapping
 from zlib import crc32
 
 import numpy as np
@@ -36,7 +38,6 @@ CAP = 512
 EXTRA_BITS = 4
 FAN = 2
 RECALL = 0.95
-DESIGN_DISTANCE = 36
 SEED = 20_011
 
 
@@ -74,11 +75,43 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
-def plan(n: int, cap: int = CAP, recall: float = RECALL, distance: int = DESIGN_DISTANCE) -> tuple[int, int]:
-    """Bits a table samples and the number of tables, for n different fingerprints."""
-    bits = max(12, math.ceil(math.log2(max(1, n) / cap)) if n else 0)
-    hit = math.prod((BITS - distance - i) / (BITS - i) for i in range(bits))
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - hit))
+def kept_bits(bits: int, distance: int) -> float:
+    """The chance that so many sampled bits are equal in two fingerprints at the distance."""
+    return math.prod(max(0, BITS - distance - i) / (BITS - i) for i in range(bits))
+
+
+def sampled_bits(n: int, cap: int = CAP) -> int:
+    """Bits a table samples, for n different fingerprints."""
+    return max(12, math.ceil(math.log2(max(1, n) / cap)) if n else 0)
+
+
+def split_levels(size: int, cap: int) -> int:
+    """How often a bucket of this size is expected to be split; bits aren't even, so each counts for 0.8."""
+    return max(0, math.ceil(math.log2(size / max(1, cap)) / (0.8 * EXTRA_BITS))) if size else 0
+
+
+def expected_recall(tables: int, bits: int, distance: int, rows: Mapping[int, int], fan: int = FAN) -> float:
+    """Over the rows at each number of splits, the chance that a pair at the distance meets in some table."""
+    hit, through = kept_bits(bits, distance), 1 - (1 - kept_bits(EXTRA_BITS, distance)) ** fan
+    return sum(n * (1 - (1 - hit * through**k) ** tables) for k, n in rows.items()) / sum(rows.values())
+
+
+def plan(rows: Mapping[int, int], bits: int, recall: float = RECALL, distance: int = MAX_DISTANCE, fan: int = FAN) -> int:
+    """The least number of tables for the recall; rows: how many rows lie in buckets that are split so often."""
+    tables = 1
+    while expected_recall(tables, bits, distance, rows, fan) < recall:
+        tables += 1
+    return tables
+
+
+def rows_by_splits(fps: DataFrame, bits: int, cap: int = CAP) -> dict[int, int]:
+    """The rows of one table's buckets by how often these are expected to be split."""
+    row = masks(1, bits)[0]
+    sizes = fps.groupBy(*(F.col(n).bitwiseAND(F.lit(int(x))) for n, x in zip(HALVES, row, strict=True))).agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n"))
+    out: Counter[int] = Counter()
+    for size, n in sizes.collect():  # one row for each size there is
+        out[split_levels(size, cap)] += size * n
+    return dict(out) or {0: 1}
 
 
 def masks(tables: int, bits: int) -> np.ndarray:
@@ -181,7 +214,8 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, cap: int
     """(doc_id, group_id, kept) of every document that has a near or exact copy; group_id is the least doc_id."""
     fps = checkpointed(fingerprints(docs).groupBy("doc_id").agg(F.min(F.struct(*HALVES)).alias("h")).select("doc_id", "h.*"))
     firsts = checkpointed(fps.groupBy(*HALVES).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
-    bits, tables = plan(firsts.count(), cap, recall)
+    bits = sampled_bits(firsts.count(), cap)
+    tables = plan(rows_by_splits(firsts, bits, cap), bits, recall, max_distance, fan)
     roots = components(links(firsts.select("doc_id", *HALVES), tables, bits, max_distance, cap, fan))
     known = firsts.join(roots, firsts["doc_id"] == roots["node"], "left").select(*HALVES, "n", F.col("doc_id").alias("first"), "root").where("n > 1 or root is not null")
     return (
