@@ -46,6 +46,8 @@ SEED = 7
 BLOCK = 1024
 FAN_IN = 64
 TOGETHER = 8192
+#: Nodes of the tree, the most visited ones, that a step multiplies as one matrix; the rest go path by path.
+TOP = 256
 COLUMNS = "doc_id bigint, n_words bigint, log_likelihood double, mean_log_likelihood double"
 
 
@@ -125,6 +127,7 @@ class Network:
     def __init__(self, tree: Tree, rows: np.ndarray) -> None:
         self.tree, self.rows, self.size = tree, rows, len(tree.depth)
         self.out, inputs = rows[: self.size - 1], rows[self.size - 1 :]
+        self.top = max(0, self.size - 1 - TOP)  # a node made later is visited as often or more
         self.inputs = inputs.reshape(len(OFFSETS), self.size + 1, WIDTH + 1)
 
     @classmethod
@@ -153,37 +156,59 @@ class Network:
         at = np.arange(ends[-1]) + (self.tree.start[target] - begin)[of]
         return self.tree.nodes[at], self.tree.sides[at], of, begin
 
+    def forward(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(nodes, sides, window of each, which of them lie under the tree's top, side times activation)."""
+        nodes, sides, of, _ = self.paths(target)
+        low = np.flatnonzero(nodes < self.top)
+        z = (h @ self.out[self.top :].T).ravel()[np.maximum(of * (self.size - 1 - self.top) + nodes - self.top, 0)]
+        z[low] = np.einsum("ij,ij->i", h[of[low]], self.out[nodes[low]])
+        return nodes, sides, of, low, z * sides
+
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        nodes, sides, of, begin = self.paths(target)
-        z = np.einsum("ij,ij->i", self.hidden(context)[of], self.out[nodes]) * sides
-        return np.add.reduceat(-np.logaddexp(np.float32(0), -z), begin, dtype=np.float64)
+        _, _, of, _, z = self.forward(self.hidden(context), target)
+        return np.bincount(of, weights=-np.logaddexp(np.float32(0), -z), minlength=len(target))
 
     def train(self, context: np.ndarray, target: np.ndarray, squares: np.ndarray, times: np.ndarray, rate: float = RATE) -> None:
         """One AdaGrad step of the rows that the windows touch; times: how often each was."""
         h = self.hidden(context)
-        nodes, sides, of, begin = self.paths(target)
-        w = self.out[nodes]
-        z = np.einsum("ij,ij->i", h[of], w) * sides
+        nodes, sides, of, low, z = self.forward(h, target)
         g = (-sides / (1 + np.exp(np.minimum(z, 60)))).astype(np.float32)
-        w *= g[:, None]
-        dh = np.add.reduceat(w, begin, axis=0)
+        # the top as a dense matrix (window, node), in which the nodes of a low path stay 0
+        dense = np.zeros((len(h), self.size - 1 - self.top), np.float32)
+        high = np.flatnonzero(nodes >= self.top)
+        dense[of[high], nodes[high] - self.top] = g[high]
+        dh = dense @ self.out[self.top :]
+        if len(low):
+            below = of[low]
+            cuts = np.flatnonzero(np.diff(below, prepend=-1))
+            dh[below[cuts]] += sums(self.out[nodes[low]] * g[low][:, None], cuts)
         dh *= 1 - h * h  # 0 in the last column, where h is 1
-        order = np.argsort(nodes, kind="stable")
-        push = h[of[order]]
-        push *= g[order][:, None]
-        self._move(0, nodes[order], push, squares, times, rate)
+        order = low[np.argsort(nodes[low].astype(np.uint16), kind="stable")]
+        push = h[of[order]] * g[order][:, None]
+        grad, touched = dense.T @ h, np.bincount(nodes[high] - self.top, minlength=self.size - 1 - self.top)
+        if len(order):
+            self._move(0, nodes[order], push, squares, times, rate)
+        self._step(slice(self.top, self.size - 1), grad, touched, squares, times, rate)
         for k in range(len(OFFSETS)):
             order = np.argsort(context[k].astype(np.uint16), kind="stable")
             self._move(self.size - 1 + k * (self.size + 1), context[k][order], dh[order], squares, times, rate)
 
     def _move(self, base: int, ids: np.ndarray, push: np.ndarray, squares: np.ndarray, times: np.ndarray, rate: float) -> None:
         cuts = np.flatnonzero(np.diff(ids.astype(np.int64), prepend=-1))
-        u = ids[cuts].astype(np.int64) + base
-        grad = np.add.reduceat(push, cuts, axis=0)
-        times[u] += np.diff(cuts, append=len(ids))
-        total = squares[u] + grad * grad
-        squares[u] = total
-        self.rows[u] -= rate * grad / np.sqrt(total)
+        self._step(ids[cuts].astype(np.int64) + base, sums(push, cuts), np.diff(cuts, append=len(ids)), squares, times, rate)
+
+    def _step(self, at: np.ndarray | slice, grad: np.ndarray, touched: np.ndarray, squares: np.ndarray, times: np.ndarray, rate: float) -> None:
+        times[at] += touched
+        total = squares[at] + grad * grad
+        squares[at] = total
+        self.rows[at] -= rate * grad / np.sqrt(total)
+
+
+def sums(rows: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The sum of each stretch of rows that begins at a cut; the first cut is 0."""
+    running = np.cumsum(rows, axis=0, dtype=np.float64)[np.append(cuts[1:], len(rows)) - 1]
+    running[1:] -= running[:-1].copy()
+    return running.astype(np.float32)
 
 
 def lines(texts: list[np.ndarray], border: int) -> tuple[np.ndarray, np.ndarray]:
