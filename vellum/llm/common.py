@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -41,11 +42,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df as a written table in the session's shared checkpoint folder: lineage ends there, and each
     row is computed once (checkpoint() would compute them twice).
 
-    Only where a session names no folder (tests), one of this machine is set.
+    Only where a session of a single process names no folder (tests), one of this machine is
+    set; on a cluster an unset spark.checkpoint.dir is an error.
     """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vellum-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vellum-"))
     path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -61,7 +66,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps, each one shuffle on a node, until
     nothing moves; every round is checkpointed, so a lost executor costs one round.
-    Self-loops and edges with a null end are ignored; no edges give no rows.
+    Self-loops and edges with a null end are ignored; no edges give no rows. What hasn't come
+    to rest after so many rounds (they grow with the logarithm of a group) is an error.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = checkpointed(e)
@@ -77,6 +83,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"the groups still change after {rounds} rounds")
     roots = e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 
