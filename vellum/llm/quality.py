@@ -5,8 +5,8 @@ its tokens, and the share of characters that a byte-fallback vocabulary could on
 as bytes. Each language, else each script, has a band of admissible values.
 
 Defined results: a null text, an empty text and one of white space alone are rejected
-(reason "empty"); a text of fewer than ``min_tokens`` tokens has too few for the ratios to
-mean anything and is kept; repeated rows are judged one by one; a null or unknown language
+(reason "empty"); the ratios of a short text scatter, so below ``short`` tokens its band is
+wider, the more so the fewer they are; repeated rows are judged one by one; a null or unknown language
 takes the band of the text's script, and a script without a band the default band. An
 empty table gives an empty table. Only doc_id, text and lang are read, so other columns
 may have any name.
@@ -39,6 +39,15 @@ class Band:
     min_entropy: float = 0.6
     max_entropy: float = 1.5
 
+    def widened(self, n: int, short: int) -> Band:
+        """The band for a text of n tokens. Below ``short`` it is wider: one name, number or address of up to
+        ``FOREIGN`` tokens of a character each may be in it, and the other ratios scatter."""
+        if not 0 < n < short:
+            return self
+        own, more = max(0, n - FOREIGN), 1.6 * (n**-0.5 - short**-0.5)
+        least = (self.min_chars * own + min(1.0, self.min_chars) * (n - own)) / n
+        return Band(least, self.max_chars * (1 + more), self.max_fallback + more / 2, self.min_entropy * max(0.0, 1 - more), self.max_entropy * (1 + more))
+
 
 #: By language, else by script ("Latin", ...), else "".
 BANDS: dict[str, Band] = {
@@ -57,7 +66,9 @@ BANDS: dict[str, Band] = {
     "Kana": Band(min_chars=0.3, max_fallback=0.6),
     "Hangul": Band(min_chars=0.3, max_fallback=0.6),
 }
-MIN_TOKENS = 64
+#: Tokens below which a band is widened.
+SHORT = 64
+FOREIGN = 32
 
 SCRIPTS = [
     ("Greek", "Ͱ-Ͽἀ-῿"),
@@ -112,10 +123,9 @@ def measure(text: str, path: str, fallback: str) -> tuple[int, float, float, flo
     return len(tokens), len(text) / max(1, len(tokens)), len(unspelled(fallback).findall(text)) / max(1, len(text)), entropy(tokens)
 
 
-def verdict(n: int, chars: float, share: float, ent: float, band: Band, min_tokens: int) -> str | None:
+def verdict(n: int, chars: float, share: float, ent: float, band: Band, short: int = SHORT) -> str | None:
     """Why a text goes; None: it stays."""
-    if n < min_tokens:
-        return None
+    band = band.widened(n, short)
     if chars < band.min_chars:
         return "few characters per token"
     if chars > band.max_chars:
@@ -127,7 +137,7 @@ def verdict(n: int, chars: float, share: float, ent: float, band: Band, min_toke
     return "high entropy" if ent > band.max_entropy else None
 
 
-def score_fertility(docs: DataFrame, bands: dict[str, Band] = BANDS, min_tokens: int = MIN_TOKENS, tokenizers: str = TOKENIZERS) -> DataFrame:
+def score_fertility(docs: DataFrame, bands: dict[str, Band] = BANDS, short: int = SHORT, tokenizers: str = TOKENIZERS) -> DataFrame:
     """One row of measures and a verdict for every row of docs; no shuffle."""
     path, fallback = f"{tokenizers}/{VOCABULARY}", f"{tokenizers}/{FALLBACK_VOCABULARY}"
 
@@ -141,7 +151,7 @@ def score_fertility(docs: DataFrame, bands: dict[str, Band] = BANDS, min_tokens:
                     continue
                 script = script_of(text)
                 found = measure(text, path, fallback)
-                why = verdict(*found, bands.get(lang or "-") or bands.get(script) or bands.get("") or Band(), min_tokens)
+                why = verdict(*found, bands.get(lang or "-") or bands.get(script) or bands.get("") or Band(), short)
                 rows.append((doc_id, script, len(text), *found, why is None, why))
             names = [c.split()[0] for c in COLUMNS.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 9, TYPES, strict=True)], names)
@@ -152,7 +162,7 @@ def score_fertility(docs: DataFrame, bands: dict[str, Band] = BANDS, min_tokens:
 TYPES = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.string()]
 
 
-def keep_good(docs: DataFrame, bands: dict[str, Band] = BANDS, min_tokens: int = MIN_TOKENS, tokenizers: str = TOKENIZERS) -> DataFrame:
+def keep_good(docs: DataFrame, bands: dict[str, Band] = BANDS, short: int = SHORT, tokenizers: str = TOKENIZERS) -> DataFrame:
     """The rows of docs that score_fertility keeps, whole and in place: a filter without shuffle or join.
 
     A row with a language of a dialect ("en-GB") takes the band of its script.
@@ -168,7 +178,7 @@ def keep_good(docs: DataFrame, bands: dict[str, Band] = BANDS, min_tokens: int =
                     mask.append(False)
                     continue
                 band = bands.get(lang or "-") or bands.get(script_of(text)) or bands.get("") or Band()
-                mask.append(verdict(*measure(text, path, fallback), band, min_tokens) is None)
+                mask.append(verdict(*measure(text, path, fallback), band, short) is None)
             yield b.filter(pa.array(mask, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
