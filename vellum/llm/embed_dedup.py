@@ -5,10 +5,13 @@ steps over the whole table, makes a product grid of cells. Every vector is a que
 its own cell it goes through the others by a multi-sequence traversal, in the order of a
 lower bound on how far a vector must be from the query to lie in that cell (its distance
 to the border between the two centroids, added over the halves), until the bound passes
-what the target recall asks for. That limit is measured: some query vectors are compared
-with the whole table, and their true partners' bounds are counted; where they have too few
-partners, the limit is the similarity threshold itself, which misses nothing. Vectors that
-meet in a cell are verified by their cosine. Equal vectors are collapsed first.
+what the target recall asks for. That limit is planned for the loosest pairs there are: from
+each of a sample of vectors, which grows with the table, partners are drawn at exactly the
+threshold, in random directions, and the limit is what the wanted share of them needs. The
+same sample's true partners, by comparison with the whole table, can only raise it: each
+query counts alike, whatever its number of partners, so that a dense group doesn't decide
+for the others. Vectors that meet in a cell are verified by their cosine. Equal vectors are
+collapsed first.
 
 Groups are transitive; the least vec_id of each is kept. Defined results: null, empty,
 zero and non-finite vectors, those of another length than most, and null vec_ids, belong
@@ -36,11 +39,13 @@ RECALL = 0.98
 CELL = 32
 MOST_CENTROIDS = 8192
 STEPS = 6
-#: Queries whose partners are searched by brute force to measure the limit, and the least partners that count.
+#: Queries whose partners are searched by brute force to measure the limit; a quarter of the root of the rows is added.
 PROBES = 256
-LEAST_PARTNERS = 50
+#: Partners drawn for each query.
+DRAWN = 16
 BINS = 256
 TILE = 1024
+SEED = 11
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -53,17 +58,16 @@ def matrix(column: pa.Array) -> np.ndarray:
 class Grid:
     books: tuple[np.ndarray, np.ndarray]
 
-    def __post_init__(self) -> None:
-        self.between = [np.sqrt(np.maximum(squares(b, b), 1e-12)) for b in self.books]
-
     def margins(self, vectors: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """For each half, the own centroid of each vector, and its distances to the others' borders (0 for its own)."""
         own, far = [], []
         cut = len(self.books[0][0])
-        for book, between, half in zip(self.books, self.between, (vectors[:, :cut], vectors[:, cut:]), strict=True):
+        for book, half in zip(self.books, (vectors[:, :cut], vectors[:, cut:]), strict=True):
             d = squares(half, book)
             best = d.argmin(axis=1)
-            m = (d - d[np.arange(len(d)), best][:, None]) / (2 * between[best])
+            used, at = np.unique(best, return_inverse=True)
+            between = np.sqrt(np.maximum(squares(book[used], book), 1e-12))
+            m = (d - d[np.arange(len(d)), best][:, None]) / (2 * between[at])
             m[np.arange(len(d)), best] = 0
             own.append(best)
             far.append(np.maximum(m, 0))
@@ -141,14 +145,26 @@ def partial_sums(grid: Grid):
     return run
 
 
-def measured_limit(vectors: DataFrame, grid: Grid, cosine: float, recall: float) -> float:
-    """The bound within which the wanted share of true partners lies, from PROBES queries against the whole table."""
-    probes = np.array([r["v"] for r in vectors.orderBy(F.xxhash64(F.lit(1), "vec_id"), "vec_id").select("v").limit(PROBES).collect()], np.float32)
+def drawn_bounds(probes: np.ndarray, far: list[np.ndarray], grid: Grid, cosine: float) -> np.ndarray:
+    """The bounds of partners at exactly the threshold, in random directions from each probe."""
+    rng = np.random.default_rng(SEED)
+    x = np.repeat(probes, DRAWN, axis=0)
+    away = rng.normal(size=x.shape)
+    away -= (away * x).sum(1)[:, None] * x
+    away /= np.maximum(np.linalg.norm(away, axis=1), 1e-12)[:, None]
+    own, _ = grid.margins((cosine * x + math.sqrt(1 - cosine * cosine) * away).astype(np.float32))
+    of = np.repeat(np.arange(len(probes)), DRAWN)
+    return far[0][of, own[0]] ** 2 + far[1][of, own[1]] ** 2
+
+
+def measured_limit(vectors: DataFrame, grid: Grid, n: int, cosine: float, recall: float) -> float:
+    """The bound within which the wanted share of partners lies: of drawn ones, and of each query's true ones."""
+    probes = np.array([r["v"] for r in vectors.orderBy(F.xxhash64(F.lit(1), "vec_id"), "vec_id").select("v").limit(PROBES + math.isqrt(n) // 4).collect()], np.float32)
     most = 2 - 2 * cosine
     _, far = grid.margins(probes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(BINS, np.int64)
+        found = np.zeros((len(probes), BINS), np.int64)
         for b in batches:
             x = matrix(b.column(0))
             if not len(x):
@@ -158,16 +174,20 @@ def measured_limit(vectors: DataFrame, grid: Grid, cosine: float, recall: float)
             other = near[q, at] < 0.999999
             q, at = q[other], at[other]
             s = far[0][q, own[0][at]] ** 2 + far[1][q, own[1][at]] ** 2
-            n += np.bincount(np.minimum(s / most * BINS, BINS - 1).astype(int), minlength=BINS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(BINS), pa.int32()), pa.array(n)], ["bin", "n"])
-
-    rows = vectors.select("v").mapInArrow(run, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect()
-    n = np.zeros(BINS)
-    for k, c in rows:
-        n[k] = c
-    if n.sum() < LEAST_PARTNERS:
-        return most
-    return most * (int(np.searchsorted(np.cumsum(n), recall * n.sum())) + 1) / BINS
+            np.add.at(found, (q, np.minimum(s / most * BINS, BINS - 1).astype(int)), 1)
+        q, k = np.nonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(found[q, k])], ["query", "bin", "n"])
+
+    rows = vectors.select("v").mapInArrow(run, "query int, bin int, n bigint").groupBy("query", "bin").agg(F.sum("n").alias("n")).collect()
+    found = np.zeros((len(probes), BINS))
+    for q, k, c in rows:
+        found[q, k] = c
+    limit = float(np.quantile(drawn_bounds(probes, far, grid, cosine), recall))
+    if len(found := found[found.any(axis=1)]):
+        share = np.cumsum(found, axis=1) / found.sum(axis=1)[:, None]
+        enough = int(np.searchsorted(share.mean(axis=0), recall - 1e-12))
+        limit = max(limit, most * (enough + 1) / BINS)
+    return min(most, limit)
 
 
 def linked(ids: np.ndarray, x: np.ndarray, cosine: float) -> Iterator[np.ndarray]:
@@ -248,6 +268,6 @@ def near_duplicates(table: DataFrame, cosine: float = COSINE, recall: float = RE
         return units.select("vec_id", F.col("vec_id").alias("group_id"), F.lit(True).alias("kept"))
     vectors = firsts.select("vec_id", "v")
     grid = lloyd(vectors, n)
-    roots = components(links(vectors, grid, measured_limit(vectors, grid, cosine, recall), cosine))
+    roots = components(links(vectors, grid, measured_limit(vectors, grid, n, cosine, recall), cosine))
     known = firsts.join(roots, firsts["vec_id"] == roots["node"], "left").select("v", "n", F.col("vec_id").alias("first"), "root").where("n > 1 or root is not null")
     return units.join(known, "v").select("vec_id", F.coalesce("root", "first").alias("group_id")).withColumn("kept", F.col("vec_id") == F.col("group_id"))
