@@ -13,10 +13,13 @@ A page's text is that of its slots outside navigation, header, footer, aside and
 elements and outside elements whose class names advertising or menus; its title is the
 slot of its title element. Only streams (a few bytes a token) and the hashes of slots are
 shuffled, both after map-side aggregation; wrappers are broadcast while their counted
-size allows it and joined by host otherwise.
+size allows it; beyond that the pages are joined by host, where Spark's adaptive join splits a
+hot host's pages. A long page costs memory for its nodes and, between two anchors, a byte for
+each pair of nodes.
 
 Defined results: a null or empty page has host and no text, no slots, and matched true;
-a null or unusable URL belongs to the host ""; repeated rows are extracted each; a host
+a null or unusable URL belongs to the host ""; among equally good alignments the one that goes
+on in the wrapper first counts, and of equally frequent streams the least; repeated rows are extracted each; a host
 with a single page has no template texts; a page without tags is one slot; an empty table
 gives an empty result. Whole pages are read. Only page_id, url and html are used, so other
 columns may have any name.
@@ -25,10 +28,13 @@ columns may have any name.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
+from hashlib import blake2b
 from html import unescape
-from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +49,8 @@ OUTSIDE = frozenset("head nav header footer aside form menu select button".split
 NOISE = re.compile(r"(?i)(?:^|[-_.])(?:ads?|advert\w*|banner|sponsor\w*|promo|cookie\w*|sidebar|menu|nav\w*|breadcrumb\w*|footer|share|social)(?:$|[-_.])")
 #: Bytes of wrappers up to which they are broadcast.
 BROADCAST_BYTES = 8 << 20
-#: Copies of one stretch beside each other that make a repeated group, and its longest stretch.
-LONGEST_GROUP = 24
+#: Streams of a host that one task makes a wrapper of; the wrappers of more are merged.
+PART_STREAMS = 256
 DROPPED = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|$)", re.S | re.I)
 #: A tag up to its end, where quotes may hold ">"; only for pages with such quotes.
 TAG = re.compile(r"""<(/?[a-zA-Z!?](?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)(?:>|$)|<""")
@@ -127,25 +133,31 @@ def tokens(html: str | None) -> tuple[list[str], list[str]]:
 
 
 def fold(nodes: Sequence[Node]) -> tuple[Node, ...]:
-    """Neighbouring copies of a stretch as one repeated group; innermost stretches first."""
+    """Neighbouring copies of a stretch of any length as one repeated group; shorter stretches first."""
     at = list(nodes)
-    for size in range(1, LONGEST_GROUP + 1):
-        if 2 * size > len(at):
-            break
+    numbers: dict[Node, int] = {}
+    ids = np.array([numbers.setdefault(n, len(numbers)) for n in at], np.int64)
+    size = 1
+    while 2 * size <= len(at):
+        unlike = np.flatnonzero(ids[size:] != ids[:-size])
+        # how far the list equals itself, moved by a stretch, from each place on
+        bounds = np.concatenate([[-1], unlike, [len(at) - size]])
+        if np.diff(bounds).max() - 1 < size:
+            size += 1
+            continue
         out: list[Node] = []
-        k, n = 0, len(at)
-        while k < n:
-            stretch = at[k : k + size]
-            if len(stretch) == size and at[k + size : k + 2 * size] == stretch and (size > 1 or stretch[0] != TEXT) and not (size == 1 and isinstance(stretch[0], tuple)):
-                end = k + 2 * size
-                while at[end : end + size] == stretch:
-                    end += size
-                out.append(("+", tuple(stretch)))
-                k = end
-            else:
-                out.append(at[k])
-                k += 1
+        k = 0
+        for before, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            first = max(k, before + 1)
+            if stop - first < size or size == 1 and (at[first] == TEXT or isinstance(at[first], tuple)):
+                continue
+            out += at[k:first]
+            out.append(("+", tuple(at[first : first + size])))
+            k = first + size * (1 + (stop - first) // size)
+        out += at[k:]
         at = out
+        ids = np.array([numbers.setdefault(n, len(numbers)) for n in at], np.int64)
+        size += 1
     return tuple(at)
 
 
@@ -197,54 +209,121 @@ def meet(a: Node, b: Node) -> Node | None:
 
 
 def align(wrapper: Sequence[Node], sample: Sequence[Node]) -> tuple[Node, ...]:
-    """A wrapper that accepts all that either side does, by the best alignment of their nodes."""
-    n, m = len(wrapper), len(sample)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    step: dict[tuple[int, int], tuple[int, int, Node | None]] = {}
-
-    def spans(group: Node, other: Sequence[Node], j: int) -> int:
-        """How many nodes of the other side from j on are one copy of a group's stretch."""
-        if not isinstance(group, tuple):
-            return 0
-        body = group[1]
-        if group[0] == "?" and len(body) == 1 and isinstance(body[0], tuple) and body[0][0] == "+":
-            body = body[0][1]
-        k = len(body)
-        return k if k > 1 and tuple(other[j : j + k]) == body else 0
+    """A wrapper that accepts all that either side does.
 
+    Equal nodes at both ends correspond, and so do nodes that each side has once, in the longest
+    run of them that is in one order; between two of these, the best alignment of what is left.
+    """
+    n, m = len(wrapper), len(sample)
+    low = 0
+    while low < min(n, m) and wrapper[low] == sample[low]:
+        low += 1
+    high = 0
+    while high < min(n, m) - low and wrapper[n - 1 - high] == sample[m - 1 - high]:
+        high += 1
+    mine, other = wrapper[low : n - high], sample[low : m - high]
+    out = list(wrapper[:low])
+    i = j = 0
+    for p, q in [*anchors(mine, other), (len(mine), len(other))]:
+        out += best_alignment(mine[i:p], other[j:q])
+        if p < len(mine):
+            out.append(mine[p])
+        i, j = p + 1, q + 1
+    return tuple([*out, *wrapper[n - high :]])
+
+
+def anchors(mine: Sequence[Node], other: Sequence[Node]) -> list[tuple[int, int]]:
+    """Places of the nodes that both sides have exactly once: the longest increasing run of them."""
+    once = {x for x, c in Counter(mine).items() if c == 1} & {x for x, c in Counter(other).items() if c == 1}
+    at = {x: q for q, x in enumerate(other) if x in once}
+    pairs = [(p, at[x]) for p, x in enumerate(mine) if x in once]
+    ends: list[int] = []
+    last: list[int] = []
+    back: list[int] = []
+    for k, (_, q) in enumerate(pairs):
+        t = bisect_left(ends, q)
+        back.append(last[t - 1] if t else -1)
+        ends[t : t + 1] = [q]
+        last[t : t + 1] = [k]
+    k = last[-1] if last else -1
+    out = []
+    while k >= 0:
+        out.append(pairs[k])
+        k = back[k]
+    return out[::-1]
+
+
+def best_alignment(wrapper: Sequence[Node], sample: Sequence[Node]) -> list[Node]:
+    """By dynamic programming over all pairs of nodes; of the steps, one byte a pair is kept."""
+    n, m = len(wrapper), len(sample)
+    if not n or not m:
+        return [*optional_each(wrapper), *optional_each(sample)]
+    met: dict[tuple[Node, Node], Node | None] = {}
+
+    def both(i: int, j: int) -> Node | None:
+        key = wrapper[i], sample[j]
+        if key not in met:
+            met[key] = meet(*key)
+        return met[key]
+
+    def body(group: Node) -> tuple[Node, ...]:
+        """The stretch of more than one node that a group repeats or leaves out."""
+        if isinstance(group, str):
+            return ()
+        inner = group[1]
+        if group[0] == "?" and len(inner) == 1 and isinstance(inner[0], tuple) and inner[0][0] == "+":
+            inner = inner[0][1]
+        return inner if len(inner) > 1 else ()
+
+    own, theirs = [body(g) for g in wrapper], [body(g) for g in sample]
+    longest = max(1, *map(len, [*own, *theirs]))
+    step = [bytearray(m + 1) for _ in range(n + 1)]  # 1 and 2: pass one node by; 3: they meet; 4 and 5: a group and a copy of its stretch
+    rows: dict[int, list[int]] = {}
     for i in range(n, -1, -1):
+        rows[i] = here = [0] * (m + 1)
+        rows.pop(i + longest + 1, None)
         for j in range(m, -1, -1):
-            options: list[tuple[int, int, int, Node | None]] = []
+            top, how = -1, 0
             if i < n and j < m:
-                if (both := meet(wrapper[i], sample[j])) is not None:
-                    weight = 1 if wrapper[i] == TEXT else 2
-                    options.append((weight + best[i + 1][j + 1], 1, 1, both))
-                if k := spans(wrapper[i], sample, j):
-                    options.append((2 * k + best[i + 1][j + k], 1, k, wrapper[i]))
-                if k := spans(sample[j], wrapper, i):
-                    options.append((2 * k + best[i + k][j + 1], k, 1, sample[j]))
-            if i < n:
-                options.append((best[i + 1][j], 1, 0, None))
-            if j < m:
-                options.append((best[i][j + 1], 0, 1, None))
-            if options:
-                top = max(options, key=lambda o: o[0])
-                best[i][j] = top[0]
-                step[i, j] = top[1:]
+                if both(i, j) is not None:
+                    top, how = (1 if wrapper[i] == TEXT else 2) + rows[i + 1][j + 1], 3
+                k = len(own[i])
+                if k and j + k <= m and tuple(sample[j : j + k]) == own[i] and (v := 2 * k + rows[i + 1][j + k]) > top:
+                    top, how = v, 4
+                k = len(theirs[j])
+                if k and i + k <= n and tuple(wrapper[i : i + k]) == theirs[j] and (v := 2 * k + rows[i + k][j + 1]) > top:
+                    top, how = v, 5
+            if i < n and rows[i + 1][j] > top:
+                top, how = rows[i + 1][j], 1
+            if j < m and here[j + 1] > top:
+                top, how = here[j + 1], 2
+            here[j], step[i][j] = max(top, 0), how
     out: list[Node] = []
     i = j = 0
     mine: list[Node] = []
     other: list[Node] = []
     while i < n or j < m:
-        di, dj, both = step[i, j]
-        if both is None:
-            mine += wrapper[i : i + di]
-            other += sample[j : j + dj]
+        how = step[i][j]
+        if how == 1:
+            mine.append(wrapper[i])
+            i += 1
+            continue
+        if how == 2:
+            other.append(sample[j])
+            j += 1
+            continue
+        out += [*optional_each(mine), *optional_each(other)]
+        mine, other = [], []
+        if how == 3:
+            out.append(both(i, j))  # type: ignore[arg-type]
+            i, j = i + 1, j + 1
+        elif how == 4:
+            out.append(wrapper[i])
+            i, j = i + 1, j + len(own[i])
         else:
-            out += [*optional_each(mine), *optional_each(other), both]
-            mine, other = [], []
-        i, j = i + di, j + dj
-    return tuple([*out, *optional_each(mine), *optional_each(other)])
+            out.append(sample[j])
+            i, j = i + len(theirs[j]), j + 1
+    return [*out, *optional_each(mine), *optional_each(other)]
 
 
 def optional_each(nodes: Sequence[Node]) -> list[Node]:
@@ -374,6 +453,14 @@ def infer(streams: Sequence[str]) -> str:
     return show(wrapper or ())
 
 
+def merged(lines: Sequence[str]) -> str:
+    """A wrapper that accepts all that any of these wrappers does."""
+    out = read(lines[0])
+    for line in lines[1:]:
+        out = align(out, read(line))
+    return show(out)
+
+
 def unrolled(nodes: Sequence[Node], copies: int = 1) -> list[str]:
     out: list[str] = []
     for n in nodes:
@@ -389,9 +476,8 @@ def variants(nodes: Sequence[Node]) -> Iterator[list[str]]:
 
 
 def signed(text: str) -> int:
-    """A 60-bit hash of a text."""
-    b = text.encode(errors="replace")
-    return (crc32(b) << 28) ^ (crc32(b, 0x9E3779B9) >> 4)
+    """A 64-bit hash of a text."""
+    return int.from_bytes(blake2b(text.encode(errors="replace"), digest_size=8).digest(), "big", signed=True)
 
 
 def pages_of(pages: DataFrame) -> DataFrame:
@@ -411,13 +497,19 @@ def streams(own: DataFrame) -> DataFrame:
 
 
 def wrappers(found: DataFrame) -> DataFrame:
-    """(host, wrapper) from the streams of each host."""
+    """(host, wrapper) from the streams of each host: of parts of them first, so that no task has all of a large host's."""
 
-    def run(group: pa.Table) -> pa.Table:
+    def part(group: pa.Table) -> pa.Table:
         rows = sorted(zip(group.column("n").to_pylist(), group.column("stream").to_pylist(), strict=True), key=lambda r: (-r[0], r[1]))
-        return pa.table({"host": group.column("host")[:1], "wrapper": pa.array([infer([s for _, s in rows])], pa.string())})
+        return pa.table({"host": group.column("host")[:1], "n": pa.array([sum(n for n, _ in rows)], pa.int64()), "wrapper": pa.array([infer([s for _, s in rows])], pa.string())})
+
+    def whole(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(group.column("n").to_pylist(), group.column("wrapper").to_pylist(), strict=True), key=lambda r: (-r[0], r[1]))
+        return pa.table({"host": group.column("host")[:1], "wrapper": pa.array([merged([w for _, w in rows])], pa.string())})
 
-    return found.groupBy("host").applyInArrow(run, "host string, wrapper string")
+    parts = found.groupBy("host").agg(F.ceil(F.count("*") / PART_STREAMS).alias("parts"))
+    rows = found.join(parts, "host").withColumn("part", F.expr("pmod(xxhash64(stream), parts)"))
+    return rows.groupBy("host", "part").applyInArrow(part, "host string, n bigint, wrapper string").groupBy("host").applyInArrow(whole, "host string, wrapper string")
 
 
 class Programs(dict):
