@@ -12,7 +12,8 @@ and how many tables from that and from the sizes of one table's buckets, so that
 
 Defined results: a null doc_id or text, and a text without words, belongs to no group; a
 doc_id in several rows is one document, whose least fingerprint counts, and one of
-its rows stays; equal texts have distance 0; an empty table gives an empty result. Only
+its rows stays; equal texts have distance 0; a text of any length is read whole and has one
+fingerprint; an empty table gives an empty result. Only
 doc_id and text are read, so other columns may have any name.
 """
 
@@ -228,7 +229,8 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, cap: int
 def drop_near_duplicates(docs: DataFrame, **settings: float) -> DataFrame:
     """The rows of docs without those whose group has a kept document; columns and texts as they were.
 
-    Copies of one row (one doc_id) are reduced to one, too; rows without a doc_id stay.
+    Copies of one row (one doc_id) are reduced to one, too, that of the least text, a null one last;
+    rows without a doc_id stay.
     """
     gone = checkpointed(near_duplicates(docs, **settings).where("not kept").select("doc_id"))
     again = checkpointed(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
@@ -236,5 +238,5 @@ def drop_near_duplicates(docs: DataFrame, **settings: float) -> DataFrame:
     if not (n := again.count()):
         return rest.select(docs.columns)
     marker = "row_number_" + max(docs.columns, key=len)
-    single = rest.join(small(again, n), "doc_id", "left_semi").withColumn(marker, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(marker) == 1)
+    single = rest.join(small(again, n), "doc_id", "left_semi").withColumn(marker, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))).where(F.col(marker) == 1)
     return rest.join(small(again, n), "doc_id", "left_anti").select(docs.columns).union(single.select(docs.columns))
