@@ -8,13 +8,16 @@ carries a bitmap of its sources and one of its clusters; the successor search st
 the least sufficient residual and goes on, skipping every range of residuals whose bins
 all conflict, until the tightest compatible bin is found; ties go to the oldest bin.
 
-Documents are spread over shards of about ``shard_rows`` by a hash of doc_id; a bin lies
-in one shard, so the constraints hold everywhere, and only lengths and keys are shuffled.
+Documents are spread over shards of about ``shard_rows`` by a hash of all that is known of
+them; a bin lies in one shard, so the constraints hold everywhere, the tightest bin is that
+of the shard, and only lengths and keys are shuffled. Rows that are alike in all of it are
+counted before they are shuffled and numbered after, so that none makes a hot shard.
 
 Defined results: a null or empty text has no tokens and is reported with a null bin; a
-null source or cluster conflicts with nothing; a null doc_id is packed like any other;
-repeated rows are packed each (as one cluster, so never together); an empty table gives
-an empty result. Only doc_id, text and source are read, so other columns may have any name.
+null source or cluster conflicts with nothing; a null doc_id is packed like any other, with
+its equal texts as its cluster; repeated rows are packed each (as one cluster, so never
+together); pieces of one length go by doc_id, then source and cluster; a text of any length
+is counted whole and cut into full windows and a rest; an empty table gives an empty result. Only doc_id, text and source are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, encoding
+from .common import TOKENIZERS, checkpointed, encoding, small
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CAPACITY = 2048
@@ -146,14 +149,16 @@ def token_counts(docs: DataFrame, tokenizers: str = TOKENIZERS) -> DataFrame:
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, clusters: DataFrame | None = None, tokenizers: str = TOKENIZERS) -> DataFrame:
     """One row a piece: its bin, document, number and first token in it, tokens, and its bin's tokens.
 
-    clusters (doc_id, group_id) replaces the clusters of equal texts, as near-dedup gives them.
+    clusters (doc_id, group_id), as near-dedup gives them, go before the clusters of equal texts.
     """
     rows = token_counts(docs, tokenizers)
     if clusters is not None:
-        own = clusters.select(F.col("doc_id").alias("of"), "group_id").dropDuplicates(["of"])
-        rows = rows.join(own, rows["doc_id"] == own["of"], "left").select("doc_id", "source", F.coalesce("group_id", F.lit(None)).alias("cluster"), "n_tokens")
+        own = checkpointed(clusters.select(F.col("doc_id").alias("of"), "group_id").dropDuplicates(["of"]))
+        rows = rows.join(small(own, own.count()), rows["doc_id"] == F.col("of"), "left").select("doc_id", "source", F.coalesce("group_id", "cluster").alias("cluster"), "n_tokens")
     shards = max(1, -(-docs.count() // shard_rows))
-    rows = rows.withColumn("shard", F.expr(f"pmod(xxhash64(doc_id), {shards})").cast("int"))
+    alike = ["doc_id", "source", "cluster", "n_tokens"]
+    rows = rows.groupBy(*alike).agg(F.count("*").alias("copies")).select(*alike, F.explode(F.expr("sequence(1L, copies)")).alias("copy"))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64(*alike, "copy"), F.lit(shards)).cast("int")).drop("copy")
 
     def run(group: pa.Table) -> pa.Table:
         doc, source, cluster, n, shard = (group.column(k).to_pylist() for k in ("doc_id", "source", "cluster", "n_tokens", "shard"))

@@ -11,7 +11,8 @@ from .common import table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, clusters=simhash_dedup.near_duplicates(docs))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
