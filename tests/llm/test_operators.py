@@ -1,13 +1,18 @@
 """Each operator against a brute-force version, and on nulls, empty, long, repeated and clashing input."""
 
+import math
 import random
+import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, embed_dedup, html_extract, license_scan, lm_score, packing, pii, quality, secret_scan, simhash_dedup
+from vellum.llm import bpe, embed_dedup, html_extract, license_scan, packing, pii, quality, secret_scan, simhash_dedup, token_lm
 from vellum.llm.common import TOKENIZERS, components, encoding
 
 SF = "/root/testdata/sf0.001"
@@ -32,7 +37,7 @@ def odd(spark):
 
 
 DOC_OPERATORS = {
-    "pack": packing.pack_documents, "score": lm_score.score_documents, "simhash": simhash_dedup.near_duplicates, "drop": simhash_dedup.drop_near_duplicates, "pii": pii.find_pii, "mask": pii.mask_pii,
+    "pack": packing.pack_documents, "score": token_lm.score_documents, "simhash": simhash_dedup.near_duplicates, "drop": simhash_dedup.drop_near_duplicates, "pii": pii.find_pii, "mask": pii.mask_pii,
     "license": license_scan.scan_licenses, "quality": quality.score_fertility, "keep": quality.keep_good, "secrets": secret_scan.scan_secrets, "bpe": bpe.encode_documents,
 }
 ONE_FOR_EACH = {"score", "quality", "bpe", "mask"}
@@ -93,39 +98,81 @@ def test_packed_documents(docs):
     assert all(len(s) == len(set(s)) for s in sources.values())
 
 
+def test_near_copies_never_share_a_bin(spark, docs):
+    clusters = simhash_dedup.near_duplicates(docs).cache()
+    group = {r["doc_id"]: r["group_id"] for r in clusters.collect()}
+    bins = defaultdict(list)
+    for r in packing.pack_documents(docs, clusters=clusters).collect():
+        if r["doc_id"] in group and r["bin_id"] is not None:
+            bins[r["bin_id"]].append(group[r["doc_id"]])
+    assert bins and all(len(g) == len(set(g)) for g in bins.values())
+
+
+def test_alike_rows_are_spread(spark):
+    """A third of the rows without a doc_id, and as many copies of one row, are packed each."""
+    df = spark.createDataFrame([(None, "one two three", "en", "s", 1)] * 100 + [(5, "four five", "en", None, 1)] * 100 + [(k, f"text {k}", "en", f"s{k}", 1) for k in range(1000, 1100)], DOCS)
+    rows = packing.pack_documents(df, shard_rows=32).collect()
+    assert len(rows) == 300 and Counter(r["doc_id"] for r in rows)[None] == 100 and len({r["bin_id"] >> 32 for r in rows if r["doc_id"] is None}) > 4
+    assert max(Counter((r["bin_id"], r["doc_id"]) for r in rows).values()) == 1
+
+
 # language model
 
 
 def test_scores_are_those_of_a_plain_network(docs):
-    few = docs.limit(60).coalesce(1).cache()
-    texts = {r["doc_id"]: r["text"] for r in few.collect()}
-    counts = np.zeros(lm_score.BUCKETS, np.int64)
-    for t in texts.values():
-        np.add.at(counts, lm_score.buckets(t), 1)
-    assert (counts == lm_score.count_words(few)).all()
-    vocab = lm_score.vocabulary(counts)
-    net = lm_score.train_corpus(few, vocab)
-    for r in lm_score.score_documents(few).collect():
-        found = lm_score.buckets(texts[r["doc_id"]])
-        classes = vocab.of[found]
+    """Each token's probability, node by node down its path, from loops over single numbers."""
+    few = docs.limit(40).coalesce(1).cache()
+    enc = encoding(f"{TOKENIZERS}/{token_lm.VOCABULARY}")
+    texts = {r["doc_id"]: enc.encode_ordinary(" ".join(r["text"].lower().split())) for r in few.collect()}
+    counts = Counter(t for ts in texts.values() for t in ts)
+    rows = token_lm.encoded(few).cache()
+    found = token_lm.count_tokens(rows, enc.n_vocab)
+    assert {int(k): int(found[k]) for k in np.flatnonzero(found)} == counts
+    tree = token_lm.huffman(found)
+    net = token_lm.train_corpus(rows, tree)
+    for r in token_lm.score_documents(few).collect():
+        ts = texts[r["doc_id"]]
         total = 0.0
-        for k in range(len(found)):
-            h = net.shift.astype(float).copy()
-            for i, o in enumerate(lm_score.OFFSETS):
-                h += net.inputs[i][classes[k + o] if 0 <= k + o < len(found) else lm_score.CLASSES]
-            z = np.tanh(h) @ net.out + net.bias
-            total += z[classes[k]] - np.log(np.exp(z).sum()) + vocab.within[found[k]]
+        for k in range(len(ts)):
+            h = np.zeros(token_lm.WIDTH)
+            for i, o in enumerate(token_lm.OFFSETS):
+                h += net.inputs[i][ts[k + o] if 0 <= k + o < len(ts) else enc.n_vocab][: token_lm.WIDTH].astype(float)
+            h = np.append(np.tanh(h), 1)
+            at = slice(tree.start[ts[k]], tree.start[ts[k]] + tree.depth[ts[k]])
+            for node, side in zip(tree.nodes[at], tree.sides[at], strict=True):
+                total -= np.log1p(np.exp(-side * (h @ net.out[node].astype(float))))
         assert r["log_likelihood"] == pytest.approx(total, rel=1e-3, abs=1e-2)
 
 
+def test_a_step_is_the_gradient_of_the_scores():
+    """One step against finite differences, for nodes at the tree's top and below it."""
+    rng = np.random.default_rng(8)
+    size = token_lm.TOP + 200
+    tree = token_lm.huffman(rng.integers(0, 1000, size))
+    rows = token_lm.Network.fresh(tree).rows.astype(np.float64)
+    rows[: size - 1] += rng.normal(0, 0.3, (size - 1, token_lm.WIDTH + 1))
+    context, target = rng.integers(0, size, (4, 300)), rng.integers(0, size, 300)
+    net = token_lm.Network(tree, rows.copy())
+    squares, times = np.zeros_like(rows), np.zeros(len(rows))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        net.train(context, target, squares, times, rate=0.0)
+    touched = np.argwhere(squares > 1e-6)
+    for r, c in touched[rng.choice(len(touched), 40, replace=False)]:
+        around = []
+        for d in (-1e-4, 1e-4):
+            moved = rows.copy()
+            moved[r, c] += d
+            around.append(token_lm.Network(tree, moved).log_probability(context, target).sum())
+        assert squares[r, c] ** 0.5 == pytest.approx(abs(around[1] - around[0]) / 2e-4, rel=1e-2, abs=1e-3)
+
+
 def test_the_network_learns(docs):
-    """Held-out texts are likelier under their own order than shuffled."""
-    train, held = docs.where("doc_id % 5 <> 0"), [r["text"] for r in docs.where("doc_id % 5 = 0 and lang = 'en'").collect()]
-    vocab = lm_score.vocabulary(lm_score.count_words(train))
-    net = lm_score.train_corpus(train, vocab)
-    flat = lm_score.Network.fresh(vocab.prior)
-    found = [b for t in held if len(b := lm_score.buckets(t)) > 5]
-    assert sum(lm_score.score_text(b, vocab, net).sum() for b in found) > sum(lm_score.score_text(b, vocab, flat).sum() for b in found)
+    """Held-out texts are likelier under the trained network than under the corpus's counts alone."""
+    rows = token_lm.encoded(docs.where("doc_id % 5 <> 0 and lang = 'en'")).cache()
+    held = [np.frombuffer(r["tokens"], np.uint16) for r in token_lm.encoded(docs.where("doc_id % 5 = 0 and lang = 'en'")).collect()]
+    tree = token_lm.huffman(token_lm.count_tokens(rows, encoding(f"{TOKENIZERS}/{token_lm.VOCABULARY}").n_vocab))
+    net = token_lm.train_corpus(rows, tree)
+    assert token_lm.scored(held, net).sum() > token_lm.scored(held, token_lm.Network.fresh(tree)).sum()
 
 
 # embeddings
@@ -165,6 +212,23 @@ def test_embedding_recall(spark):
     assert all(sizes[truth[i]] > 1 for i in found)
 
 
+def test_loose_pairs_beside_a_dense_group(spark):
+    """Pairs near the threshold are found whatever a hot group's own partners ask for."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.normal(size=(500, 32))
+    away -= (away * x[:500]).sum(1)[:, None] * x[:500]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    y = 0.952 * x[:500] + np.sqrt(1 - 0.952**2) * away
+    hot = x[-1] + rng.normal(size=(1500, 32)) * 0.01
+    v = np.concatenate([x, y, hot])
+    df = spark.createDataFrame([(int(i), w.tolist()) for i, w in enumerate(v)], "vec_id bigint, embedding array<float>")
+    found = {r["vec_id"]: r["group_id"] for r in embed_dedup.near_duplicates(df).collect()}
+    assert sum(found.get(k) == found.get(3000 + k, -1) for k in range(500)) >= 470
+    assert len({found.get(3500 + k) for k in range(1500)}) == 1
+
+
 def test_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (None, [1.0, 0.0]), (1, [1.0, 0.0]), (7, [1.0, 2.0, 3.0]), (8, [0.0, 1.0]), (9, [None, 1.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumns({c: F.lit(1) for c in ("v", "cell", "n", "label")})
@@ -214,6 +278,11 @@ def test_simhash_oversized_buckets(spark):
     assert sum(found.get(a) == found.get(b, -1) for a, b in near) >= 0.9 * len(near)
 
 
+def test_a_null_text_never_wins(spark):
+    df = spark.createDataFrame([(1, None), (1, "some text"), (2, None)], "doc_id bigint, text string")
+    assert sorted(map(tuple, simhash_dedup.drop_near_duplicates(df).collect()), key=str) == [(1, "some text"), (2, None)]
+
+
 def test_one_of_each_group_stays(spark):
     text = " ".join(f"word{k}" for k in range(80))
     rows = [(5, text), (3, text), (4, text + " more"), (9, "something else entirely"), (None, text), (3, text), (7, None)]
@@ -284,6 +353,25 @@ def test_pages_by_one_process(spark):
     assert {r["page_id"]: tuple(r) for r in html_extract.extract_pages(df).collect()} == want
 
 
+def test_long_stretches_fold_and_long_pages_align():
+    card = "<div class=card>" + "".join(f"<p class=c{k}>x</p><h{k % 6 + 1}>t</h{k % 6 + 1}>" for k in range(20)) + "</div>"
+    assert len(html_extract.fold(html_extract.tokens(card * 5)[0])) == 1
+    r = random.Random(5)
+    for n in (300, 4000):
+        a = [r.choice("abcdefgh") for _ in range(n)]
+        b = [x if r.random() > 0.05 else r.choice("abcdefgh") for x in a]
+        wrapper = html_extract.Wrapper(html_extract.align(html_extract.fold(a), html_extract.fold(b)))
+        assert wrapper.match(a) is not None and wrapper.match(b) is not None
+
+
+def test_wrappers_of_many_streams_are_merged(spark, monkeypatch):
+    r = random.Random(7)
+    lines = ["<div>" + "".join(r.choice(["<p>x", "<h1>t</h1>", "<ul><li>a<li>b</ul>", "<table><tr><td>1</table>"]) for _ in range(r.randint(1, 6))) + "</div>" for _ in range(60)]
+    df = spark.createDataFrame([(k, "http://h/" if k % 3 else None, t) for k, t in enumerate(lines)], PAGES)
+    monkeypatch.setattr(html_extract, "PART_STREAMS", 5)
+    assert all(x["matched"] for x in html_extract.extract_pages(df).collect())
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "nonsense", ""), (None, "http://a/", "text only"), (3, "http://a/", "<p>" * 5000 + "x"), (4, "http://b/", "<" * 1000), (4, "http://b/", "<" * 1000), (5, "HTTP://User@B:80/x", "<p a='>' b=\">\">q</p><!-- open")]
     df = spark.createDataFrame(rows, PAGES).withColumns({c: F.lit(1) for c in ("host", "n", "stream", "wrapper", "slot", "template", "text")})
@@ -296,6 +384,53 @@ def test_odd_pages(spark):
 # personal data
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("\u212a\u0130\u0131\u00df\u00b2\u0663 0123456789ABcd:.@-+()")), max_size=80))
+def test_any_text_has_its_candidates(text):
+    """No text crashes a labeler, and none that the JVM leaves out has a candidate."""
+    found = pii.candidates(text)
+    assert re.search(pii.TRIGGER, text) or not found
+    for a, b, kind, pattern in found:
+        assert 0 <= a < b <= len(text) and kind in pii.KINDS and len(pattern) == len(pii.LABELERS) + 2
+
+
+def test_reliabilities_are_found():
+    """EM on votes drawn from known reliabilities, by kind."""
+    r = random.Random(6)
+    truth = {"card": (0.3, [0.95, 0.9, 0.7, 0.8, 0.6, 0.75]), "phone": (0.8, [0.7, 0.95, 0.9, 0.6, 0.8, 0.85])}
+    counts, right = Counter(), Counter()
+    for kind, (rate, good) in truth.items():
+        for _ in range(20_000):
+            real = r.random() < rate
+            pattern = "".join("." if r.random() < 0.1 else "+" if (r.random() < g) == real else "-" for g in good) + "21"
+            counts[kind, pattern] += 1
+            right[kind, pattern, real] += 1
+    model = pii.fit(counts)
+    for kind, (rate, good) in truth.items():
+        assert model.rate[kind] == pytest.approx(rate, abs=0.04)
+        for name, g in zip(pii.LABELERS, good, strict=True):
+            assert model.reliability[kind, name] == (pytest.approx(g, abs=0.06), pytest.approx(g, abs=0.06))
+    hit = sum(n for (kind, pattern, real), n in right.items() if (model.probability(kind, pattern) >= 0.5) == real)
+    best = sum(max(right[kind, pattern, True], right[kind, pattern, False]) for kind, pattern in counts)
+    assert hit >= 0.98 * best
+
+
+def test_planted_personal_data(spark):
+    """Exactly what was planted is found, whatever patterns find it."""
+    r = random.Random(3)
+    rows, want = [], set()
+    for k in range(300):
+        words = r.choices("the of and house road under over green many".split(), k=30)
+        if k % 3 == 0:
+            kind, value = r.choice([("email", f"jo.{k}@mail.example.com"), ("ip", f"{r.randint(1, 99)}.{r.randint(0, 255)}.{r.randint(0, 255)}.{r.randint(1, 255)}"), ("phone", f"+1 ({r.randint(200, 999)}) 555-{r.randint(1000, 9999)}"), ("ip", f"2001:db8::{k + 1:x}"), ("ip", "dead:beef::cafe")])
+            words.insert(r.randint(0, 30), value)
+            start = " ".join(words).index(value)
+            want.add((k, start, start + len(value), kind))
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {tuple(x)[:4] for x in pii.find_pii(df).collect()} == want
+
+
 def test_pii_by_brute_force(docs):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     spans = [(i, *s) for i, t in texts.items() for s in pii.candidates(t)]
@@ -319,18 +454,35 @@ def test_pii_kinds(spark):
 # licences, quality, secrets, BPE
 
 
+def licenses_by_force(doc_id, text):
+    """Every run of lines with words against every template; then those that hold no shorter one."""
+    lines = [re.findall("[a-z0-9]+", line) for line in text.lower().split("\n")]
+    found = []
+    for a in range(len(lines)):
+        for z in range(a + 1, len(lines) + 1):
+            if not lines[z - 1]:
+                break
+            own = [w for line in lines[a:z] for w in line]
+            for name, t in license_scan.TEMPLATES.items():
+                words = set(re.findall("[a-z0-9]+", t.lower()))
+                n = len(words & set(own))
+                if (z == a + 1 or len(own) <= 2 * len(words)) and n >= 0.8 * len(words) - 1e-9:
+                    found.append((doc_id, a, z - a, name, n, len(words), n / len(words)))
+            if len(own) > 140:
+                break
+    return [x for x in found if not any(y[3] == x[3] and y[1] >= x[1] and y[1] + y[2] <= x[1] + x[2] and y[2] < x[2] for y in found)]
+
+
 def test_licenses_against_all_pairs(spark, docs):
     rows = sorted(map(tuple, license_scan.scan_licenses(docs).collect()))
-    want = []
-    for d in docs.collect():
-        for k, line in enumerate(d["text"].lower().split("\n")):
-            own = set(license_scan.words(line))
-            for name, t in license_scan.TEMPLATES.items():
-                words = set(license_scan.words(t))
-                n = len(words & own)
-                if n >= license_scan.needed(len(words), license_scan.THRESHOLD):
-                    want.append((d["doc_id"], k, name, n, len(words), n / len(words)))
-    assert rows == sorted(want) and rows
+    assert rows == sorted(x for d in docs.collect() for x in licenses_by_force(d["doc_id"], d["text"])) and rows
+
+
+def test_wrapped_licenses(spark):
+    texts = [f"some words\n\n{pre}" + textwrap.fill(t, width).replace("\n", f"\n{pre}") + "\nand on it goes" for t in license_scan.TEMPLATES.values() for width, pre in ((80, ""), (72, "# "), (40, " * "))]
+    rows = sorted(map(tuple, license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()))
+    assert {r[0] for r in rows} == set(range(len(texts)))
+    assert rows == sorted(x for k, t in enumerate(texts) for x in licenses_by_force(k, t))
 
 
 def test_quality_keeps_good_documents(spark, docs):
@@ -343,14 +495,35 @@ def test_quality_keeps_good_documents(spark, docs):
     assert {r["doc_id"] for r in quality.keep_good(docs).collect()} == kept
 
 
-def test_quality_measures():
-    path, fallback = f"{TOKENIZERS}/{quality.VOCABULARY}", f"{TOKENIZERS}/{quality.FALLBACK_VOCABULARY}"
-    enc = encoding(path)
-    for t in ("the cat sat on the mat", "日本語", "ab\U000e0001"):
-        n, chars, share, _ = quality.measure(t, path, fallback)
-        assert n == len(enc.encode_ordinary(t)) and chars == len(t) / n and 0 <= share <= 1
-    counts = np.array([3, 1], float)
-    assert quality.entropy(np.array([1, 1, 1, 2])) == pytest.approx(-(counts / 4 * np.log2(counts / 4)).sum() / 2)
+def test_quality_against_plain_measures(docs):
+    """Each row from the vocabularies' own tools: pieces by sentencepiece, entropy by a loop."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=f"{TOKENIZERS}/{quality.FALLBACK_VOCABULARY}", add_bos=False)
+    alone = {sp.id_to_piece(k) for k in range(sp.get_piece_size()) if not sp.is_byte(k)}
+    enc = encoding(f"{TOKENIZERS}/{quality.VOCABULARY}")
+    by = {r["doc_id"]: r for r in docs.collect()}
+    for r in quality.score_fertility(docs).collect():
+        text, lang = by[r["doc_id"]]["text"], by[r["doc_id"]]["lang"]
+        tokens = enc.encode_ordinary(text)
+        n = len(tokens)
+        share = sum(c not in alone and c != " " for c in text) / len(text)
+        ent = -sum(c / n * math.log2(c / n) for c in Counter(tokens).values()) / math.log2(min(n, 1024)) if n > 1 else 1.0
+        assert (r["n_tokens"], r["n_chars"]) == (n, len(text)) and r["chars_per_token"] == pytest.approx(len(text) / n)
+        assert r["fallback_share"] == pytest.approx(share) and r["token_entropy"] == pytest.approx(ent, abs=1e-9)
+        band = quality.BANDS[lang]
+        least, most, odd, low, high = band.min_chars, band.max_chars, band.max_fallback, band.min_entropy, band.max_entropy
+        if n < 64:
+            scatter = 1.6 * (n**-0.5 - 1 / 8)
+            least = least if n > 64 else (least * max(0, n - 32) + min(n, 32)) / n
+            most, odd, low, high = most * (1 + scatter), odd + scatter / 2, low * max(0, 1 - scatter), high * (1 + scatter)
+        assert r["keep"] == (least <= len(text) / n <= most and share <= odd and low <= ent <= high), r
+
+
+def test_short_junk_goes_and_short_texts_stay(spark):
+    rows = [(1, "That it.", "en"), (2, "SHOU.!! " * 12, "en"), (3, "Osrañ.", "es"), (4, 'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" From here to there it goes.', "en"), (5, "ab ab ab ab ab ab ab ab ab ab ab ab ab ab ab ab", "en"), (6, " ", "en")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {r["doc_id"] for r in quality.keep_good(df).collect()} == {1, 3, 4}
 
 
 def test_secrets(spark):
@@ -359,6 +532,30 @@ def test_secrets(spark):
     assert {r["doc_id"] for r in secret_scan.scan_secrets(df).collect()} == {0, 1, 6}
 
 
+def test_values_of_names_and_urls(spark):
+    r = random.Random(2)
+
+    def random_value(n):
+        return "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n))
+
+    frames = ["DATABASE_SECRET_KEY_FOR_PRODUCTION={}", "AWS_SECRET_ACCESS_KEY={}", "secret = '{}'", "https://api.example.com/v1?api_key={}&x=1", "postgres://admin:{}@db/main", "https://hooks.example.com/services/{}", "x {} y"]
+    rows = [(100 * k + i, f.format(random_value(n))) for k, f in enumerate(frames) for i, n in enumerate([24] * 50 + [40] * 50)]
+    rows += [(5000 + i, f"password = {random_value(12)}") for i in range(100)]
+    clean = ["https://www.example.com/a-long-title-of-an-article/with-some-words-2024", "the password = something", "key: value of the thing", "user.name.of.somebody.long@mail.example.com", "AUTHORIZATION_SERVICE_CONFIGURATION_NAME=default", "see ./build/reports/tests/index"]
+    rows += [(9000 + i, t) for i, t in enumerate(clean)]
+    found = {x["doc_id"] for x in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(sum(100 * k <= i < 100 * k + 100 for i in found) >= 97 for k in range(len(frames))) and sum(5000 <= i < 5100 for i in found) >= 95
+    assert not {i for i in found if i >= 9000}
+
+
+def test_nothing_is_lost_before_the_scan(docs):
+    """Texts that are left out in the JVM have no findings."""
+    encode = encoding(f"{TOKENIZERS}/{secret_scan.VOCABULARY}").encode_ordinary
+    trigger = re.compile(secret_scan.TRIGGER.replace("(?i)", ""), re.I)
+    for t in [*(r["text"] for r in docs.collect()), "pwd: aB3dE5gH", "Bearer: xK9mQ2vL7t"]:
+        assert trigger.search(t) or not secret_scan.findings(t, encode)
+
+
 def test_secrets_by_brute_force(docs):
     encode = encoding(f"{TOKENIZERS}/{secret_scan.VOCABULARY}").encode_ordinary
     want = sorted((r["doc_id"], *f) for r in docs.collect() for f in secret_scan.findings(r["text"], encode))

@@ -15,7 +15,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def by_force(rows):
     path, fallback = f"{TOKENIZERS}/{quality.VOCABULARY}", f"{TOKENIZERS}/{quality.FALLBACK_VOCABULARY}"
-    good = [r for r in rows if (r["text"] or "").strip() and quality.verdict(*quality.measure(r["text"], path, fallback), quality.BANDS[r["lang"]], quality.MIN_TOKENS) is None]
+    good = [r for r in rows if (r["text"] or "").strip() and quality.verdict(*quality.measure(r["text"], path, fallback), quality.BANDS[r["lang"]], quality.SHORT) is None]
     prints = {r["doc_id"]: simhash_dedup.fingerprint(r["text"]) for r in good}
     root = {i: i for i in prints}
 
