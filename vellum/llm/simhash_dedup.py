@@ -116,11 +116,18 @@ def rows_by_splits(fps: DataFrame, bits: int, cap: int = CAP) -> dict[int, int]:
 
 
 def masks(tables: int, bits: int) -> np.ndarray:
-    """For each table, the 64-bit masks of its sampled positions."""
+    """For each table, the 64-bit masks of its sampled positions.
+
+    Each is a random sample; those that one permutation is cut into have no position in common, so
+    that all positions are sampled alike and no pair can owe all its tables to a few of them.
+    """
     rng = np.random.default_rng(SEED)
     out = np.zeros((tables, BITS), np.uint8)
-    for row in out:
-        row[rng.choice(BITS, bits, replace=False)] = 1
+    each = BITS // bits
+    for k in range(0, tables, each):
+        order = rng.permutation(BITS)
+        for i, row in enumerate(out[k : k + each]):
+            row[order[i * bits : (i + 1) * bits]] = 1
     return np.packbits(out, axis=1).view(np.int64)
 
 
