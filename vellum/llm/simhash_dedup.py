@@ -40,14 +40,21 @@ EXTRA_BITS = 4
 FAN = 2
 RECALL = 0.95
 SEED = 20_011
+#: More tables than these can't be told apart by their keys.
+TABLES = 4096
 
 
-def mix(x: np.ndarray, seed: int) -> np.ndarray:
-    """The splitmix64 finaliser."""
-    x = x + np.uint64((0x9E3779B97F4A7C15 * (2 * seed + 1)) % 2**64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+_STEPS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 for k in range(1, WORDS + 1)], np.uint64)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """The splitmix64 finaliser of each number at WORDS places of its sequence: (number, place)."""
+    x = x[:, None] + _STEPS
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def fingerprint(text: str) -> tuple[int, ...] | None:
@@ -57,10 +64,8 @@ def fingerprint(text: str) -> tuple[int, ...] | None:
         return None
     h = np.fromiter(words, np.uint64, len(words))
     total = np.zeros(BITS, np.int64)
-    for k in range(0, len(h), 1 << 16):
-        part = h[k : k + (1 << 16)]
-        signs = np.unpackbits(np.stack([mix(part, k + 1) for k in range(WORDS)], axis=1).view(np.uint8), axis=1)
-        total += np.add.reduce(signs, axis=0, dtype=np.int64)
+    for k in range(0, len(h), 255):  # so many ones fit in a byte
+        total += np.add.reduce(np.unpackbits(mix(h[k : k + 255]).view(np.uint8), axis=1), axis=0, dtype=np.uint8)
     return tuple(np.packbits(2 * total > len(h)).view(np.int64).tolist())
 
 
@@ -102,6 +107,8 @@ def plan(rows: Mapping[int, int], bits: int, recall: float = RECALL, distance: i
     tables = 1
     while expected_recall(tables, bits, distance, rows, fan) < recall:
         tables += 1
+    if tables > TABLES:
+        raise ValueError(f"the recall asks for {tables} tables; there are {TABLES} at most")
     return tables
 
 
@@ -176,13 +183,12 @@ def refined(ids: np.ndarray, h: np.ndarray, used: np.ndarray, rng: np.random.Gen
 def links(fps: DataFrame, tables: int, bits: int, distance: int = MAX_DISTANCE, cap: int = CAP, fan: int = FAN) -> DataFrame:
     """Verified links (a, b) between different fingerprints; fps has doc_id, h0, ...
 
-    A bucket is known by a hash of its table and sampled bits; should two have one hash, they
-    are verified as one.
+    A bucket is known by a hash of its sampled bits with its table in the last 12 bits; should two
+    of a table have one hash, they are verified as one.
     """
     m = masks(tables, bits)
-    keys = [F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), *(F.col(n).bitwiseAND(F.lit(int(x))) for n, x in zip(HALVES, row, strict=True))).alias("key")) for t, row in enumerate(m)]
-    rows = fps.select("doc_id", *HALVES, F.explode(F.array(*keys)).alias("of")).select("of.key", "of.t", "doc_id", *HALVES)
-    rows = rows.repartition("key").sortWithinPartitions("key", "t", "doc_id")
+    keys = [F.xxhash64(*(F.col(n).bitwiseAND(F.lit(int(x))) for n, x in zip(HALVES, row, strict=True))).bitwiseAND(F.lit(-TABLES)).bitwiseOR(F.lit(t)) for t, row in enumerate(m)]
+    rows = fps.select(F.explode(F.array(*keys)).alias("key"), "doc_id", *HALVES).repartition("key").sortWithinPartitions("key", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spread = np.unpackbits(m.view(np.uint8), axis=1)
@@ -194,7 +200,7 @@ def links(fps: DataFrame, tables: int, bits: int, distance: int = MAX_DISTANCE,
             for at, n in zip(np.append(0, cuts)[sizes > 1], sizes[sizes > 1], strict=True):
                 g = x[at : at + n]
                 rng = np.random.default_rng([SEED, *g[0, :1].view(np.uint64).tolist()])
-                yield from refined(g[:, 2], np.ascontiguousarray(g[:, 3:]).view(np.uint64), spread[g[0, 1]], rng, distance, cap, fan)
+                yield from refined(g[:, 1], np.ascontiguousarray(g[:, 2:]).view(np.uint64), spread[g[0, 0] & TABLES - 1], rng, distance, cap, fan)
 
         def out(found: list[np.ndarray]) -> pa.RecordBatch:
             e = np.unique(np.concatenate(found), axis=0)
@@ -203,7 +209,7 @@ def links(fps: DataFrame, tables: int, bits: int, distance: int = MAX_DISTANCE,
         for b in batches:
             if not b.num_rows:
                 continue
-            x = np.stack([c.cast(pa.int64()).to_numpy(zero_copy_only=False) for c in b.columns], axis=1)
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)
             last = int(np.searchsorted(x[:, 0], x[-1, 0]))
             if not last and held and held[-1][-1, 0] == x[0, 0]:
                 held.append(x)
