@@ -624,8 +624,11 @@ class Document:
             p = rows[k]["parent_id"]
             if p is not None:
                 ends[p] = max(ends[p], ends[k])
+        lines: list[list[int]] = []
         for row, end in zip(rows, ends, strict=True):
-            yield row | {"last": end}
+            p = row["parent_id"]
+            lines.append([] if p is None else [*lines[p], p])
+            yield row | {"last": end, "ancestors": lines[-1]}
 
     def _revisions(self, value: Any) -> list[tuple[Any, int]]:
         value = self.resolve(value)
@@ -644,9 +647,13 @@ class Document:
         return max(found, key=lambda x: x[1])[0] if found else None
 
     def _attributes(self, value: Any) -> dict[str, Any]:
+        """Of attribute dictionaries with revisions the highest counts; those of one revision, of several owners, are one."""
+        found = self._revisions(value)
+        newest = max((r for _, r in found), default=0)
         out: dict[str, Any] = {}
-        for v, _ in sorted(self._revisions(value), key=lambda x: x[1]):
-            out |= {k: self.resolve_all(x) for k, x in self.dict_of(v).items()}
+        for v, revision in found:
+            if revision == newest:
+                out |= {k: self.resolve_all(x) for k, x in self.dict_of(v).items()}
         return out
 
     def _element_box(self, value: Any) -> Rect | None:

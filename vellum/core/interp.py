@@ -60,9 +60,13 @@ class State:
 
 @dataclass(slots=True)
 class Mark:
+    """A marked-content section; stream is the form that opens it (None: the page), key that stream's entry in the parent tree."""
+
     tag: str
     mcid: int | None
     props: dict[str, Any] = field(default_factory=dict)
+    stream: int | None = None
+    key: int | None = None
 
 
 @dataclass(slots=True)
@@ -98,15 +102,22 @@ class Item:
     # image, form
     name: str | None = None
     stream: Stream | None = None
+    #: the parent tree's own entry for an image or form
+    own_key: int | None = None
     mark: Mark | None = None
 
+    @property
+    def numbered(self) -> Mark | None:
+        """The innermost section with a number, which holds within its stream."""
+        return next((m for m in reversed(self.marks) if m.mcid is not None), None)
+
     @property
     def chars(self) -> str:
         return "".join(g.text for g in self.glyphs)
 
     @property
     def mcid(self) -> int | None:
-        return next((m.mcid for m in reversed(self.marks) if m.mcid is not None), None)
+        return m.mcid if (m := self.numbered) else None
 
 
 _DEVICE = {"DeviceGray": 1, "DeviceRGB": 3, "DeviceCMYK": 4, "CalGray": 1, "CalRGB": 3, "Lab": 3, "Indexed": 1, "Separation": 1, "Pattern": 1}
@@ -137,11 +148,11 @@ def color_space(doc: Document, value: Any, named: dict[str, Any]) -> tuple[str,
 class Interpreter:
     """The items of a page. `kinds` are those wanted; others are followed but not built."""
 
-    def __init__(self, doc: Document, page: Page, space: str = "screen", kinds: Collection[str] = KINDS, flat: bool = True, fonts: dict[int, Font] | None = None) -> None:
+    def __init__(self, doc: Document, page: Page, space: str = "screen", kinds: Collection[str] = KINDS, flat: bool = True, fonts: dict[Any, Font] | None = None) -> None:
         self.doc, self.page, self.kinds, self.flat = doc, page, frozenset(kinds), flat
         self.base = page.ctm(space)
         self.seq = 0
-        self.fonts: dict[int, Font] = {} if fonts is None else fonts
+        self.fonts: dict[Any, Font] = {} if fonts is None else fonts
 
     def __iter__(self) -> Iterator[Item]:
         body = []
@@ -158,7 +169,7 @@ class Interpreter:
         return self.font_of(ref, name)
 
     def font_of(self, ref: Any, name: str) -> Font:
-        key = ref.objid if isinstance(ref, Ref) else -hash((name, id(ref)))
+        key: Any = ref.objid if isinstance(ref, Ref) else ("direct", name, repr(ref))
         if key not in self.fonts:
             attrs = self.doc.dict_of(ref)
             if not attrs:
@@ -192,7 +203,7 @@ class Interpreter:
             found = properties.get(str(props)) if isinstance(props, Name) else props
             d = doc.dict_of(found)
             mcid = doc.resolve(d.get("MCID"))
-            return Mark(str(tag), mcid if type(mcid) is int else None, {k: doc.resolve(v) for k, v in d.items() if k != "MCID"})
+            return Mark(str(tag), mcid if type(mcid) is int else None, {k: doc.resolve(v) for k, v in d.items() if k != "MCID"}, forms[-1] if forms else None, parent_key)
 
         def show(parts: list[Any]) -> Iterator[Item]:
             nonlocal pen
@@ -296,10 +307,7 @@ class Interpreter:
             own_key = doc.resolve(form.attrs.get("StructParent"))
             if kind == "Image":
                 if IMAGE in self.kinds:
-                    x = item(IMAGE, name=str(name), stream=form, bbox=transform_rect(ctm, UNIT))
-                    if type(own_key) is int:
-                        x.parent_key = own_key
-                    yield x
+                    yield item(IMAGE, name=str(name), stream=form, bbox=transform_rect(ctm, UNIT), own_key=own_key if type(own_key) is int else None)
                 return
             if kind != "Form" and "BBox" not in form.attrs:
                 return
@@ -308,10 +316,13 @@ class Interpreter:
             box = numbers(doc.resolve_all(form.attrs.get("BBox")), 4)
             if FORM in self.kinds:
                 shape = transform_rect(inner, (box[0], box[1], box[2], box[3])) if box else transform_rect(self.base, self.page.cropbox)
-                x = item(FORM, name=str(name), stream=form, bbox=shape)
+                x = item(FORM, name=str(name), stream=form, bbox=shape, own_key=own_key if type(own_key) is int else None)
                 x.ctm = inner
                 yield x
-            if not self.flat or objid in forms and objid or len(forms) >= DEPTH:
+            if not self.flat or objid in forms and objid:
+                return
+            if len(forms) >= DEPTH:
+                doc.warnings.append(f"page {self.page.index}: forms deeper than {DEPTH} aren't followed")
                 return
             try:
                 body = doc.stream_bytes(form)

@@ -81,8 +81,10 @@ def nested(rows: DataFrame, fields: list[str], name: str = "children") -> DataFr
 def structure_json(pdfs: DataFrame) -> DataFrame:
     """The logical structure with the texts of its items."""
     nodes = relation(pdfs, "struct_nodes")
-    sections = L.marked_content(relation(pdfs, "content_objects", kinds=["text", "image"])).select("doc_id", "page_idx", "mcid", "text")
-    said = nodes.join(sections, ["doc_id", "page_idx", "mcid"], "left")
+    s = L.marked_content(relation(pdfs, "content_objects", kinds=["text", "image"], columns=L.SECTION_COLUMNS))
+    s = s.select(F.col("doc_id").alias("s_doc"), F.col("page_idx").alias("s_page"), F.col("mcid_stream").alias("s_stream"), F.col("mcid").alias("s_mcid"), "text")
+    same = (F.col("doc_id") == F.col("s_doc")) & (F.col("page_idx") == F.col("s_page")) & (F.col("mcid") == F.col("s_mcid")) & F.col("stream_id").eqNullSafe(F.col("s_stream"))
+    said = nodes.join(s, same, "left").drop("s_doc", "s_page", "s_stream", "s_mcid")
     return nested(said, ["kind", "type", "role", "page_idx", "mcid", "title", "lang", "alt", "expansion", "actual_text", "class_name", "attributes", "text"])
 
 

@@ -10,6 +10,10 @@ from ..functions import text as T
 
 #: Side of a cell of the spatial joins, in units of user space.
 CELL = 50.0
+#: Cells of a box up to which it is joined by them: about four pages of letter size.
+MOST_CELLS = 1024
+#: What marked_content reads of content_objects.
+SECTION_COLUMNS = ("doc_id", "page_idx", "item_seq", "object_type", "mcid", "mcid_stream", "mcstack", "chars", "bbox")
 
 
 def latest_objects(xref: DataFrame) -> DataFrame:
@@ -57,16 +61,29 @@ def document_fonts(fonts: DataFrame) -> DataFrame:
 
 
 def spatial_join(left: DataFrame, right: DataFrame, on: list[str], left_box: str = "bbox", right_box: str = "bbox", cell: float = CELL) -> DataFrame:
-    """Pairs of overlapping boxes within equal keys: both sides by grid cell, each pair once, by its lower left cell.
+    """Pairs of overlapping boxes within equal keys, each once.
 
+    Boxes of few cells meet by grid cell, each pair at its lower left one; a box of more than
+    MOST_CELLS, which overlaps most of its page, meets the other side by the keys alone.
     Columns of the right side are prefixed with r_.
     """
-    a = left.withColumn("cell_", F.explode(G.cells(F.col(left_box), cell)))
-    b = right.select(*(F.col(c).alias("r_" + c) for c in right.columns)).withColumn("r_cell_", F.explode(G.cells(F.col("r_" + right_box), cell)))
     la, ra = F.col(left_box), F.col("r_" + right_box)
+
+    def key(i: Column, j: Column, how: int) -> Column:
+        return F.struct(i.alias("i"), j.alias("j"), F.lit(how).alias("how"))
+
+    def meeting(box: Column, small: tuple[int, ...], large: tuple[int, ...]) -> Column:
+        alone = lambda hows: F.array(*(key(F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), h) for h in hows))
+        grid = F.transform(G.cells(box, cell), lambda c: key(c.getField("i"), c.getField("j"), 0))
+        return F.explode(F.when(G.cell_count(box, cell) <= MOST_CELLS, F.concat(grid, alone(small))).otherwise(alone(large)))
+
+    # 0: by cell; 1: large ones of the left and all of the right; 2: small ones of the left and large ones of the right
+    a = left.withColumn("cell_", meeting(la, (2,), (1,)))
+    b = right.select(*(F.col(c).alias("r_" + c) for c in right.columns)).withColumn("r_cell_", meeting(ra, (1,), (1, 2)))
     first_i = F.greatest(F.floor(la.getField("x0") / cell), F.floor(ra.getField("x0") / cell))
     first_j = F.greatest(F.floor(la.getField("y0") / cell), F.floor(ra.getField("y0") / cell))
-    cond = (F.col("cell_") == F.col("r_cell_")) & G.overlaps(la, ra) & (F.col("cell_.i") == first_i) & (F.col("cell_.j") == first_j)
+    once = (F.col("cell_.how") > 0) | (F.col("cell_.i") == first_i) & (F.col("cell_.j") == first_j)
+    cond = (F.col("cell_") == F.col("r_cell_")) & G.overlaps(la, ra) & once
     for k in on:
         cond = cond & (F.col(k) == F.col("r_" + k))
     return a.join(b, cond).drop("cell_", "r_cell_")
@@ -77,18 +94,22 @@ def in_region(items: DataFrame, x0: float, y0: float, x1: float, y1: float, box:
 
 
 def marked_content(items: DataFrame) -> DataFrame:
-    """(doc_id, page_idx, mcid, text, bbox, n_items, first_seq): of runs with one mcid, the last counts."""
+    """(doc_id, page_idx, mcid_stream, mcid, text, bbox, n_items, first_seq): of runs with one mcid, the last counts.
+
+    Numbers hold within a content stream; mcid_stream is the form's object number, null for the page itself.
+    """
     by = ["doc_id", "page_idx"]
     w = Window.partitionBy(*by).orderBy("item_seq")
-    runs = items.withColumn("new_", (~F.col("mcid").eqNullSafe(F.lag("mcid").over(w))).cast("int")).withColumn("run_", F.sum("new_").over(w)).where("mcid is not null")
-    last = Window.partitionBy(*by, "mcid")
+    own = F.struct("mcid", "mcid_stream")
+    runs = items.withColumn("new_", (~own.eqNullSafe(F.lag(own).over(w))).cast("int")).withColumn("run_", F.sum("new_").over(w)).where("mcid is not null")
+    last = Window.partitionBy(*by, "mcid_stream", "mcid")
     kept = runs.withColumn("last_", F.max("run_").over(last)).where("run_ = last_")
     inner = F.try_element_at("mcstack", F.lit(-1))
     actual = F.get_json_object(inner.getField("props"), "$.ActualText")
     said = F.when(F.col("object_type") == "text", F.coalesce(actual, F.col("chars")))
-    own = kept.withColumn("said_", said)
+    texts = kept.withColumn("said_", said)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("said_").isNotNull(), F.struct("item_seq", "said_")))), lambda s: s.getField("said_")), "")
-    return own.groupBy(*by, "mcid").agg(T.without_soft_hyphens(joined).alias("text"), G.union_boxes(F.col("bbox")).alias("bbox"), F.count("*").alias("n_items"), F.min("item_seq").alias("first_seq"))
+    return texts.groupBy(*by, "mcid_stream", "mcid").agg(T.without_soft_hyphens(joined).alias("text"), G.union_boxes(F.col("bbox")).alias("bbox"), F.count("*").alias("n_items"), F.min("item_seq").alias("first_seq"))
 
 
 def find_elements(nodes: DataFrame, role: str | None = None, pattern: str | None = None, within: DataFrame | None = None) -> DataFrame:
@@ -99,8 +120,9 @@ def find_elements(nodes: DataFrame, role: str | None = None, pattern: str | None
     if pattern is not None:
         found = found.where(F.col("role").rlike(f"^(?:{pattern})"))
     if within is not None:
-        tops = within.select(F.col("doc_id").alias("t_doc"), F.col("node_id").alias("t_node"), F.col("last_node").alias("t_last"))
-        found = found.join(tops, (F.col("doc_id") == F.col("t_doc")) & (F.col("node_id") > F.col("t_node")) & (F.col("node_id") <= F.col("t_last")), "left_semi")
+        tops = within.select(F.col("doc_id").alias("t_doc"), F.col("node_id").alias("t_node"))
+        lines = found.select(F.col("doc_id").alias("t_doc"), F.col("node_id").alias("own_"), F.explode("ancestors").alias("t_node")).join(tops, ["t_doc", "t_node"], "left_semi")
+        found = found.join(lines, (F.col("doc_id") == F.col("t_doc")) & (F.col("node_id") == F.col("own_")), "left_semi")
     return found
 
 
@@ -113,19 +135,26 @@ def find_first(nodes: DataFrame, role: str) -> DataFrame:
 def climb(nodes: DataFrame, start: DataFrame, role: str) -> DataFrame:
     """(doc_id, start_id, node_id): for each start (doc_id, start_id), the nearest element of a role at or above it.
 
-    An ancestor's subtree is a range of pre-order numbers, so that no recursion is needed.
+    Each start goes to itself and its ancestors, so the work follows the tree's depth.
     """
-    targets = nodes.where((F.col("kind") == "element") & (F.col("role") == role)).select(F.col("doc_id").alias("t_doc"), F.col("node_id").alias("t_node"), "last_node", "depth")
-    pairs = start.join(targets, (F.col("doc_id") == F.col("t_doc")) & F.col("start_id").between(F.col("t_node"), F.col("last_node")))
+    lines = nodes.select(F.col("doc_id").alias("n_doc"), F.col("node_id").alias("n_node"), F.explode(F.array_append("ancestors", F.col("node_id"))).alias("i_node"))
+    own = start.select("doc_id", "start_id").join(lines, (F.col("doc_id") == F.col("n_doc")) & (F.col("start_id") == F.col("n_node")))
+    targets = nodes.where((F.col("kind") == "element") & (F.col("role") == role)).select(F.col("doc_id").alias("t_doc"), F.col("node_id").alias("t_node"), "depth")
+    pairs = own.join(targets, (F.col("doc_id") == F.col("t_doc")) & (F.col("i_node") == F.col("t_node")))
     return pairs.groupBy("doc_id", "start_id").agg(F.max_by("t_node", "depth").alias("node_id"))
 
 
 def element_text(nodes: DataFrame, sections: DataFrame) -> DataFrame:
-    """(doc_id, node_id, text, bbox) of each element, over all marked content below it."""
-    items = nodes.where("kind = 'item'").select("doc_id", F.col("node_id").alias("item_id"), "page_idx", "mcid")
-    said = items.join(sections.select("doc_id", "page_idx", "mcid", "text", F.col("bbox").alias("box_")), ["doc_id", "page_idx", "mcid"])
-    tops = nodes.where("kind = 'element'").select(F.col("doc_id").alias("t_doc"), "node_id", "last_node", F.col("page_idx").alias("own_page"), F.col("bbox").alias("given_"))
-    pairs = tops.join(said, (F.col("doc_id") == F.col("t_doc")) & F.col("item_id").between(F.col("node_id"), F.col("last_node")), "left")
+    """(doc_id, node_id, text, bbox) of each element, over all marked content below it.
+
+    Each item goes to its ancestors, which struct_nodes lists, so the work follows the tree's depth.
+    """
+    items = nodes.where("kind = 'item'").select("doc_id", F.col("node_id").alias("item_id"), "page_idx", F.col("stream_id").alias("mcid_stream"), "mcid", F.col("ancestors").alias("above_"))
+    s = sections.select(F.col("doc_id").alias("s_doc"), F.col("page_idx").alias("s_page"), F.col("mcid_stream").alias("s_stream"), F.col("mcid").alias("s_mcid"), "text", F.col("bbox").alias("box_"))
+    same = (F.col("doc_id") == F.col("s_doc")) & (F.col("page_idx") == F.col("s_page")) & (F.col("mcid") == F.col("s_mcid")) & F.col("mcid_stream").eqNullSafe(F.col("s_stream"))
+    said = items.join(s, same).select("doc_id", "item_id", "page_idx", "text", "box_", F.explode("above_").alias("i_node"))
+    tops = nodes.where("kind = 'element'").select(F.col("doc_id").alias("t_doc"), "node_id", F.col("page_idx").alias("own_page"), F.col("bbox").alias("given_"))
+    pairs = tops.join(said, (F.col("doc_id") == F.col("t_doc")) & (F.col("i_node") == F.col("node_id")), "left")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("item_id").isNotNull(), F.struct("item_id", "text")))), lambda s: s.getField("text")), "")
     box = G.union_boxes(F.when(F.col("page_idx") == F.col("own_page"), F.col("box_")))
     grouped = pairs.groupBy(F.col("t_doc").alias("doc_id"), "node_id").agg(text.alias("text"), F.coalesce(F.first("given_"), box).alias("bbox"))
@@ -133,9 +162,15 @@ def element_text(nodes: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def content_elements(items: DataFrame, parents: DataFrame) -> DataFrame:
-    """Items with the object number of the structure element they belong to, or null."""
-    p = parents.where("mcid is not null").select(F.col("doc_id").alias("p_doc"), F.col("parent_key").alias("p_key"), F.col("mcid").alias("p_mcid"), "element_objid")
-    return items.join(p, (F.col("doc_id") == F.col("p_doc")) & (F.col("parent_key") == F.col("p_key")) & (F.col("mcid") == F.col("p_mcid")), "left").drop("p_doc", "p_key", "p_mcid")
+    """Items with the object number of the structure element they belong to, or null.
+
+    An image or form with an entry of its own in the parent tree belongs to that; else the entry of its section counts.
+    """
+    p = parents.select(F.col("doc_id").alias("p_doc"), F.col("parent_key").alias("p_key"), F.col("mcid").alias("p_mcid"), F.col("element_objid").alias("by_mcid_"))
+    o = parents.where("mcid is null").select(F.col("doc_id").alias("o_doc"), F.col("parent_key").alias("o_key"), F.col("element_objid").alias("by_key_"))
+    found = items.join(p, (F.col("doc_id") == F.col("p_doc")) & (F.col("parent_key") == F.col("p_key")) & (F.col("mcid") == F.col("p_mcid")), "left")
+    found = found.join(o, (F.col("doc_id") == F.col("o_doc")) & (F.col("own_key") == F.col("o_key")), "left")
+    return found.withColumn("element_objid", F.coalesce("by_key_", "by_mcid_")).drop("p_doc", "p_key", "p_mcid", "by_mcid_", "o_doc", "o_key", "by_key_")
 
 
 def link_graph(annotations: DataFrame, pages: DataFrame) -> DataFrame:
@@ -162,7 +197,8 @@ def named_targets(annotations: DataFrame, destinations: DataFrame) -> DataFrame:
 def reference_closure(objects: DataFrame, roots: DataFrame, skip: tuple[str, ...] = ("Parent", "P"), rounds: int = 50) -> DataFrame:
     """(doc_id, objid, distance): what is reached from roots (doc_id, objid) by references, each object once.
 
-    Keys in skip aren't followed. One join a level; a level that finds nothing new is the last.
+    Keys in skip aren't followed. One join a level; a level that finds nothing new is the last, and
+    references deeper than so many rounds are an error.
     """
     quoted = "|".join(skip)
     latest = objects.groupBy("doc_id", "objid").agg(F.max_by("obj", "seq").alias("obj"))
@@ -174,9 +210,9 @@ def reference_closure(objects: DataFrame, roots: DataFrame, skip: tuple[str, ...
         front = front.join(edges, ["doc_id", "objid"]).select("doc_id", F.col("to").alias("objid")).distinct().join(known.select("doc_id", "objid"), ["doc_id", "objid"], "left_anti").withColumn("distance", F.lit(k))
         front = front.checkpoint() if front.sparkSession.sparkContext.getCheckpointDir() else front.cache()
         if front.isEmpty():
-            break
+            return known
         known = known.unionByName(front)
-    return known
+    raise ValueError(f"references are deeper than {rounds} levels")
 
 
 def styled_spans(items: DataFrame) -> DataFrame:

@@ -44,13 +44,13 @@ SCHEMAS: dict[str, str] = {
     "tokens": "doc_id bigint, stream_id bigint, pos bigint, kind string, text string, num double, bytes binary",
     "pages": f"doc_id bigint, page_idx int, page_objid bigint, label string, mediabox {RECT}, cropbox {RECT}, rotate int, struct_parents int, n_streams int, resources string",
     "page_ops": "doc_id bigint, page_idx int, op_seq int, pos bigint, op string, args string",
-    "content_objects": f"doc_id bigint, page_idx int, op_seq int, item_seq int, xobj_path array<bigint>, object_type string, bbox {RECT}, ctm {MATRIX}, mcid int, mcstack array<{MARK}>, parent_key int, gstate {GSTATE}, chars string, n_glyphs int, matrix {MATRIX}, origin {POINT}, displacement {POINT}, vertical boolean, fontbase string, size double, segments array<struct<op:string,points:array<{POINT}>>>, stroke boolean, fill boolean, evenodd boolean, name string, stream_id bigint, width int, height int, bits int, colorspace string, imagemask boolean, filters array<string>, tag {MARK}",
+    "content_objects": f"doc_id bigint, page_idx int, op_seq int, item_seq int, xobj_path array<bigint>, object_type string, bbox {RECT}, ctm {MATRIX}, mcid int, mcid_stream bigint, mcstack array<{MARK}>, parent_key int, own_key int, gstate {GSTATE}, chars string, n_glyphs int, matrix {MATRIX}, origin {POINT}, displacement {POINT}, vertical boolean, fontbase string, size double, segments array<struct<op:string,points:array<{POINT}>>>, stroke boolean, fill boolean, evenodd boolean, name string, stream_id bigint, width int, height int, bits int, colorspace string, imagemask boolean, filters array<string>, tag {MARK}",
     "glyphs": f"doc_id bigint, page_idx int, op_seq int, item_seq int, xobj_path array<bigint>, glyph_idx int, cid int, text string, matrix {MATRIX}, dx double, dy double, bbox {RECT}, fontname string",
     "fonts": f"doc_id bigint, page_idx int, ordinal int, resource_name string, font_objid bigint, fontname string, fontbase string, font_type string, vertical boolean, ascent double, descent double, default_width double, flags int, bbox {RECT}, embedded_kind string, program binary",
     "annotations": f"doc_id bigint, page_idx int, annot_idx int, objid bigint, annot_type string, rect {RECT}, contents string, name string, mtime string, struct_parent int, action_type string, uri string, dest_name string, dest_page_idx int",
     "destinations": f"doc_id bigint, ordinal int, name string, page_idx int, display string, top double, left double, bbox {RECT}, zoom double",
     "outline_items": "doc_id bigint, node_id int, parent_id int, depth int, path array<int>, title string, action_type string, uri string, dest_page_idx int, display string, top double, left double, element_objid bigint",
-    "struct_nodes": f"doc_id bigint, node_id int, parent_id int, last_node int, depth int, path array<int>, kind string, type string, role string, page_idx int, mcid int, stream_id bigint, objid bigint, title string, lang string, alt string, expansion string, actual_text string, class_name string, attributes string, bbox {RECT}",
+    "struct_nodes": f"doc_id bigint, node_id int, parent_id int, last_node int, ancestors array<int>, depth int, path array<int>, kind string, type string, role string, page_idx int, mcid int, stream_id bigint, objid bigint, title string, lang string, alt string, expansion string, actual_text string, class_name string, attributes string, bbox {RECT}",
     "parent_tree": "doc_id bigint, parent_key int, mcid int, element_objid bigint",
     "label_ranges": "doc_id bigint, first_page int, style string, prefix string, start int",
     "name_entries": "doc_id bigint, tree string, ordinal int, key string, value string",
@@ -109,10 +109,18 @@ def xref_entries(doc: Document, o: Options) -> Iterator[dict[str, Any]]:
 
 
 def objects(doc: Document, o: Options) -> Iterator[dict[str, Any]]:
+    """Option key: only dictionaries and streams with such a key."""
+    wanted, key = o.get("columns"), o.get("key")
     for k, (pos, objid, genno, container, v) in enumerate(doc.all_objects()):
-        row = {"seq": k, "objid": objid, "genno": genno, "pos": pos, "container_id": container, "kind": kind_of(v), "obj": _json(v.attrs if isinstance(v, Stream) else v), "raw_length": None, "filters": None, "decoded": None}
+        attrs = v.attrs if isinstance(v, Stream) else v
+        if key is not None and not (isinstance(attrs, dict) and key in attrs):
+            continue
+        row = {"seq": k, "objid": objid, "genno": genno, "pos": pos, "container_id": container, "kind": kind_of(v), "obj": _json(attrs) if wanted is None or "obj" in wanted else None, "raw_length": None, "filters": None, "decoded": None}
         if isinstance(v, Stream):
             row |= {"raw_length": len(v.raw), "filters": [f for f, _ in doc.filters(v)]}
+            if wanted is not None and "decoded" not in wanted:
+                yield row
+                continue
             try:
                 row["decoded"] = doc.stream_bytes(v)
             except PdfError as e:
@@ -152,8 +160,12 @@ def page_content(doc: Document, o: Options) -> Iterator[dict[str, Any]]:
 
 
 def page_ops(doc: Document, o: Options) -> Iterator[dict[str, Any]]:
+    """Option ops: only these operators; their numbers are those among all."""
+    ops = o.get("ops")
     for p in _selected(doc, o):
         for k, (pos, op, args) in enumerate(content_operations(_body(doc, p))):
+            if ops is not None and op not in ops:
+                continue
             yield {"page_idx": p.index, "op_seq": k, "pos": pos, "op": op, "args": _json(args)}
 
 
@@ -171,14 +183,20 @@ def _items(doc: Document, o: Options, kinds: Any) -> Iterator[tuple[Page, int, I
 
 def content_objects(doc: Document, o: Options) -> Iterator[dict[str, Any]]:
     blank = dict.fromkeys(("chars", "n_glyphs", "matrix", "origin", "displacement", "vertical", "fontbase", "size", "segments", "stroke", "fill", "evenodd", "name", "stream_id", "width", "height", "bits", "colorspace", "imagemask", "filters", "tag"))
+    wanted = o.get("columns")
     for p, k, x in _items(doc, o, o.get("kinds") or (TEXT, PATH, IMAGE, FORM, TAG)):
-        row = blank | {"page_idx": p.index, "op_seq": x.seq, "item_seq": k, "xobj_path": list(x.forms), "object_type": x.kind, "bbox": _rect(x.bbox), "ctm": _matrix(x.ctm), "mcid": x.mcid, "mcstack": [_mark(m) for m in x.marks], "parent_key": x.parent_key, "gstate": _gstate(x.state)}
+        n = x.numbered
+        row = blank | {"page_idx": p.index, "op_seq": x.seq, "item_seq": k, "xobj_path": list(x.forms), "object_type": x.kind, "bbox": _rect(x.bbox), "ctm": _matrix(x.ctm), "mcid": n.mcid if n else None, "mcid_stream": n.stream if n else None, "parent_key": n.key if n else x.parent_key, "own_key": x.own_key}
+        if wanted is None or "mcstack" in wanted:
+            row["mcstack"] = [_mark(m) for m in x.marks]
+        if wanted is None or "gstate" in wanted:
+            row["gstate"] = _gstate(x.state)
         if x.kind == TEXT:
             m, font = x.matrix, x.state.font
             vertical = bool(font and font.vertical)
             row |= {"chars": x.chars, "n_glyphs": len(x.glyphs), "matrix": _matrix(m), "origin": _point((m[4], m[5])), "displacement": _point((x.end[0] - m[4], x.end[1] - m[5])), "vertical": vertical, "fontbase": font.name.split("+")[-1] if font else None, "size": (m[0] ** 2 + m[1] ** 2) ** 0.5 if vertical else (m[2] ** 2 + m[3] ** 2) ** 0.5}
         elif x.kind == PATH:
-            row |= {"segments": [{"op": op, "points": [_point(q) for q in ps]} for op, ps in x.segments], "stroke": x.stroke, "fill": x.fill, "evenodd": x.evenodd}
+            row |= {"segments": [{"op": op, "points": [_point(q) for q in ps]} for op, ps in x.segments] if wanted is None or "segments" in wanted else None, "stroke": x.stroke, "fill": x.fill, "evenodd": x.evenodd}
         elif x.kind in (IMAGE, FORM):
             row |= {"name": x.name, "stream_id": x.stream.objid if x.stream else None, "filters": [f for f, _ in doc.filters(x.stream)] if x.stream else None}
             if x.kind == IMAGE and x.stream:
@@ -238,7 +256,7 @@ def outline_items(doc: Document, o: Options) -> Iterator[dict[str, Any]]:
 def struct_nodes(doc: Document, o: Options) -> Iterator[dict[str, Any]]:
     for n in doc.structure():
         said = {k: n.get(k) for k in ("node_id", "parent_id", "depth", "path", "kind", "type", "role", "page_idx", "mcid", "stream_id", "objid", "title", "lang", "alt", "expansion", "actual_text", "class_name")}
-        yield said | {"last_node": n["last"], "attributes": _json(n["attributes"]) if n.get("attributes") else None, "bbox": _rect(n.get("bbox"))}
+        yield said | {"last_node": n["last"], "ancestors": n["ancestors"], "attributes": _json(n["attributes"]) if n.get("attributes") else None, "bbox": _rect(n.get("bbox"))}
 
 
 def parent_tree(doc: Document, o: Options) -> Iterator[dict[str, Any]]:
@@ -302,7 +320,7 @@ def rows_of(relation: str, doc_id: Any, content: bytes | None, options: Options)
         doc = Document(bytes(content or b""), options.get("password", ""), options.get("strict", False))
         for row in READERS[relation](doc, options):
             yield {"doc_id": doc_id, **row}
-    except (PdfError, ValueError, TypeError, IndexError, KeyError, AttributeError, RecursionError) as e:
+    except (PdfError, ValueError, TypeError, IndexError, KeyError, AttributeError, RecursionError, ArithmeticError) as e:
         if options.get("mode") == "failfast":
             raise
         if relation == "documents":
@@ -332,9 +350,16 @@ def batches(schema: pa.Schema, rows: Iterator[dict[str, Any]]) -> Iterator[pa.Re
 
 
 def relation(pdfs: DataFrame, name: str, doc_id: str = "doc_id", content: str = "content", **options: Any) -> DataFrame:
-    """A relation of the files of pdfs. Columns first_page and end_page, where pdfs has them, limit each row's pages."""
+    """A relation of the files of pdfs. Columns first_page and end_page, where pdfs has them, limit each row's pages.
+
+    Option columns: only these columns (and doc_id) are built and returned.
+    """
     ranged = [c for c in ("first_page", "end_page") if c in pdfs.columns]
-    schema = to_arrow_schema(StructType.fromDDL(SCHEMAS[name]))
+    full = StructType.fromDDL(SCHEMAS[name])
+    if (columns := options.get("columns")) is not None:
+        options["columns"] = columns = ["doc_id", *(c for c in columns if c != "doc_id")]
+        full = StructType([full[c] for c in columns])
+    schema = to_arrow_schema(full)
 
     def run(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def every() -> Iterator[dict[str, Any]]:
@@ -345,7 +370,7 @@ def relation(pdfs: DataFrame, name: str, doc_id: str = "doc_id", content: str =
 
         yield from batches(schema, every())
 
-    return pdfs.select(pdfs[doc_id].cast("bigint").alias("doc_id"), content, *ranged).mapInArrow(run, SCHEMAS[name])
+    return pdfs.select(pdfs[doc_id].cast("bigint").alias("doc_id"), content, *ranged).mapInArrow(run, full)
 
 
 def split_pages(pdfs: DataFrame, pages_per_row: int) -> DataFrame:

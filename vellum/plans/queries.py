@@ -139,7 +139,7 @@ round(max(10 + 2 * (10 * l_linenumber + l_quantity)), 4) AS x1, round(max(20 + 2
 )
 def path_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     pdfs = render(grouped(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_linenumber", "l_discount", "l_quantity", "l_tax", "l_returnflag"), rectangles)
-    p = relation(pdfs, "content_objects", space="default", kinds=["path"])
+    p = relation(pdfs, "content_objects", space="default", kinds=["path"], columns=["bbox", "stroke"])
     box = G.union_boxes(F.col("bbox"))
     out = p.groupBy("doc_id", "stroke").agg(F.count("*").alias("n"), F.round(F.sum(G.width(F.col("bbox")) * G.height(F.col("bbox"))), 2).alias("area"), box.alias("b"))
     return out.select("doc_id", "stroke", "n", "area", *(F.round(f"b.{c}", 4).alias(c) for c in ("x0", "y0", "x1", "y1")))
@@ -272,7 +272,7 @@ _ORDER_TEXT = "CAST(o_orderkey AS VARCHAR) || ' ' || o_orderpriority"
 @query(f"SELECT CAST(o_custkey AS BIGINT) AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_orderpriority) - 1 AS INTEGER) AS mcid, {_ORDER_TEXT} AS text, CAST(2 AS BIGINT) AS n_items FROM orders")
 def marked_content_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pdfs = render(grouped(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_orderpriority"), marked_orders)
-    return L.marked_content(relation(pdfs, "content_objects", kinds=["text"])).select("doc_id", "mcid", "text", "n_items")
+    return L.marked_content(relation(pdfs, "content_objects", kinds=["text"], columns=L.SECTION_COLUMNS)).select("doc_id", "mcid", "text", "n_items")
 
 
 @query(f"SELECT CAST(o_custkey AS BIGINT) AS doc_id, string_agg({_ORDER_TEXT}, chr(10) ORDER BY o_orderkey, o_orderpriority) AS text FROM orders GROUP BY 1")
@@ -319,7 +319,7 @@ _BY_NATION = "supplier JOIN nation ON s_nationkey = n_nationkey"
 def struct_find_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     pdfs = supplier_trees(spark, sf_dir)
     nodes = relation(pdfs, "struct_nodes")
-    sections = L.marked_content(relation(pdfs, "content_objects", kinds=["text"]))
+    sections = L.marked_content(relation(pdfs, "content_objects", kinds=["text"], columns=L.SECTION_COLUMNS))
     found = L.find_elements(nodes, pattern="Sec")
     return found.join(L.element_text(nodes, sections).select("doc_id", "node_id", "text"), ["doc_id", "node_id"]).select("doc_id", "role", "title", "text", "depth")
 
@@ -337,11 +337,61 @@ def struct_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT CAST(n_regionkey AS BIGINT) AS doc_id, s_name AS chars, CAST(s_suppkey AS VARCHAR) AS supplier FROM {_BY_NATION}")
 def content_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     pdfs = supplier_trees(spark, sf_dir)
-    items = L.content_elements(relation(pdfs, "content_objects", kinds=["text"]), relation(pdfs, "parent_tree"))
+    items = L.content_elements(relation(pdfs, "content_objects", kinds=["text"], columns=["mcid", "parent_key", "own_key", "chars"]), relation(pdfs, "parent_tree"))
     elements = relation(pdfs, "struct_nodes").where("kind = 'element'").select("doc_id", F.col("objid").alias("element_objid"), F.col("alt").alias("supplier"))
     return items.select("doc_id", "element_objid", "chars").join(elements, ["doc_id", "element_objid"]).select("doc_id", "chars", "supplier")
 
 
+def with_forms(_: int, rows: Rows) -> bytes:
+    """A page whose forms number their sections from 0 again, and an image with an entry of its own in the parent tree."""
+    w = Writer()
+    fonts = {"Font": {"F1": w.core_font()}}
+    root: dict[str, Any] = {"Type": Name("StructTreeRoot")}
+    top: dict[str, Any] = {"Type": Name("StructElem"), "S": Name("Document")}
+    root_ref, top_ref = w.add(root), w.add(top)
+    root["K"], top["P"], top["K"] = top_ref, root_ref, []
+    w.catalog |= {"StructTreeRoot": root_ref, "MarkInfo": {"Marked": True}}
+    nums: list[Any] = []
+
+    def element(kind: str, page: Ref, kid: Any, **more: Any) -> Ref:
+        ref = w.add({"Type": Name("StructElem"), "S": Name(kind), "P": top_ref, "Pg": page, "K": kid, **more})
+        top["K"].append(ref)
+        return ref
+
+    for r in rows:
+        key = len(nums) // 2
+        said = [r["c_mktsegment"], f"{r['c_acctbal']:.2f}"]
+        forms = [
+            w.stream(b"BT /F1 9 Tf 1 0 0 1 %d 500 Tm /P <</MCID 0>> BDC " % (40 + 200 * k) + latin(t) + b" Tj EMC ET", Type=Name("XObject"), Subtype=Name("Form"), BBox=[0, 0, 600, 800], Resources=fonts, StructParents=key + 1 + k)
+            for k, t in enumerate(said)
+        ]
+        image = w.stream(b"\x80", Type=Name("XObject"), Subtype=Name("Image"), Width=1, Height=1, BitsPerComponent=8, ColorSpace=Name("DeviceGray"), StructParent=key + 3)
+        body = b"BT /F1 9 Tf 1 0 0 1 40 700 Tm /P <</MCID 0>> BDC " + latin(r["c_name"]) + b" Tj EMC ET /A Do /B Do q 9 0 0 9 40 600 cm /I Do Q"
+        page = w.page(body, fonts | {"XObject": {"A": forms[0], "B": forms[1], "I": image}}, True, StructParents=key)
+        nums += [key, [element("P", page, 0, T=text_string("page"))]]
+        nums += [x for k, f in enumerate(forms) for x in (key + 1 + k, [element("P", page, {"Type": Name("MCR"), "Stm": f, "Pg": page, "MCID": 0}, T=text_string(f"form {k}"))])]
+        nums += [key + 3, element("Figure", page, {"Type": Name("OBJR"), "Obj": image, "Pg": page}, Alt=text_string(str(r["c_custkey"])), T=text_string("image"))]
+    root["ParentTree"] = {"Nums": nums}
+    return w.save()
+
+
+@query(
+    """SELECT CAST(c_nationkey AS BIGINT) AS doc_id, title, said, CAST(row_number() OVER (PARTITION BY c_nationkey, title ORDER BY c_custkey) - 1 AS INTEGER) AS page_idx,
+title AS parent FROM customer, LATERAL (VALUES ('page', c_name), ('form 0', c_mktsegment), ('form 1', printf('%.2f', c_acctbal)), ('image', CAST(c_custkey AS VARCHAR))) v(title, said)"""
+)
+def struct_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of every element by its stream, and of every text and image the element it belongs to."""
+    pdfs = render(grouped(table(spark, sf_dir, "customer"), "c_nationkey", "c_custkey", "c_name", "c_mktsegment", "c_acctbal"), with_forms)
+    nodes = relation(pdfs, "struct_nodes").where("kind = 'element' and role <> 'Document' or kind = 'item'")
+    items = relation(pdfs, "content_objects", kinds=["text", "image"], columns=[*L.SECTION_COLUMNS, "parent_key", "own_key"])
+    own = L.element_text(nodes, L.marked_content(items.where("object_type = 'text'"))).select("doc_id", "node_id", "text")
+    elements = nodes.where("kind = 'element'").select("doc_id", "node_id", "page_idx", "title", "alt", F.col("objid").alias("element_objid"))
+    up = L.content_elements(items, relation(pdfs, "parent_tree")).select("doc_id", "chars", "element_objid")
+    at = up.join(elements, ["doc_id", "element_objid"]).select("doc_id", "node_id", F.coalesce("chars", "alt").alias("seen"), F.col("title").alias("parent"))
+    out = elements.join(own, ["doc_id", "node_id"]).select("doc_id", "node_id", "title", "page_idx", F.when(F.col("title") == "image", F.col("alt")).otherwise(F.col("text")).alias("said"))
+    return out.join(at, ["doc_id", "node_id"]).where("seen = said").select("doc_id", "title", "said", "page_idx", "parent")
+
+
 # outlines, destinations, annotations, labels
 
 
@@ -536,7 +586,7 @@ def revised(doc_id: int, rows: Rows) -> bytes:
 def xref_latest_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     pdfs = render(grouped(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_totalprice"), revised)
     entries = L.latest_objects(relation(pdfs, "xref_entries")).select("doc_id", "objid", "pos")
-    objects = relation(pdfs, "objects").where("obj like '%\"Order\"%'").select("doc_id", "objid", "pos", F.get_json_object("obj", "$.Order").cast("bigint").alias("last_order"))
+    objects = relation(pdfs, "objects", key="Order", columns=["objid", "pos", "obj"]).select("doc_id", "objid", "pos", F.get_json_object("obj", "$.Order").cast("bigint").alias("last_order"))
     counts = objects.groupBy("doc_id").agg(F.count("*").alias("revisions"))
     return objects.join(entries, ["doc_id", "objid", "pos"]).join(counts, "doc_id").select("doc_id", "last_order", "revisions")
 
@@ -814,12 +864,12 @@ def composite_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation(pdfs, "content_objects", space="default", kinds=["text"]).select("doc_id", "page_idx", "chars", F.round("displacement.x", 4).alias("width"))
 
 
-@query("SELECT CAST(n_regionkey AS BIGINT) AS doc_id, CAST(CASE g WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS INTEGER) AS distance, CAST(CASE g WHEN 0 THEN 1 WHEN 1 THEN 1 ELSE count(*) END AS BIGINT) AS n FROM nation, (VALUES (0), (1), (2)) v(g) GROUP BY n_regionkey, g")
+@query("SELECT CAST(n_regionkey AS BIGINT) AS doc_id, CAST(g AS INTEGER) AS distance, CAST(CASE g WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN count(*) ELSE count(*) + 1 END AS BIGINT) AS n FROM nation, (VALUES (0), (1), (2), (3)) v(g) GROUP BY n_regionkey, g")
 def catalog_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     pdfs = render(grouped(table(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey", "n_name"), one_name_a_page)
-    objects = relation(pdfs, "objects").select("doc_id", "objid", "seq", "obj")
+    objects = relation(pdfs, "objects", columns=["objid", "seq", "obj"])
     roots = objects.where("obj like '%\"Catalog\"%'").select("doc_id", "objid")
-    return L.reference_closure(objects, roots, rounds=3).groupBy("doc_id", "distance").agg(F.count("*").alias("n"))
+    return L.reference_closure(objects, roots).groupBy("doc_id", "distance").agg(F.count("*").alias("n"))
 
 
 # exports, spans and searches over the relations
