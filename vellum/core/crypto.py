@@ -9,6 +9,8 @@ from hashlib import md5, sha256, sha384, sha512
 from itertools import cycle
 from typing import Any
 
+import numpy as np
+
 from .values import EncryptionProblem, Stream, WrongPassword
 
 PAD = bytes.fromhex("28bf4e5e4e758a4164004e56fffa01082e2e00b6d0683e802f0ca9fe6453697a")
@@ -55,6 +57,9 @@ def _tables() -> tuple[list[int], list[int], list[list[int]]]:
 
 
 _BOX, _UNBOX, (_X2, _X3, _X9, _X11, _X13, _X14) = _tables()
+_NUMPY = {k: np.array(t, np.uint8) for k, t in (("box", _UNBOX), (9, _X9), (11, _X11), (13, _X13), (14, _X14))}
+#: Where each byte of a block comes from when its rows are moved back.
+_BACK = [(i - 4 * (i % 4)) % 16 for i in range(16)]
 
 
 class Aes:
@@ -74,6 +79,7 @@ class Aes:
                 w = [_BOX[x] for x in w]
             words.append([x ^ y for x, y in zip(w, words[-n], strict=True)])
         self.rounds = [sum(words[k : k + 4], []) for k in range(0, len(words), 4)]
+        self.keys = np.array(self.rounds, np.uint8)
 
     def encrypt(self, block: bytes) -> bytes:
         s = [x ^ k for x, k in zip(block, self.rounds[0], strict=True)]
@@ -100,12 +106,19 @@ class Aes:
         return bytes(_UNBOX[s[(i - 4 * (i % 4)) % 16]] ^ self.rounds[0][i] for i in range(16))
 
     def cbc_decrypt(self, data: bytes, iv: bytes) -> bytes:
-        out = bytearray()
-        for k in range(0, len(data) - 15, 16):
-            block = data[k : k + 16]
-            out += bytes(x ^ y for x, y in zip(self.decrypt(block), iv, strict=True))
-            iv = block
-        return bytes(out)
+        """All blocks at once: each needs only the one before it as it was written."""
+        n = len(data) // 16
+        if not n:
+            return b""
+        blocks = np.frombuffer(data, np.uint8, 16 * n).reshape(n, 16)
+        s = blocks ^ self.keys[-1]
+        for key in self.keys[-2:0:-1]:
+            a, b, d, e = ((_NUMPY["box"][s[:, _BACK]] ^ key).reshape(n, 4, 4)[:, :, k] for k in range(4))
+            s = np.stack([_NUMPY[x][a] ^ _NUMPY[y][b] ^ _NUMPY[z][d] ^ _NUMPY[w][e] for x, y, z, w in ((14, 11, 13, 9), (9, 14, 11, 13), (13, 9, 14, 11), (11, 13, 9, 14))], axis=2).reshape(n, 16)
+        s = _NUMPY["box"][s[:, _BACK]] ^ self.keys[0]
+        s[0] ^= np.frombuffer(iv, np.uint8, 16)
+        s[1:] ^= blocks[:-1]
+        return s.tobytes()
 
     def cbc_encrypt(self, data: bytes, iv: bytes) -> bytes:
         out = bytearray()

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
+
 from .geometry import Point, Rect, union
 from .interp import Item
 
@@ -117,26 +120,35 @@ def lines_of(chars: Sequence[Part], p: LayoutParams) -> Iterator[Part]:
 
 
 class Grid:
-    """Parts by the cells they touch."""
+    """Parts by the cells they touch, of a size that follows the part's: it touches four at most, however large it is."""
 
     def __init__(self, parts: Iterable[Part]) -> None:
-        self.cells: dict[tuple[int, int], list[Part]] = {}
+        self.levels: dict[int, dict[tuple[int, int], list[Part]]] = {}
         for part in parts:
             self.add(part)
 
     @staticmethod
-    def _over(r: Rect) -> Iterator[tuple[int, int]]:
-        for i in range(int(r[0] // CELL), int(r[2] // CELL) + 1):
-            for j in range(int(r[1] // CELL), int(r[3] // CELL) + 1):
-                yield i, j
+    def _range(r: Rect, side: float) -> tuple[int, int, int, int]:
+        return int(r[0] // side), int(r[1] // side), int(r[2] // side), int(r[3] // side)
 
     def add(self, part: Part) -> None:
-        for c in self._over(part.bbox):
-            self.cells.setdefault(c, []).append(part)
+        level = max(0, math.frexp(max(part.width, part.height) / CELL)[1])
+        cells = self.levels.setdefault(level, {})
+        a, b, c, d = self._range(part.bbox, CELL * 2.0**level)
+        for i in range(a, c + 1):
+            for j in range(b, d + 1):
+                cells.setdefault((i, j), []).append(part)
 
     def find(self, r: Rect) -> list[Part]:
         """What overlaps a box, in the order of their numbers."""
-        seen = {id(q): q for c in self._over(r) for q in self.cells.get(c, ())}
+        seen: dict[int, Part] = {}
+        for level, cells in self.levels.items():
+            a, b, c, d = self._range(r, CELL * 2.0**level)
+            if (c - a + 1) * (d - b + 1) > len(cells):
+                met = (q for own in cells.values() for q in own)
+            else:
+                met = (q for i in range(a, c + 1) for j in range(b, d + 1) for q in cells.get((i, j), ()))
+            seen.update((id(q), q) for q in met)
         return sorted((q for q in seen.values() if not (q.bbox[2] <= r[0] or r[2] <= q.bbox[0] or q.bbox[3] <= r[1] or r[3] <= q.bbox[1])), key=lambda q: q.order)
 
 
@@ -197,36 +209,67 @@ def grouped(boxes: Sequence[Part], flow: float) -> Part | None:
     for k, b in enumerate(boxes):
         b.order = k
         live[k] = b
-    grid = Grid(boxes)
-    heap: list[tuple[bool, float, int, int]] = []
     items = list(boxes)
-
-    def distance(a: Part, b: Part) -> float:
-        return _area(union((a.bbox, b.bbox)) or a.bbox) - _area(a.bbox) - _area(b.bbox)
-
-    for i in range(len(items)):
-        for j in range(i + 1, len(items)):
-            heap.append((False, distance(items[i], items[j]), i, j))
-    heapq.heapify(heap)
+    corners, areas, alive = np.zeros((2 * len(boxes), 4)), np.zeros(2 * len(boxes)), np.zeros(2 * len(boxes), bool)
+    corners[: len(boxes)] = [b.bbox for b in boxes]
+    areas[: len(boxes)] = [_area(b.bbox) for b in boxes]
+    alive[: len(boxes)] = True
+    # the nearest pairs come from sorted streams: one of all the boxes, then one for each new group
+    heap: list[tuple[bool, float, int, int, int]] = []
+    streams: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    places: list[int] = []
+
+    def distances(box: Rect, others: np.ndarray) -> np.ndarray:
+        w = np.maximum(corners[others, 2], box[2]) - np.minimum(corners[others, 0], box[0])
+        h = np.maximum(corners[others, 3], box[3]) - np.minimum(corners[others, 1], box[1])
+        return w * h
+
+    def proceed(k: int) -> None:
+        """Puts the next pair of a stream whose parts are both still there on the heap."""
+        dist, first, second = streams[k]
+        at = places[k]
+        while at < len(dist) and not (first[at] in live and second[at] in live):
+            at += 1
+        places[k] = at + 1
+        if at < len(dist):
+            heapq.heappush(heap, (False, float(dist[at]), int(first[at]), int(second[at]), k))
+
+    def stream(dist: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
+        order = np.lexsort((second, first, dist))
+        streams.append((dist[order], first[order], second[order]))
+        places.append(0)
+        proceed(len(streams) - 1)
+
+    every = np.arange(len(boxes))
+    pairs = [(distances(b.bbox, every[k + 1 :]) - areas[k] - areas[k + 1 : len(boxes)], np.full(len(boxes) - k - 1, k), every[k + 1 :]) for k, b in enumerate(boxes[:-1])]
+    if pairs:
+        stream(*(np.concatenate(c) for c in zip(*pairs, strict=True)))
     while heap:
-        skip, dist, i, j = heapq.heappop(heap)
+        skip, dist, i, j, k = heapq.heappop(heap)
+        if not skip:
+            proceed(k)
         if i not in live or j not in live:
             continue
         a, b = live[i], live[j]
         if not skip:
-            between = grid.find(union((a.bbox, b.bbox)) or a.bbox)
-            if any(q.order in live and q.order not in (i, j) for q in between):
-                heapq.heappush(heap, (True, dist, i, j))
+            x0, y0, x1, y1 = union((a.bbox, b.bbox)) or a.bbox
+            alive[[i, j]] = False
+            between = (alive & (corners[:, 0] < x1) & (corners[:, 2] > x0) & (corners[:, 1] < y1) & (corners[:, 3] > y0)).any()
+            alive[[i, j]] = True
+            if between:
+                heapq.heappush(heap, (True, dist, i, j, k))
                 continue
         del live[i], live[j]
+        alive[[i, j]] = False
         new = Part("group", union((a.bbox, b.bbox)) or a.bbox, vertical=a.vertical or b.vertical, order=len(items))
         key = (lambda q: -(1 + flow) * (q.bbox[0] + q.bbox[2]) - (1 - flow) * q.bbox[3]) if new.vertical else (lambda q: (1 - flow) * q.bbox[0] - (1 + flow) * (q.bbox[1] + q.bbox[3]))
         new.parts = sorted((a, b), key=key)
-        for k, other in live.items():
-            heapq.heappush(heap, (False, distance(new, other), k, new.order))
         items.append(new)
+        rest = np.flatnonzero(alive)
         live[new.order] = new
-        grid.add(new)
+        corners[new.order], areas[new.order], alive[new.order] = new.bbox, _area(new.bbox), True
+        if len(rest):
+            stream(distances(new.bbox, rest) - areas[new.order] - areas[rest], rest, np.full(len(rest), new.order))
     return next(iter(live.values()))
 
 
