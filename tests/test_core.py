@@ -294,3 +294,41 @@ def test_indirect_objects():
 
 def test_literal_escapes():
     assert list(lexer.tokens(literal(b"a\\b(c)\rd")))[0].value == b"a\\b(c)\rd"
+
+
+def test_predefined_cmaps(tmp_path):
+    """Texts by the CMap's character set; CIDs from a CMap file where a folder has one."""
+
+    def file(encoding, codes):
+        w = Writer()
+        child = w.add({"Type": Name("Font"), "Subtype": Name("CIDFontType0"), "BaseFont": Name("X"), "CIDSystemInfo": {"Registry": b"Adobe", "Ordering": b"Japan1", "Supplement": 2}})
+        font = w.add({"Type": Name("Font"), "Subtype": Name("Type0"), "BaseFont": Name("X"), "Encoding": Name(encoding), "DescendantFonts": [child]})
+        w.page(b"BT /F1 10 Tf 0 0 Td <" + codes.hex().encode() + b"> Tj ET", {"Font": {"F1": font}})
+        return w.save()
+
+    said = "日本語 ABC"
+    for encoding, codes in (("90ms-RKSJ-H", said.encode("cp932")), ("UniJIS-UCS2-H", said.encode("utf-16-be")), ("GBK-EUC-H", said.encode("gbk")), ("H", "日本語".encode("euc_jp").translate(bytes(b & 127 for b in range(256)))), ("KSCms-UHC-V", "한국어".encode("cp949"))):
+        doc = Document(file(encoding, codes))
+        assert [t.chars for t in Interpreter(doc, doc.pages()[0])] == [said if encoding[0] not in "HK" or len(codes) > 8 else "日本語" if encoding == "H" else "한국어"]
+        assert any("no CMap" in x for x in doc.warnings)
+    doc = Document(file("Nobody-Knows-H", b"\0A\0B"))
+    assert [t.chars for t in Interpreter(doc, doc.pages()[0])] == [""]
+    (tmp_path / "90ms-RKSJ-H").write_bytes(b"1 begincodespacerange <8140> <9ffc> endcodespacerange 1 begincidrange <93fa> <93fa> 3284 endcidrange")
+    doc = Document(file("90ms-RKSJ-H", "日".encode("cp932")))
+    doc.cmap_folder = str(tmp_path)
+    (item,) = Interpreter(doc, doc.pages()[0])
+    assert [(g.cid, g.text) for g in item.glyphs] == [(3284, "日")]
+
+
+def test_layout_of_a_huge_glyph_ends():
+    w = Writer()
+    font = w.core_font()
+    w.page(b"BT /F1 1000000 Tf (AB) Tj ET BT /F1 9 Tf 1 0 0 1 40 500 Tm (usual) Tj ET", {"Font": {"F1": font}})
+    doc = Document(w.save())
+    assert {p.kind for p in analyse(Interpreter(doc, doc.pages()[0], "page"))} == {"textbox"}
+
+
+def test_attribute_revisions():
+    """The highest revision counts alone."""
+    doc = Document(Writer().save())
+    assert doc._attributes([{"O": Name("A"), "X": 1}, 0, {"O": Name("A"), "Y": 2}, 3]) == {"O": "A", "Y": 2}

@@ -182,3 +182,66 @@ def test_the_rest_does_without_the_corpus_operators():
         if "llm" not in p.parts:
             assert not re.search(r"(?:from|import)\s+[\w.]*\bllm\b", p.read_text()), p
     assert set(plans.QUERIES) <= set(__spark_entry__.queries())
+
+
+def forms_file():
+    w = Writer()
+    fonts = {"Font": {"F1": w.core_font()}}
+    inner = [w.stream(b"BT /F1 9 Tf 1 0 0 1 40 500 Tm /P <</MCID 0>> BDC (form %d) Tj EMC ET" % k, Type=Name("XObject"), Subtype=Name("Form"), BBox=[0, 0, 600, 800], Resources=fonts) for k in range(2)]
+    w.page(b"/P <</MCID 0>> BDC BT /F1 9 Tf 1 0 0 1 40 700 Tm (page) Tj ET EMC /P <</MCID 1>> BDC /A Do EMC /B Do", fonts | {"XObject": {"A": inner[0], "B": inner[1]}}, StructParents=0)
+    return w.save(), [r.objid for r in inner]
+
+
+def test_sections_belong_to_their_stream(spark):
+    data, (first, second) = forms_file()
+    pdfs = spark.createDataFrame([(1, bytearray(data))], "doc_id bigint, content binary")
+    rows = L.marked_content(relation(pdfs, "content_objects", kinds=["text"], columns=L.SECTION_COLUMNS)).collect()
+    assert {(r["mcid_stream"], r["mcid"], r["text"]) for r in rows} == {(None, 0, "page"), (first, 0, "form 0"), (second, 0, "form 1")}
+
+
+def test_only_what_is_asked_for_is_built(spark):
+    data, _ = forms_file()
+    pdfs = spark.createDataFrame([(1, bytearray(data))], "doc_id bigint, content binary")
+    few = relation(pdfs, "content_objects", columns=["chars", "mcid"])
+    assert few.columns == ["doc_id", "chars", "mcid"] and few.where("chars = 'page' and mcid = 0").count() == 1
+    ops = relation(pdfs, "page_ops", ops=["Do", "BMC"]).collect()
+    assert [(r["op"], r["args"]) for r in ops] == [("Do", '["A"]'), ("Do", '["B"]')]
+    assert relation(pdfs, "objects", key="BBox", columns=["obj"]).count() == 2
+
+
+def test_large_boxes_meet_without_cells(spark):
+    import random
+
+    r = random.Random(2)
+
+    def box(size):
+        x, y = r.uniform(-300, 300), r.uniform(-300, 300)
+        return (x, y, x + r.uniform(1, size), y + r.uniform(1, size))
+
+    sides = [[(k, n, box(1e9 if n % 7 == 0 else 200)) for k in range(2) for n in range(30)] for _ in range(2)]
+    schema = "k int, n int, bbox struct<x0:double,y0:double,x1:double,y1:double>"
+    a, b = (spark.createDataFrame(s, schema) for s in sides)
+    found = sorted((x["k"], x["n"], x["r_n"]) for x in L.spatial_join(a, b, ["k"]).collect())
+    over = lambda p, q: p[0] < q[2] and q[0] < p[2] and p[1] < q[3] and q[1] < p[3]
+    assert found == sorted((k, n, m) for k, n, p in sides[0] for j, m, q in sides[1] if j == k and over(p, q))
+
+
+def test_data_source_ids_columns_and_patterns(spark, tmp_path):
+    data, _ = forms_file()
+    (tmp_path / "in").mkdir()
+    for name in ("a.pdf", "in/b.pdf", "c.txt"):
+        (tmp_path / name).write_bytes(data)
+    files.register(spark)
+    rows = spark.read.format("pdf").option("relation", "pages").option("columns", "page_idx").load(str(tmp_path))
+    assert rows.columns == ["doc_id", "page_idx"]
+    assert {r["doc_id"] for r in rows.collect()} == {r["doc_id"] for r in files.read_files(spark, str(tmp_path)).collect()}
+    assert spark.read.format("pdf").load(f"file://{tmp_path}/a.pdf").count() == 1 and spark.read.format("pdf").load(f"{tmp_path}/in/*.pdf").count() == 1
+    assert spark.read.format("pdf").option("relation", "content_objects").load(str(tmp_path)).where("object_type = 'text'").count() == 6
+
+
+def test_table_functions_take_options(spark):
+    data, _ = forms_file()
+    files.register(spark)
+    spark.createDataFrame([(1, bytearray(data))], "doc_id bigint, content binary").createOrReplaceTempView("some_files")
+    rows = spark.sql("SELECT t.op FROM some_files f, LATERAL pdf_page_ops(f.doc_id, f.content, map('ops', 'Tj,Do')) t").collect()
+    assert sorted(r["op"] for r in rows) == ["Do", "Do", "Tj"]

@@ -56,6 +56,8 @@ class Document:
     def __init__(self, data: bytes, password: str = "", strict: bool = False) -> None:
         self.data, self.strict = data, strict
         self.warnings: list[str] = []
+        #: Where CMap files lie, by their names.
+        self.cmap_folder: str | None = None
         self.security: Security | None = None
         m = re.search(rb"%PDF-(\d\.\d)?", data)
         self.offset = m.start() if m else 0

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 from .encodings import DINGBATS, ENCODINGS, STANDARD, SYMBOL, core_font, core_shape, core_widths, glyph_text
@@ -109,6 +110,74 @@ def identity_cmap(size: int, vertical: bool) -> CMap:
     return out
 
 
+#: Character sets of the predefined CMaps, by what their names begin with, as Python's codecs.
+CHARSETS = {
+    "90ms-RKSJ": "cp932", "90msp-RKSJ": "cp932", "83pv-RKSJ": "shift_jis", "90pv-RKSJ": "cp932", "Add-RKSJ": "shift_jis", "Ext-RKSJ": "shift_jis", "EUC-": "euc_jp",
+    "GBK": "gbk", "GB-EUC": "gb2312", "GBpc-EUC": "gb2312", "GBT-EUC": "gb2312", "ETen-B5": "cp950", "ETenms-B5": "cp950", "B5pc": "big5", "HKscs-B5": "big5hkscs", "CNS-EUC": "euc_tw",
+    "KSCms-UHC": "cp949", "KSC-EUC": "euc_kr", "KSCpc-EUC": "euc_kr", "KSC-Johab": "johab",
+}
+
+
+def charset(name: str) -> str | None:
+    """The codec of a predefined CMap's codes."""
+    if name in ("H", "V", "Add-H", "Add-V", "Ext-H", "Ext-V"):
+        return "iso2022_jp"  # rows and cells of JIS X 0208
+    if "UCS2" in name or "UTF16" in name:
+        return "utf-16-be"
+    if "UTF32" in name:
+        return "utf-32-be"
+    if "UTF8" in name:
+        return "utf-8"
+    return next((c for start, c in CHARSETS.items() if name.startswith(start)), None)
+
+
+def code_texts(name: str) -> Callable[[int, int], str] | None:
+    """(bytes, code) -> text for a predefined CMap whose character set is known."""
+    codec = charset(name)
+    try:
+        codecs.lookup(codec or "")
+    except LookupError:
+        return None
+
+    def text(size: int, code: int) -> str:
+        raw = code.to_bytes(size, "big")
+        return (b"\x1b$B" + raw + b"\x1b(B" if codec == "iso2022_jp" else raw).decode(codec or "ascii", "ignore")
+
+    return text
+
+
+def code_spaces(name: str) -> list[tuple[int, int, int]]:
+    """The code lengths of a predefined CMap by its character set."""
+    codec = charset(name)
+    if codec == "utf-16-be":
+        return [(2, 0, 0xD7FF), (4, 0xD800DC00, 0xDBFFDFFF), (2, 0xE000, 0xFFFF)]
+    if codec == "utf-32-be":
+        return [(4, 0, 0x0010FFFF)]
+    if codec in ("cp932", "shift_jis"):
+        return [(1, 0, 0x80), (1, 0xA0, 0xDF), (2, 0x8140, 0x9FFC), (2, 0xE040, 0xFCFC)]
+    if codec in (None, "iso2022_jp"):
+        return [(2, 0, 0xFFFF)]
+    return [(1, 0, 0x80), (2, 0x8130, 0xFEFE)]
+
+
+def predefined_cmap(folder: str | None, name: str) -> CMap | None:
+    """A CMap file of that name in a folder, with what it builds upon."""
+    if not folder or "/" in name or name.startswith("."):
+        return None
+    try:
+        with open(f"{folder}/{name}", "rb") as f:
+            data = f.read()
+    except OSError:
+        return None
+    found = CMap.parse(data)
+    for base in re.findall(rb"/([\w.-]+)\s+usecmap", data):
+        if base.decode() != name and (below := predefined_cmap(folder, base.decode())) is not None:
+            found.spaces = sorted({*below.spaces, *found.spaces})
+            found.cids = below.cids | found.cids
+            found.ranges = below.ranges + found.ranges
+    return found
+
+
 def truetype_texts(data: bytes) -> dict[int, str]:
     """Glyph -> text by a Unicode table of a TrueType program."""
     out: dict[int, str] = {}
@@ -370,13 +439,21 @@ class Font:
 
     def _composite(self) -> None:
         doc = self.doc
+        self.code_text: Callable[[int, int], str] | None = None
         encoding = doc.resolve(self.attrs.get("Encoding"))
         self.cmap = identity_cmap(2, False)
         if isinstance(encoding, Name):
             said = str(encoding).replace("DLIdent", "Identity")
             self.cmap = identity_cmap(1 if said.startswith("OneByteIdentity") else 2, said.endswith("V"))
             if "Identity" not in said:
-                doc.warnings.append(f"font {self.name}: unsupported CMap {said}")
+                self.code_text = code_texts(said)
+                found = predefined_cmap(doc.cmap_folder, said)
+                if found is not None:
+                    found.vertical = found.vertical or self.cmap.vertical
+                    self.cmap = found
+                else:
+                    self.cmap.spaces = code_spaces(said)
+                    doc.warnings.append(f"font {self.name}: no CMap {said}" + ("" if self.code_text else ", so its texts aren't known"))
         elif isinstance(encoding, Stream):
             self.cmap = CMap.parse(self._bytes(encoding))
             mode = doc.resolve(encoding.attrs.get("WMode"))
@@ -413,6 +490,7 @@ class Font:
                 k += 5
             else:
                 break
+        self.unknown = isinstance(encoding, Name) and "Ident" not in str(encoding)
         self._glyph_texts: dict[int, str] = {}
         if self.to_unicode is None and self.embedded == "FontFile2":
             self._glyph_texts = truetype_texts(self._bytes(self.program))
@@ -429,6 +507,10 @@ class Font:
                 yield cid, self.to_unicode.texts.get(code, chr(code))
             elif self._glyph_texts:
                 yield cid, self._glyph_texts.get(cid, "")
+            elif self.code_text is not None:
+                yield cid, self.code_text(size, code)
+            elif self.unknown:
+                yield cid, ""
             else:
                 yield cid, chr(cid) if cid < 0x110000 and not 0xD800 <= cid < 0xE000 else ""
 

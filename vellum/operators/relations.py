@@ -318,6 +318,7 @@ def rows_of(relation: str, doc_id: Any, content: bytes | None, options: Options)
     """The rows of one file in a relation."""
     try:
         doc = Document(bytes(content or b""), options.get("password", ""), options.get("strict", False))
+        doc.cmap_folder = options.get("cmap_folder")
         for row in READERS[relation](doc, options):
             yield {"doc_id": doc_id, **row}
     except (PdfError, ValueError, TypeError, IndexError, KeyError, AttributeError, RecursionError, ArithmeticError) as e:
@@ -327,15 +328,20 @@ def rows_of(relation: str, doc_id: Any, content: bytes | None, options: Options)
             yield {"doc_id": doc_id, "length": None if content is None else len(content), "error": f"{type(e).__name__}: {e}", "warnings": []}
 
 
-def column_names(ddl: str) -> list[str]:
-    """The columns of a schema, without a session to parse it."""
-    names, depth, start = [], 0, 0
+def column_definitions(ddl: str) -> dict[str, str]:
+    """The columns of a schema with their definitions, without a session to parse it."""
+    found, depth, start = {}, 0, 0
     for k, c in enumerate(ddl + ","):
         depth += (c == "<") - (c == ">")
         if c == "," and not depth:
-            names.append(ddl[start:k].split()[0])
+            own = ddl[start:k].strip()
+            found[own.split()[0]] = own
             start = k + 1
-    return names
+    return found
+
+
+def column_names(ddl: str) -> list[str]:
+    return list(column_definitions(ddl))
 
 
 def batches(schema: pa.Schema, rows: Iterator[dict[str, Any]]) -> Iterator[pa.RecordBatch]:
@@ -383,7 +389,8 @@ def split_pages(pdfs: DataFrame, pages_per_row: int) -> DataFrame:
 
 
 def register_functions(spark: SparkSession) -> None:
-    """SQL table functions pdf_<relation>(doc_id, content), for LATERAL joins."""
+    """SQL table functions pdf_<relation>(doc_id, content [, options]), for LATERAL joins; options is a map of strings:
+    password, space, mode, and with commas kinds, ops, columns (others are null)."""
     from pyspark.sql.functions import udtf
 
     for name in READERS:
@@ -392,8 +399,9 @@ def register_functions(spark: SparkSession) -> None:
             columns = column_names(SCHEMAS[relation_name])
 
             class Reader:
-                def eval(self, doc_id: int, content: bytes) -> Iterator[tuple]:
-                    for row in rows_of(relation_name, doc_id, content, {}):
+                def eval(self, doc_id: int, content: bytes, options: dict[str, str] | None = None) -> Iterator[tuple]:
+                    said: Options = {k: v.split(",") if k in ("kinds", "ops", "columns") else v for k, v in (options or {}).items()}
+                    for row in rows_of(relation_name, doc_id, content, said):
                         yield tuple(row.get(c) for c in columns)
 
             return Reader

@@ -42,8 +42,6 @@ def latin(s: str) -> bytes:
     return literal(s.encode("latin-1", "replace"))
 
 
-ASCII_ONLY = "[^ -~]"
-
 # texts
 
 
@@ -71,12 +69,12 @@ def turns(_: int, rows: Rows) -> bytes:
 
 
 @query(
-    f"""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '{ASCII_ONLY}', '', 'g') AS s FROM conversations)
+    """WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[^ -~\u00a1-\u00ff]', '', 'g') AS s FROM conversations)
 SELECT CAST(conv_id AS BIGINT) AS doc_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, s) - 1 AS INTEGER) AS page_idx, md5(s) AS digest, CAST(length(s) AS BIGINT) AS n_chars,
 CAST(ceil(length(s) / 80.0) AS INTEGER) AS n_lines FROM t"""
 )
 def text_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").withColumn("text", F.regexp_replace("text", ASCII_ONLY, ""))
+    rows = table(spark, sf_dir, "conversations").withColumn("text", F.regexp_replace("text", "[^ -~\u00a1-\u00ff]", ""))
     pdfs = render(grouped(rows, "conv_id", "turn", "text"), turns)
     whole = F.replace("text", F.lit("\n"), F.lit(""))
     lines = F.when(F.length("text") == 0, 0).otherwise(F.size(F.split("text", "\n")))
@@ -649,6 +647,153 @@ def codec_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.get_json_object("obj", "$.Item").cast("bigint").alias("item"), F.md5(said.cast("binary")).alias("digest")).groupBy("item", "digest").agg(F.count("*").alias("chains"))
 
 
+def lzw_codes(raw: bytes) -> bytes:
+    """LZW with matches and codes of 9 to 12 bits, and a clear code when the table is full."""
+    out, held, width = 0, 0, 9
+    packed = bytearray()
+    table: dict[bytes, int] = {bytes([k]): k for k in range(256)}
+
+    def put(code: int) -> None:
+        nonlocal out, held
+        out, held = out << width | code, held + width
+        while held >= 8:
+            held -= 8
+            packed.append(out >> held)
+            out &= (1 << held) - 1
+
+    put(256)
+    size, at = 258, b""
+    for k in range(len(raw)):
+        c = raw[k : k + 1]
+        if at + c in table:
+            at += c
+            continue
+        put(table[at])
+        table[at + c] = size
+        size += 1
+        width = min(12, max(9, size.bit_length()))
+        if size == 4095:
+            put(256)
+            table, size, width = {bytes([k]): k for k in range(256)}, 258, 9
+        at = c
+    if at:
+        put(table[at])
+        size += 1
+        width = min(12, max(9, size.bit_length()))
+    put(257)
+    if held:
+        packed.append(out << (8 - held) & 255)
+    return bytes(packed)
+
+
+def run_lengths(raw: bytes) -> bytes:
+    """Runs of three and more as repeats, the rest as copies."""
+    import re
+
+    out = bytearray()
+    at = 0
+    for m in [*re.finditer(rb"(?s)(.)\1{2,127}", raw), None]:
+        stop = m.start() if m else len(raw)
+        for k in range(at, stop, 128):
+            piece = raw[k : min(k + 128, stop)]
+            out += bytes([len(piece) - 1]) + piece
+        if m:
+            out += bytes([257 - len(m[0])]) + m[1]
+            at = m.end()
+    return bytes(out) + b"\x80"
+
+
+def png_rows(raw: bytes, size: int) -> bytes:
+    """Every kind of PNG prediction by turns: none, left, up, average, Paeth."""
+    above, out = bytes(size), bytearray()
+    for n, k in enumerate(range(0, len(raw), size)):
+        line, how = raw[k : k + size], n % 5
+        left, corner = bytes(1) + line[:-1], bytes(1) + above[:-1]
+        if how == 4:
+            guess = bytes(min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2] for a, b, c in zip(left, above, corner, strict=True))
+        else:
+            guess = (bytes(size), left, above, bytes((a + b) // 2 for a, b in zip(left, above, strict=True)))[how]
+        out += bytes([how]) + bytes((x - g) & 255 for x, g in zip(line, guess, strict=True))
+        above = line
+    return bytes(out)
+
+
+def filtered_documents(_: int, rows: Rows) -> bytes:
+    """Each text four times, whole: LZW, run lengths within ASCII85, all PNG predictions, LZW within hexadecimal digits."""
+    import base64
+    import zlib
+
+    w = Writer()
+    for r in rows:
+        raw = r["text"].encode()
+        padded = raw + b" " * (-len(raw) % 64)
+        w.stream(lzw_codes(raw), Filter=Name("LZWDecode"), Item=r["doc_id"])
+        w.stream(base64.a85encode(run_lengths(raw)) + b"~>", Filter=[Name("ASCII85Decode"), Name("RunLengthDecode")], Item=r["doc_id"])
+        w.stream(zlib.compress(png_rows(padded, 64)), Filter=Name("FlateDecode"), DecodeParms={"Predictor": 15, "Columns": 64}, Item=r["doc_id"])
+        w.stream(lzw_codes(raw).hex().encode() + b">", Filter=[Name("AHx"), Name("LZW")], Item=r["doc_id"])
+    return w.save(xref="stream")
+
+
+@query("SELECT CAST(doc_id AS BIGINT) AS item, md5(rtrim(text, ' ')) AS digest, CAST(4 * count(*) AS BIGINT) AS chains FROM documents GROUP BY doc_id, text")
+def document_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pdfs = render(grouped(table(spark, sf_dir, "documents"), F.floor(F.col("doc_id") / 20), "doc_id", "text"), filtered_documents)
+    o = relation(pdfs, "objects", key="Item", columns=["obj", "decoded"])
+    said = F.rtrim(F.decode("decoded", "UTF-8"))
+    return o.select(F.get_json_object("obj", "$.Item").cast("bigint").alias("item"), F.md5(said.cast("binary")).alias("digest")).groupBy("item", "digest").agg(F.count("*").alias("chains"))
+
+
+def secured(w: Writer, seed: str) -> None:
+    """AES-256 by revision 5, for the user's empty password."""
+    from hashlib import md5, sha256
+
+    from ..core.crypto import Aes
+
+    key = sha256(b"key" + seed.encode()).digest()
+    salts = [md5(f"{k}{seed}".encode()).digest()[:8] for k in range(4)]
+
+    def entry(password: bytes, check: bytes, own: bytes, user: bytes = b"") -> tuple[bytes, bytes]:
+        return sha256(password + check + user).digest() + check + own, Aes(sha256(password + own + user).digest()).cbc_encrypt(key, bytes(16))
+
+    u, ue = entry(b"", salts[0], salts[1])
+    o, oe = entry(b"owner", salts[2], salts[3], u)
+    perms = Aes(key).encrypt((-44 & 0xFFFFFFFF).to_bytes(4, "little") + b"\xff\xff\xff\xffTadb" + b"fill")
+    crypt = {"CFM": Name("AESV3"), "AuthEvent": Name("DocOpen"), "Length": 32}
+    encrypt: dict[str, Any] = {"Filter": Name("Standard"), "V": 5, "R": 5, "O": o, "U": u, "OE": oe, "UE": ue, "Perms": perms, "P": -44, "Length": 256, "CF": {"StdCF": crypt}, "StmF": Name("StdCF"), "StrF": Name("StdCF")}
+    w.extra = {"Encrypt": w.add(encrypt), "ID": [salts[0], salts[0]], "_encrypt": encrypt}
+
+    def cipher(objid: int, data: bytes) -> bytes:
+        iv, pad = md5(f"{seed}/{objid}".encode()).digest(), 16 - len(data) % 16
+        return iv + Aes(key).cbc_encrypt(data + bytes([pad]) * pad, iv)
+
+    w.encrypt = cipher
+
+
+def document_pages(doc_id: int, rows: Rows) -> bytes:
+    """Whole texts on pages of a hundred lines: plain files, object streams, AES-256, and LZW content by turns."""
+    w = Writer()
+    fonts = {"Font": {"F1": w.core_font("Courier")}}
+    for r in rows:
+        lines = [line[k : k + 80] for line in r["text"].split("\n") for k in range(0, len(line), 80)]
+        for k in range(0, len(lines), 100):
+            body = show_lines(lines[k : k + 100], size=6, leading=7)
+            if doc_id % 4 == 3:
+                w.page(w.stream(lzw_codes(body), Filter=Name("LZWDecode")), fonts)
+            else:
+                w.page(body, fonts, compress=doc_id % 4 != 2)
+    if doc_id % 4 == 2:
+        secured(w, str(doc_id))
+    return w.save(xref="objects" if doc_id % 4 == 1 else "table")
+
+
+@query("SELECT CAST(doc_id AS BIGINT) AS doc_id, md5(replace(text, chr(10), '')) AS digest, CAST(length(replace(text, chr(10), '')) AS BIGINT) AS n_chars FROM documents")
+def document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole text of every document in all its languages, from the pages it was set on."""
+    pdfs = render(grouped(table(spark, sf_dir, "documents"), "doc_id", "text"), document_pages)
+    pages = relation(pdfs, "page_text").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_idx", "text"))).alias("p"))
+    whole = F.replace(F.array_join(F.transform("p", lambda x: x.getField("text")), ""), F.lit("\n"), F.lit(""))
+    return pages.select("doc_id", F.md5(whole.cast("binary")).alias("digest"), F.length(whole).cast("bigint").alias("n_chars"))
+
+
 def number_tree(_: int, rows: Rows) -> bytes:
     w = Writer()
     w.page(b"")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
-from ..operators.relations import READERS, SCHEMAS, column_names, relation, rows_of
+from ..operators.relations import READERS, SCHEMAS, batches, column_definitions, relation, rows_of
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*.pdf", max_bytes: int | None = None) -> DataFrame:
@@ -66,14 +66,36 @@ def parse_pdf(spark: SparkSession, content: bytes, **options: Any) -> Corpus:
     return Corpus(spark.createDataFrame([(0, bytearray(content))], "doc_id bigint, content binary"), **options)
 
 
+def opened(uri: str) -> tuple[Any, str, str]:
+    """(file system, path in it, what a path is prefixed with to name it as Spark does) of a local path or a URI (file, hdfs, s3, ...)."""
+    from pyarrow import fs
+
+    if "://" not in uri:
+        return fs.LocalFileSystem(), os.path.abspath(uri.removeprefix("file:")), "file:"
+    system, path = fs.FileSystem.from_uri(uri)
+    return system, path, "file:" if uri.startswith("file:") else uri[: uri.index(path.rstrip("/"))]
+
+
+def path_id(path: str) -> int:
+    """The doc_id of a path, as Spark's xxhash64 has it."""
+    import xxhash
+
+    n = xxhash.xxh64_intdigest(path, seed=42)
+    return n - (1 << 64) if n >> 63 else n
+
+
 class FilePartition(InputPartition):
     def __init__(self, paths: list[str]) -> None:
         self.paths = paths
 
 
+#: Bytes of the files of one partition.
+PARTITION_BYTES = 64 << 20
+
+
 class PdfReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]) -> None:
-        self.options, self.relation = options, options.get("relation", "documents")
+    def __init__(self, options: dict[str, str], schema: Any, columns: list[str]) -> None:
+        self.options, self.relation, self.schema, self.columns = options, options.get("relation", "documents"), schema, columns
         self.kinds: list[str] | None = None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
@@ -84,48 +106,71 @@ class PdfReader(DataSourceReader):
             yield f  # rows are filtered by Spark as well
 
     def partitions(self) -> list[FilePartition]:
-        import glob
-
-        root = self.options["path"].removeprefix("file://").removeprefix("file:")
-        found = sorted(glob.glob(f"{root}/**/*.pdf", recursive=True)) if os.path.isdir(root) else sorted(glob.glob(root))
-        # files of a partition: about 64 MB
+        """The files under a folder, or those that a pattern names, by their sizes: one listing, without opening any."""
+        from fnmatch import fnmatch
+
+        from pyarrow import fs
+
+        system, path, _ = opened(self.options["path"])
+        pattern = next((k for k, c in enumerate(path) if c in "*?["), None)
+        if pattern is None and system.get_file_info(path).is_file:
+            found = [system.get_file_info(path)]
+        else:
+            base = path if pattern is None else path[:pattern].rpartition("/")[0]
+            wanted = f"{path.rstrip('/')}/*.pdf" if pattern is None else path
+            infos = system.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
+            found = sorted((i for i in infos if i.is_file and fnmatch(i.path, wanted)), key=lambda i: i.path)
         parts: list[list[str]] = []
-        size = 1 << 60
-        for p in found:
-            n = os.path.getsize(p)
-            if size + n > 64 << 20:
+        size = PARTITION_BYTES + 1
+        for i in found:
+            if size + i.size > PARTITION_BYTES:
                 parts.append([])
                 size = 0
-            parts[-1].append(p)
-            size += n
+            parts[-1].append(i.path)
+            size += i.size
         return [FilePartition(p) for p in parts]
 
-    def read(self, partition: FilePartition) -> Iterator[tuple]:
-        columns = column_names(SCHEMAS[self.relation])
-        options: dict[str, Any] = {k: self.options[k] for k in ("password", "space", "mode") if k in self.options}
+    def read(self, partition: FilePartition) -> Iterator[Any]:
+        """Arrow batches."""
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        options: dict[str, Any] = {k: self.options[k] for k in ("password", "space", "mode", "cmap_folder") if k in self.options}
+        if self.columns:
+            options["columns"] = self.columns
         if self.kinds:
             options["kinds"] = self.kinds
-        for path in partition.paths:
-            from zlib import crc32
+        system, _, prefix = opened(self.options["path"])
 
-            with open(path, "rb") as f:
-                content = f.read()
-            for row in rows_of(self.relation, crc32(os.path.abspath(path).encode()), content, options):
-                yield tuple(row.get(c) for c in columns)
+        def every() -> Iterator[dict[str, Any]]:
+            for path in partition.paths:
+                with system.open_input_file(path) as f:
+                    content = f.read()
+                yield from rows_of(self.relation, path_id(prefix + path), content, options)
+
+        yield from batches(to_arrow_schema(self.schema), every())
 
 
 class PdfDataSource(DataSource):
-    """spark.read.format("pdf").option("relation", "pages").load(folder), for folders all workers can open."""
+    """spark.read.format("pdf").option("relation", "pages").load(folder), for folders and URIs that all workers can open.
+
+    Option columns: a list with commas; only these are built. doc_id is that of read_files.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "pdf"
 
     def schema(self) -> str:
-        return SCHEMAS[self.options.get("relation", "documents")]
+        whole = SCHEMAS[self.options.get("relation", "documents")]
+        own = column_definitions(whole)
+        return ", ".join(own[c] for c in self._columns()) or whole
+
+    def _columns(self) -> list[str]:
+        own = [c.strip() for c in self.options.get("columns", "").split(",") if c.strip()]
+        return ["doc_id", *(c for c in own if c != "doc_id")] if own else []
 
     def reader(self, schema: Any) -> PdfReader:
-        return PdfReader(dict(self.options))
+        return PdfReader(dict(self.options), schema, self._columns())
 
 
 def register(spark: SparkSession) -> None:
@@ -137,16 +182,17 @@ def register(spark: SparkSession) -> None:
 
 
 def write_images(images: DataFrame, folder: str) -> DataFrame:
-    """Writes each image as a file of its own, from the workers; the rows with the paths written."""
+    """Writes each image as a file of its own, from the workers, to a folder or URI that they share; the rows with the paths written."""
     import pandas as pd
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(folder, exist_ok=True)
+        system, root, _ = opened(folder)
+        system.create_dir(root)
         for part in parts:
             paths = []
             for r in part.itertuples():
-                paths.append(f"{folder}/doc{r.doc_id}-page{r.page_idx + 1}-{r.item_seq}-{r.part}{r.suffix}")
-                with open(paths[-1], "wb") as f:
+                paths.append(f"{root}/doc{r.doc_id}-page{r.page_idx + 1}-{r.item_seq}-{r.part}{r.suffix}")
+                with system.open_output_stream(paths[-1]) as f:
                     f.write(r.bytes)
             yield pd.DataFrame({"doc_id": part["doc_id"], "page_idx": part["page_idx"], "path": paths})
 
@@ -160,13 +206,14 @@ def write_fonts(fonts: DataFrame, folder: str) -> DataFrame:
     first = fonts.where("program is not null").groupBy("doc_id", "fontname").agg(F.min_by(F.struct("embedded_kind", "program"), F.struct("page_idx", "ordinal")).alias("f"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(folder, exist_ok=True)
+        system, root, _ = opened(folder)
+        system.create_dir(root)
         for part in parts:
             paths = []
             for r in part.itertuples():
                 suffix = {"FontFile": ".pfa", "FontFile2": ".ttf", "FontFile3": ".cff"}[r.embedded_kind]
-                paths.append(f"{folder}/doc{r.doc_id}-{r.fontname.replace('/', '_')}{suffix}")
-                with open(paths[-1], "wb") as f:
+                paths.append(f"{root}/doc{r.doc_id}-{r.fontname.replace('/', '_')}{suffix}")
+                with system.open_output_stream(paths[-1]) as f:
                     f.write(r.program)
             yield pd.DataFrame({"doc_id": part["doc_id"], "fontname": part["fontname"], "path": paths})
 
