@@ -332,3 +332,28 @@ def test_attribute_revisions():
     """The highest revision counts alone."""
     doc = Document(Writer().save())
     assert doc._attributes([{"O": Name("A"), "X": 1}, 0, {"O": Name("A"), "Y": 2}, 3]) == {"O": "A", "Y": 2}
+
+
+def test_passwords_that_cannot_be():
+    assert crypto.prepared("a b­c") == "a bc" and crypto.prepared("Ⅸ") == "IX"
+    for bad in ("a\u0007", "ا1", ""):
+        with pytest.raises(WrongPassword):
+            crypto.prepared(bad)
+
+
+def test_forms_of_values():
+    from vellum.core import values
+
+    class Odd(bytes):
+        pass
+
+    values.register_form(Odd, lambda v: ["odd", len(v)])
+    try:
+        assert plain({"A": [Odd(b"xy"), b"xy"]}) == {"A": [["odd", 2], "xy"]}
+    finally:
+        values._FORMS.clear()
+
+
+def test_glyph_names_and_widths_of_symbols():
+    assert {n: glyph_text(n) for n in ("kahiragana", "smallhiragana", "acyrillic", "alefhebrew", "onecircle", "Amonospace", "fivesuperior", "kadeva")} == {"kahiragana": "か", "smallhiragana": "", "acyrillic": "а", "alefhebrew": "א", "onecircle": "①", "Amonospace": "Ａ", "fivesuperior": "⁵", "kadeva": "क"}
+    assert core_widths("Symbol")["α"] == 631 and core_widths("ZapfDingbats")["✁"] == 974 and core_widths("Symbol")["∞"] == 713

@@ -245,3 +245,54 @@ def test_table_functions_take_options(spark):
     spark.createDataFrame([(1, bytearray(data))], "doc_id bigint, content binary").createOrReplaceTempView("some_files")
     rows = spark.sql("SELECT t.op FROM some_files f, LATERAL pdf_page_ops(f.doc_id, f.content, map('ops', 'Tj,Do')) t").collect()
     assert sorted(r["op"] for r in rows) == ["Do", "Do", "Tj"]
+
+
+def test_coercion_of_objects(spark):
+    from vellum.functions import values as V
+
+    said = ["true", "12", "-3", "2.5", '"a\\"b"', "[1,2]", '{"A":1}', '{"stream":{"L":2},"length":2}', "[1,2,3,4]", "[4,3,2,1]", "[1,0,0,1,5,6]", "null", '["x",2]']
+    df = spark.createDataFrame([(s,) for s in said], "obj string")
+    kinds = ("bool", "int", "uint", "number", "text", "list", "dict", "stream", "point", "rect", "matrix")
+    out = {r["obj"]: r for r in df.select("obj", *(V.coerce(F.col("obj"), k).alias(k) for k in kinds)).collect()}
+    filled = {s: {k for k in kinds if out[s][k] is not None} for s in said}
+    assert filled["true"] == {"bool"} and filled["12"] == {"int", "uint", "number"} and filled["-3"] == {"int", "number"} and filled["2.5"] == {"number"} and filled['"a\\"b"'] == {"text"}
+    assert filled["[1,2]"] == {"list", "point"} and filled['{"A":1}'] == {"dict"} and filled[said[7]] == {"stream"} and filled["null"] == set() and filled['["x",2]'] == {"list"}
+    assert out["[4,3,2,1]"]["rect"].asDict() == {"x0": 2, "y0": 1, "x1": 4, "y1": 3} and out["[1,0,0,1,5,6]"]["matrix"]["f"] == 6 and out['"a\\"b"']["text"] == 'a"b'
+
+
+def test_bytes_and_parts(spark):
+    from vellum.functions import values as V
+
+    df = spark.createDataFrame([(bytearray(b"\x01\x02"), [1, 2, 3, 4, 5]), (bytearray(), []), (None, None)], "b binary, a array<int>")
+    rows = df.select(V.big_endian(F.col("b"), 7).alias("n"), V.chunks(F.col("a"), 2).alias("c")).collect()
+    assert [(r["n"], r["c"]) for r in rows] == [(258, [[1, 2], [3, 4]]), (7, []), (None, None)]
+
+
+def test_json_schemas(spark):
+    from vellum.operators.export import json_schemas
+
+    own = json_schemas()
+    assert set(own) == set(READERS) and own["pages"]["properties"]["mediabox"]["properties"]["x0"] == {"type": "number"} and own["objects"]["properties"]["filters"]["items"] == {"type": "string"}
+
+
+def test_order_identity_and_targets_of_the_structure(spark):
+    customer = spark.createDataFrame([(1, "a name", "MACHINERY", 5.0, 0), (2, "b name", "BUILDING", 6.0, 0)], "c_custkey bigint, c_name string, c_mktsegment string, c_acctbal double, c_nationkey bigint")
+    pdfs = plans.render(plans.grouped(customer, "c_nationkey", "c_custkey", "c_name", "c_mktsegment", "c_acctbal"), plans.with_forms)
+    nodes, items = relation(pdfs, "struct_nodes"), relation(pdfs, "content_objects")
+    places = L.content_order(nodes, L.marked_content(items)).orderBy("page_idx", "place").join(nodes.select("doc_id", "node_id", "kind", "stream_id"), ["doc_id", "node_id"]).orderBy("page_idx", "place").collect()
+    assert [r["kind"] for r in places[:4]] == ["object", "item", "item", "item"] and places[1]["stream_id"] is None
+    assert L.with_identity(nodes).select("identity").distinct().count() == nodes.count()
+    targets = L.object_targets(nodes, relation(pdfs, "annotations"), items).collect()
+    assert [(r["target"], r["page_idx"]) for r in sorted(targets, key=lambda r: r["page_idx"])] == [("image", 0), ("image", 1)]
+    pages = relation(pdfs, "pages")
+    refs = pages.select("doc_id", F.col("page_objid").alias("objid"), F.col("page_idx").alias("want"))
+    assert L.page_by_objid(pages, refs).where("page_idx = want").count() == 2
+
+
+def test_destinations_in_device_space(spark):
+    w = Writer()
+    page = w.page(b"", None, MediaBox=[0, 0, 600, 800])
+    w.catalog["Dests"] = {"here": [page, Name("XYZ"), 100, 700, None], "part": [page, Name("FitR"), 10, 20, 30, 40]}
+    pdfs = spark.createDataFrame([(1, bytearray(w.save()))], "doc_id bigint, content binary")
+    rows = {r["name"]: r for r in L.device_destinations(relation(pdfs, "destinations"), relation(pdfs, "pages")).collect()}
+    assert (rows["here"]["left"], rows["here"]["top"]) == (100, 100) and rows["part"]["bbox"].asDict() == {"x0": 10, "y0": 760, "x1": 30, "y1": 780}

@@ -134,9 +134,15 @@ def unpadded(data: bytes) -> bytes:
 
 
 def prepared(password: str) -> str:
-    """SASLprep: mapped, normalised; forbidden characters are left out."""
+    """SASLprep: mapped, normalised; a password with forbidden characters, or with both directions of writing, is wrong."""
     mapped = "".join(" " if stringprep.in_table_c12(c) else "" if stringprep.in_table_b1(c) else c for c in password)
-    return "".join(c for c in unicodedata.normalize("NFKC", mapped) if not stringprep.in_table_c21_c22(c))
+    said = unicodedata.normalize("NFKC", mapped)
+    forbidden = (stringprep.in_table_c12, stringprep.in_table_c21_c22, stringprep.in_table_c3, stringprep.in_table_c4, stringprep.in_table_c5, stringprep.in_table_c6, stringprep.in_table_c7, stringprep.in_table_c8, stringprep.in_table_c9)
+    if any(f(c) for c in said for f in forbidden):
+        raise WrongPassword("the password has characters that aren't allowed")
+    if any(map(stringprep.in_table_d1, said)) and not (stringprep.in_table_d1(said[0]) and stringprep.in_table_d1(said[-1]) and not any(map(stringprep.in_table_d2, said))):
+        raise WrongPassword("the password mixes directions of writing")
+    return said
 
 
 def hash_r6(password: bytes, salt: bytes, user: bytes = b"") -> bytes:

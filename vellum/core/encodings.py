@@ -37,6 +37,26 @@ def glyph_names() -> dict[str, str]:
             out.setdefault(name.capitalize() if m[1] == "CAPITAL" else name.lower(), chr(code))
     for code in range(0x410, 0x450):
         out[f"afii{10017 + code - 0x410 + (code > 0x415) if code < 0x430 else 10065 + code - 0x430 + (code > 0x435)}"] = chr(code)
+    for code in (*range(0x401, 0x460), *range(0x5D0, 0x5EB), *range(0x621, 0x64B), *range(0x905, 0xA75), *range(0xA85, 0xAB9), *range(0x3041, 0x3095), *range(0x30A1, 0x30FB), *range(0xFF10, 0xFF5B)):
+        own = unicodedata.name(chr(code), "")
+        if m := re.fullmatch(r"(?:HIRAGANA|KATAKANA) LETTER (SMALL )?([A-Z]+)", own):
+            out.setdefault(m[2].lower() + ("small" if m[1] else "") + own.split()[0].lower(), chr(code))
+        elif m := re.fullmatch(r"CYRILLIC (CAPITAL|SMALL) LETTER ([A-Z]+)", own):
+            out.setdefault((m[2].capitalize() if m[1] == "CAPITAL" else m[2].lower()) + "cyrillic", chr(code))
+        elif m := re.fullmatch(r"(HEBREW|ARABIC|BENGALI|GUJARATI|GURMUKHI|DEVANAGARI) LETTER ([A-Z]+)", own):
+            out.setdefault(m[2].lower() + {"DEVANAGARI": "deva"}.get(m[1], m[1].lower()), chr(code))
+        elif m := re.fullmatch(r"FULLWIDTH (?:LATIN (CAPITAL|SMALL) LETTER ([A-Z])|DIGIT ([A-Z]+))", own):
+            out.setdefault((m[3].lower() if m[3] else m[2] if m[1] == "CAPITAL" else m[2].lower()) + "monospace", chr(code))
+    for k in range(26):
+        for start, name in ((0x24B6, chr(65 + k) + "circle"), (0x24D0, chr(97 + k) + "circle"), (0x249C, chr(97 + k) + "parenthesized")):
+            out.setdefault(name, chr(start + k))
+    numbers = [*_DIGITS[1:], *"ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()]
+    for k, name in enumerate(numbers):
+        out |= {name + "circle": chr(0x2460 + k), name + "parenthesized": chr(0x2474 + k), name + "period": chr(0x2488 + k)}
+        if k < 12:
+            out |= {name + "roman": chr(0x2170 + k), name.capitalize() + "roman": chr(0x2160 + k)}
+    for k, name in enumerate(_DIGITS):
+        out |= {name + "superior": chr((0x2070, 0xB9, 0xB2, 0xB3)[k] if k < 4 else 0x2070 + k), name + "inferior": chr(0x2080 + k), name + "arabic": chr(0x660 + k), name + "deva": chr(0x966 + k), name + "bengali": chr(0x9E6 + k), name + "gurmukhi": chr(0xA66 + k), name + "gujarati": chr(0xAE6 + k), name + "thai": chr(0xE50 + k)}
     for pair in _SIGNS.split():
         name, _, said = pair.partition("=")
         out[name] = said if len(said) == 1 else chr(int(said, 16))
@@ -91,6 +111,19 @@ _WIDTHS = {
     "Times-Italic": "250 333 420 T T 833 778 214 333 333 T 675 250 333 250 278 T*10 333 333 675 675 675 T 920 611 611 667 722 611 611 722 722 333 444 667 556 833 667 722 611 722 611 T 556 722 611 833 611 556 556 389 278 389 422 T 333 T T 444 T 444 278 T T 278 278 444 278 722 T T T T 389 389 278 T 444 667 444 444 389 400 275 400 541",
     "Times-BoldItalic": "250 389 555 T T 833 778 278 333 333 T 570 250 333 250 278 T*10 333 333 570 570 570 T 832 667 667 667 722 667 667 722 778 389 T 667 611 889 722 722 611 722 667 556 611 722 667 889 667 611 611 333 278 333 570 T 333 T T 444 T 444 333 T 556 278 278 T 278 778 556 T T T 389 389 278 556 444 667 T 444 389 348 220 348 570",
 }
+#: Of the fonts with encodings of their own, from code 0x20 to 0x7E and from 0xA1 to 0xFE; 0 for no glyph. n*w: n times.
+_OWN_WIDTHS = {
+    "Symbol": (
+        "250 333 713 500 549 833 778 439 2*333 500 549 250 549 250 278 10*500 2*278 3*549 444 549 722 667 722 612 611 763 603 722 333 631 722 686 889 2*722 768 741 556 592 611 690 439 768 645 795 611 333 863 333 658 2*500"
+        " 631 2*549 494 439 521 411 603 329 603 2*549 576 521 2*549 521 549 603 439 576 713 686 493 686 494 480 200 480 549",
+        "620 247 549 167 713 500 4*753 1042 987 603 987 603 400 549 411 2*549 713 494 460 4*549 1000 603 1000 658 823 686 795 987 2*768 823 2*768 7*713 768 713 2*790 890 823 549 250 713 2*603 1042 987 603 987 603 494 329 2*790 786 713 6*384 4*494 0 329 274 3*686 6*384 3*494",
+    ),
+    "ZapfDingbats": (
+        "278 974 961 974 980 719 789 790 791 690 960 939 549 855 911 933 911 945 974 755 846 762 761 571 677 763 760 759 754 494 552 537 577 692 786 2*788 790 793 794 816 823 789 841 823 833 816 831 923 744 723 749 790 792 695"
+        " 776 768 792 759 707 708 682 701 826 815 2*789 707 687 696 689 786 787 713 791 785 791 873 761 2*762 2*759 2*892 788 784 438 138 277 415 2*392 2*668",
+        "732 2*544 910 667 2*760 776 595 694 626 40*788 894 838 1016 458 748 924 748 918 927 2*928 834 873 828 2*924 917 930 931 463 883 2*836 2*867 2*696 874 0 874 760 946 771 865 771 888 967 888 831 873 927 970 918",
+    ),
+}
 #: ascent, descent, bounding box
 _SHAPES = {
     "Helvetica": (718, -207, (-166, -225, 1000, 931)),
@@ -129,6 +162,18 @@ def core_widths(name: str) -> dict[str, float]:
     """Character -> width; what has an accent is as wide as without."""
     if name.startswith("Courier"):
         return {}
+    if name in _OWN_WIDTHS:
+        found: dict[str, float] = {}
+        for first, said in zip((0x20, 0xA1), _OWN_WIDTHS[name], strict=True):
+            code = first
+            for word in said.split():
+                times, _, w = word.rpartition("*")
+                for _ in range(int(times or 1)):
+                    if c := (SYMBOL if name == "Symbol" else DINGBATS).get(code):
+                        found.setdefault(c, float(w))
+                    code += 1
+            assert code == (0x7F if first == 0x20 else 0xFF), (name, hex(code))
+        return found
     base = name.replace("Helvetica-Oblique", "Helvetica").replace("Helvetica-BoldOblique", "Helvetica-Bold")
     if base not in _WIDTHS:
         return {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -89,8 +90,20 @@ def shown_bytes(raw: bytes) -> str:
         return "base64:" + base64.b64encode(raw).decode()
 
 
+#: Types with a JSON form of their own, the latest first.
+_FORMS: list[tuple[type, Callable[[Any], Any]]] = []
+
+
+def register_form(kind: type, form: Callable[[Any], Any]) -> None:
+    """Values of a type, and of those derived from it, are written as form(value) in JSON; a worker registers its own."""
+    _FORMS.insert(0, (kind, form))
+
+
 def plain(value: Value, depth: int = 0) -> Any:
     """A value in the terms of JSON; a reference as "<ref:N>"."""
+    for kind, form in _FORMS:
+        if isinstance(value, kind):
+            return form(value)
     if value is None or isinstance(value, bool | int | float):
         return value
     if isinstance(value, str):

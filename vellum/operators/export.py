@@ -9,11 +9,12 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..core.document import Document
 from ..core.values import PdfError, Ref, plain
 from . import lookups as L
-from .relations import relation
+from .relations import SCHEMAS, relation
 
 
 def per_file(pdfs: DataFrame, make: Any) -> DataFrame:
@@ -88,6 +89,13 @@ def structure_json(pdfs: DataFrame) -> DataFrame:
     return nested(said, ["kind", "type", "role", "page_idx", "mcid", "title", "lang", "alt", "expansion", "actual_text", "class_name", "attributes", "text"])
 
 
+def json_schemas() -> dict[str, dict[str, Any]]:
+    """The JSON schema of a row of each relation."""
+    from ..functions.values import json_schema
+
+    return {name: json_schema(StructType.fromDDL(ddl), name) for name, ddl in SCHEMAS.items()}
+
+
 def outline_json(pdfs: DataFrame) -> DataFrame:
     return nested(relation(pdfs, "outline_items"), ["title", "action_type", "uri", "dest_page_idx", "display", "top", "left"])
 

@@ -173,6 +173,45 @@ def content_elements(items: DataFrame, parents: DataFrame) -> DataFrame:
     return found.withColumn("element_objid", F.coalesce("by_key_", "by_mcid_")).drop("p_doc", "p_key", "p_mcid", "by_mcid_", "o_doc", "o_key", "by_key_")
 
 
+def page_by_objid(pages: DataFrame, refs: DataFrame) -> DataFrame:
+    """refs (doc_id, objid, ...) with the page that is this object; the first page of a number counts."""
+    first = pages.groupBy("doc_id", F.col("page_objid").alias("objid")).agg(F.min("page_idx").alias("page_idx"))
+    return refs.join(first, ["doc_id", "objid"])
+
+
+def device_destinations(destinations: DataFrame, pages: DataFrame, space: str = "screen") -> DataFrame:
+    """Destinations with left, top and bbox in a device space of their pages."""
+    m = G.initial_matrix(F.col("mediabox"), F.col("rotate"), space)
+    at = G.apply_point(m, F.col("left"), F.col("top"))
+    rest = [c for c in destinations.columns if c not in ("left", "top", "bbox")]
+    own = destinations.join(pages.select("doc_id", "page_idx", "mediabox", "rotate"), ["doc_id", "page_idx"], "left")
+    return own.select(*rest, at.getField("x").alias("left"), at.getField("y").alias("top"), G.transform_rect(m, F.col("bbox")).alias("bbox"))
+
+
+def content_order(nodes: DataFrame, sections: DataFrame) -> DataFrame:
+    """Items and objects with their place on the page (doc_id, node_id, page_idx, place): objects first, then sections as the
+    streams open them, and sections that aren't on the page last, each in the tree's order."""
+    s = sections.select(F.col("doc_id").alias("s_doc"), F.col("page_idx").alias("s_page"), F.col("mcid_stream").alias("s_stream"), F.col("mcid").alias("s_mcid"), "first_seq")
+    own = nodes.where("kind in ('item', 'object')")
+    same = (F.col("doc_id") == F.col("s_doc")) & (F.col("page_idx") == F.col("s_page")) & (F.col("mcid") == F.col("s_mcid")) & F.col("stream_id").eqNullSafe(F.col("s_stream"))
+    w = Window.partitionBy("doc_id", "page_idx").orderBy(F.col("kind") != "object", F.col("first_seq").asc_nulls_last(), "node_id")
+    return own.join(s, same, "left").select("doc_id", "node_id", "page_idx", (F.row_number().over(w) - 1).alias("place"))
+
+
+def with_identity(nodes: DataFrame) -> DataFrame:
+    """Structure nodes with a hash that two rows share only if they are one element: by object number, else by place in the tree."""
+    return nodes.withColumn("identity", F.xxhash64("doc_id", "kind", F.col("objid"), F.when(F.col("objid").isNull(), F.col("path"))))
+
+
+def object_targets(nodes: DataFrame, annotations: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, node_id, objid, target, annot_idx, item_seq): what the tree's objects are, an annotation or the first image or form painted."""
+    own = nodes.where("kind = 'object'").select("doc_id", "node_id", "objid")
+    a = annotations.groupBy("doc_id", "objid").agg(F.min_by(F.struct("page_idx", "annot_idx"), F.struct("page_idx", "annot_idx")).alias("a"))
+    x = items.where("object_type in ('image', 'xobject')").groupBy("doc_id", F.col("stream_id").alias("objid")).agg(F.min_by(F.struct("object_type", "page_idx", "item_seq"), F.struct("page_idx", "item_seq")).alias("x"))
+    found = own.join(a, ["doc_id", "objid"], "left").join(x, ["doc_id", "objid"], "left")
+    return found.select("doc_id", "node_id", "objid", F.when(F.col("a").isNotNull(), "annotation").otherwise(F.col("x.object_type")).alias("target"), F.coalesce("a.page_idx", "x.page_idx").alias("page_idx"), "a.annot_idx", "x.item_seq")
+
+
 def link_graph(annotations: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, source, target, links): labels of pages that links lead from and to."""
     src = pages.select("doc_id", F.col("page_idx"), F.col("label").alias("source"))
