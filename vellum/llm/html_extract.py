@@ -562,7 +562,7 @@ def extracted(html: str | None, program: Wrapper, template: frozenset[int]) -> t
 def extract_pages(pages: DataFrame) -> DataFrame:
     """One row for every row of pages: its title and text by its host's wrapper."""
     own = pages_of(pages)
-    found = checkpointed(wrappers(streams(own)))
+    found = checkpointed(wrappers(checkpointed(streams(own))))  # the streams are read twice, the pages aren't
     size = found.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
 
     def with_(rules: DataFrame) -> DataFrame:
