@@ -7,8 +7,8 @@ lower bound on how far a vector must be from the query to lie in that cell (its
 to the border between the two centroids, added over the halves), until the bound passes
 what the target recall asks for. That limit is planned for the loosest pairs there are: from
 each of a sample of vectors, which grows with the table, partners are drawn at exactly the
-threshold, in random directions, and the limit is what the wanted share of them needs. The
-same sample's true partners, by comparison with the whole table, can only raise it: each
+threshold, in random directions, and the limit is what the wanted share of them needs, where a
+pair is found if either of its vectors goes to the cell of the other. The same sample's true partners, by comparison with the whole table, can only raise it: each
 query counts alike, whatever its number of partners, so that a dense group doesn't decide
 for the others. Vectors that meet in a cell are verified by their cosine. Equal vectors are
 collapsed first.
@@ -145,23 +145,24 @@ def partial_sums(grid: Grid):
     return run
 
 
-def drawn_bounds(probes: np.ndarray, far: list[np.ndarray], grid: Grid, cosine: float) -> np.ndarray:
-    """The bounds of partners at exactly the threshold, in random directions from each probe."""
+def drawn_bounds(probes: np.ndarray, grid: Grid, cosine: float) -> np.ndarray:
+    """The bounds of partners at exactly the threshold, in random directions from each probe: the lesser of both ways."""
+    mine, far = grid.margins(probes)
     rng = np.random.default_rng(SEED)
     x = np.repeat(probes, DRAWN, axis=0)
     away = rng.normal(size=x.shape)
     away -= (away * x).sum(1)[:, None] * x
     away /= np.maximum(np.linalg.norm(away, axis=1), 1e-12)[:, None]
-    own, _ = grid.margins((cosine * x + math.sqrt(1 - cosine * cosine) * away).astype(np.float32))
-    of = np.repeat(np.arange(len(probes)), DRAWN)
-    return far[0][of, own[0]] ** 2 + far[1][of, own[1]] ** 2
+    own, back = grid.margins((cosine * x + math.sqrt(1 - cosine * cosine) * away).astype(np.float32))
+    of, at = np.repeat(np.arange(len(probes)), DRAWN), np.arange(len(x))
+    return np.minimum(far[0][of, own[0]] ** 2 + far[1][of, own[1]] ** 2, back[0][at, mine[0][of]] ** 2 + back[1][at, mine[1][of]] ** 2)
 
 
 def measured_limit(vectors: DataFrame, grid: Grid, n: int, cosine: float, recall: float) -> float:
     """The bound within which the wanted share of partners lies: of drawn ones, and of each query's true ones."""
     probes = np.array([r["v"] for r in vectors.orderBy(F.xxhash64(F.lit(1), "vec_id"), "vec_id").select("v").limit(PROBES + math.isqrt(n) // 4).collect()], np.float32)
     most = 2 - 2 * cosine
-    _, far = grid.margins(probes)
+    mine, far = grid.margins(probes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros((len(probes), BINS), np.int64)
@@ -169,11 +170,11 @@ def measured_limit(vectors: DataFrame, grid: Grid, n: int, cosine: float, recall
             x = matrix(b.column(0))
             if not len(x):
                 continue
-            own, _ = grid.margins(x)
+            own, back = grid.margins(x)
             q, at = np.nonzero((near := probes @ x.T) >= cosine)
             other = near[q, at] < 0.999999
             q, at = q[other], at[other]
-            s = far[0][q, own[0][at]] ** 2 + far[1][q, own[1][at]] ** 2
+            s = np.minimum(far[0][q, own[0][at]] ** 2 + far[1][q, own[1][at]] ** 2, back[0][at, mine[0][q]] ** 2 + back[1][at, mine[1][q]] ** 2)
             np.add.at(found, (q, np.minimum(s / most * BINS, BINS - 1).astype(int)), 1)
         q, k = np.nonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(found[q, k])], ["query", "bin", "n"])
@@ -182,7 +183,7 @@ def measured_limit(vectors: DataFrame, grid: Grid, n: int, cosine: float, recall
     found = np.zeros((len(probes), BINS))
     for q, k, c in rows:
         found[q, k] = c
-    limit = float(np.quantile(drawn_bounds(probes, far, grid, cosine), recall))
+    limit = float(np.quantile(drawn_bounds(probes, grid, cosine), recall))
     if len(found := found[found.any(axis=1)]):
         share = np.cumsum(found, axis=1) / found.sum(axis=1)[:, None]
         enough = int(np.searchsorted(share.mean(axis=0), recall - 1e-12))
