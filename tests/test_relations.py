@@ -9,7 +9,7 @@ from vellum.core.writer import Writer, show_lines
 from vellum.functions import geometry as G
 from vellum.functions import text as T
 from vellum.operators import lookups as L
-from vellum.operators.relations import READERS, SCHEMAS, column_names, relation, split_pages
+from vellum.operators.relations import READERS, SCHEMAS, column_names, relation, relations, split_pages
 from vellum.plans import queries as plans
 from vellum.sources import files
 from vellum.streaming import ingest
@@ -296,3 +296,11 @@ def test_destinations_in_device_space(spark):
     pdfs = spark.createDataFrame([(1, bytearray(w.save()))], "doc_id bigint, content binary")
     rows = {r["name"]: r for r in L.device_destinations(relation(pdfs, "destinations"), relation(pdfs, "pages")).collect()}
     assert (rows["here"]["left"], rows["here"]["top"]) == (100, 100) and rows["part"]["bbox"].asDict() == {"x0": 10, "y0": 760, "x1": 30, "y1": 780}
+
+
+def test_several_relations_from_one_pass(spark, pdfs):
+    read = relations(pdfs, {"documents": {}, "pages": {"columns": ["page_idx", "mediabox"]}, "content_objects": {"kinds": ["text"]}}, space="default")
+    assert sorted(map(str, read["documents"].collect())) == sorted(map(str, relation(pdfs, "documents").collect()))
+    assert read["pages"].columns == ["doc_id", "page_idx", "mediabox"] and read["pages"].count() == 3
+    assert sorted(map(str, read["content_objects"].collect())) == sorted(map(str, relation(pdfs, "content_objects", kinds=["text"], space="default").collect()))
+    assert all(df.count() == 0 for df in relations(pdfs.where("false"), {"pages": {}, "fonts": {}}).values())

@@ -49,7 +49,12 @@ def union(boxes: Iterable[Rect | None]) -> Rect | None:
 
 
 def transform_rect(m: Matrix, r: Rect) -> Rect:
-    return bound(apply(m, p) for p in ((r[0], r[1]), (r[0], r[3]), (r[2], r[1]), (r[2], r[3])))
+    a, b, c, d, right, up = m
+    x0, y0, x1, y1 = r
+    ax, az, cx, cz, bx, bz, dx, dz = x0 * a, x1 * a, y0 * c, y1 * c, x0 * b, x1 * b, y0 * d, y1 * d
+    xs = (right + (ax + cx), right + (ax + cz), right + (az + cx), right + (az + cz))
+    ys = (up + (bx + dx), up + (bx + dz), up + (bz + dx), up + (bz + dz))
+    return (min(xs), min(ys), max(xs), max(ys))
 
 
 def initial_matrix(media: Rect, rotate: int, space: str) -> Matrix:

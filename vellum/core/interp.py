@@ -75,7 +75,7 @@ class Glyph:
     text: str
     matrix: Matrix
     displacement: Point
-    bbox: Rect
+    bbox: Rect | None
 
 
 @dataclass(slots=True)
@@ -146,10 +146,10 @@ def color_space(doc: Document, value: Any, named: dict[str, Any]) -> tuple[str,
 
 
 class Interpreter:
-    """The items of a page. `kinds` are those wanted; others are followed but not built."""
+    """The items of a page. `kinds` are those wanted; others are followed but not built. Without boxes, glyphs and texts have none."""
 
-    def __init__(self, doc: Document, page: Page, space: str = "screen", kinds: Collection[str] = KINDS, flat: bool = True, fonts: dict[Any, Font] | None = None) -> None:
-        self.doc, self.page, self.kinds, self.flat = doc, page, frozenset(kinds), flat
+    def __init__(self, doc: Document, page: Page, space: str = "screen", kinds: Collection[str] = KINDS, flat: bool = True, fonts: dict[Any, Font] | None = None, boxes: bool = True) -> None:
+        self.doc, self.page, self.kinds, self.flat, self.boxes = doc, page, frozenset(kinds), flat, boxes
         self.base = page.ctm(space)
         self.seq = 0
         self.fonts: dict[Any, Font] = {} if fonts is None else fonts
@@ -238,13 +238,13 @@ class Interpreter:
                     step = font.advance(cid) * size + state.charspace + (state.wordspace if cid == 32 and not font.multibyte else 0.0)
                     dx, dy = (0.0, step) if vertical else (step * scale, 0.0)
                     if wanted:
-                        box = transform_rect(here, font.box(cid))
+                        box = transform_rect(here, font.box(cid)) if self.boxes else None
                         found.append(Glyph(cid, text, here, apply_vector(base, (dx, dy)), box))
                     pen[0] += dx
                     pen[1] += dy
             if wanted and start is not None:
                 stop = placed()
-                yield item(TEXT, glyphs=found, matrix=start, end=(stop[4], stop[5]), bbox=union(g.bbox for g in found))
+                yield item(TEXT, glyphs=found, matrix=start, end=(stop[4], stop[5]), bbox=union(g.bbox for g in found) if self.boxes else None)
 
         def next_line(x: float, y: float) -> None:
             nonlocal line, pen

@@ -9,13 +9,16 @@ can't be read; an empty table gives empty relations.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+import re
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..core.document import Document, Page
 from ..core.fonts import Font
@@ -177,7 +180,7 @@ def _selected(doc: Document, o: Options) -> list[Page]:
 def _items(doc: Document, o: Options, kinds: Any) -> Iterator[tuple[Page, int, Item]]:
     fonts: dict[int, Font] = {}
     for p in _selected(doc, o):
-        for k, item in enumerate(Interpreter(doc, p, o.get("space", "screen"), kinds, o.get("flat", True), fonts)):
+        for k, item in enumerate(Interpreter(doc, p, o.get("space", "screen"), kinds, o.get("flat", True), fonts, "columns" not in o or "bbox" in o["columns"])):
             yield p, k, item
 
 
@@ -290,7 +293,7 @@ def page_text(doc: Document, o: Options) -> Iterator[dict[str, Any]]:
     tagged, known = doc.tagged and o.get("bbox") is None, {}
     space = o.get("space", "screen")
     for p in _selected(doc, o):
-        own = (text_record(t) for t in Interpreter(doc, p, space, (TEXT,), fonts=known) if t.glyphs)
+        own = (text_record(t) for t in Interpreter(doc, p, space, (TEXT,), fonts=known, boxes=False) if t.glyphs)
         yield {"page_idx": p.index, "label": p.label, "text": tagged_text(own, space) if tagged else untagged_text(own, space, o.get("bbox"))}
 
 
@@ -316,10 +319,16 @@ READERS: dict[str, Callable[[Document, Options], Iterator[dict[str, Any]]]] = {
 
 def rows_of(relation: str, doc_id: Any, content: bytes | None, options: Options) -> Iterator[dict[str, Any]]:
     """The rows of one file in a relation."""
+    yield from guarded(relation, doc_id, content, options, [])
+
+
+def guarded(relation: str, doc_id: Any, content: bytes | None, options: Options, held: list[Document]) -> Iterator[dict[str, Any]]:
+    """As rows_of; held keeps the file as it was read, for its next relation."""
     try:
-        doc = Document(bytes(content or b""), options.get("password", ""), options.get("strict", False))
-        doc.cmap_folder = options.get("cmap_folder")
-        for row in READERS[relation](doc, options):
+        if not held:
+            held.append(Document(bytes(content or b""), options.get("password", ""), options.get("strict", False)))
+            held[0].cmap_folder = options.get("cmap_folder")
+        for row in READERS[relation](held[0], options):
             yield {"doc_id": doc_id, **row}
     except (PdfError, ValueError, TypeError, IndexError, KeyError, AttributeError, RecursionError, ArithmeticError) as e:
         if options.get("mode") == "failfast":
@@ -379,6 +388,48 @@ def relation(pdfs: DataFrame, name: str, doc_id: str = "doc_id", content: str =
     return pdfs.select(pdfs[doc_id].cast("bigint").alias("doc_id"), content, *ranged).mapInArrow(run, full)
 
 
+def relations(pdfs: DataFrame, wanted: Mapping[str, Options], doc_id: str = "doc_id", content: str = "content", **options: Any) -> dict[str, DataFrame]:
+    """Several relations, each with options of its own, from one pass over the files: their rows are written, one beside
+    the other, to the shared folder that spark.checkpoint.dir names, and read from there as often as they are used."""
+    shapes = {name: StructType.fromDDL(SCHEMAS[name]) for name in wanted}
+    own: dict[str, Options] = {}
+    for name, said in wanted.items():
+        own[name] = options | dict(said)
+        if (columns := said.get("columns")) is not None:
+            own[name]["columns"] = columns = ["doc_id", *(c for c in columns if c != "doc_id")]
+            shapes[name] = StructType([shapes[name][c] for c in columns])
+    full = StructType([StructField("relation", StringType()), *(StructField(name, shape) for name, shape in shapes.items())])
+    schema = to_arrow_schema(full)
+
+    def run(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def every() -> Iterator[dict[str, Any]]:
+            for b in arrived:
+                for k in range(b.num_rows):
+                    held: list[Document] = []
+                    for name, said in own.items():
+                        for row in guarded(name, b.column(0)[k].as_py(), b.column(1)[k].as_py(), said, held):
+                            yield {"relation": name, name: row}
+
+        yield from batches(schema, every())
+
+    rows = stored(pdfs.select(pdfs[doc_id].cast("bigint").alias("doc_id"), content).mapInArrow(run, full))
+    return {name: rows.where(rows["relation"] == name).select(f"{name}.*") for name in wanted}
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the session's checkpoint folder; on one machine, where none is named, in a folder of its own."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="vellum-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def split_pages(pdfs: DataFrame, pages_per_row: int) -> DataFrame:
     """pdfs with a row for each range of so many pages, so that long files are interpreted by several tasks."""
     from pyspark.sql import functions as F

@@ -16,7 +16,7 @@ from ..core.writer import Writer, literal, show_lines, text_string
 from ..functions import geometry as G
 from ..functions import text as T
 from ..operators import lookups as L
-from ..operators.relations import relation
+from ..operators.relations import relation, relations
 from .synth import grouped, render
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -316,8 +316,8 @@ _BY_NATION = "supplier JOIN nation ON s_nationkey = n_nationkey"
 @query(f"SELECT CAST(n_regionkey AS BIGINT) AS doc_id, 'Sect' AS role, n_name AS title, string_agg(s_name, '' ORDER BY s_suppkey) AS text, CAST(1 AS INTEGER) AS depth FROM {_BY_NATION} GROUP BY n_regionkey, n_name")
 def struct_find_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     pdfs = supplier_trees(spark, sf_dir)
-    nodes = relation(pdfs, "struct_nodes")
-    sections = L.marked_content(relation(pdfs, "content_objects", kinds=["text"], columns=L.SECTION_COLUMNS))
+    read = relations(pdfs, {"struct_nodes": {}, "content_objects": {"kinds": ["text"], "columns": L.SECTION_COLUMNS}})
+    nodes, sections = read["struct_nodes"], L.marked_content(read["content_objects"])
     found = L.find_elements(nodes, pattern="Sec")
     return found.join(L.element_text(nodes, sections).select("doc_id", "node_id", "text"), ["doc_id", "node_id"]).select("doc_id", "role", "title", "text", "depth")
 
@@ -380,11 +380,11 @@ title AS parent FROM customer, LATERAL (VALUES ('page', c_name), ('form 0', c_mk
 def struct_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of every element by its stream, and of every text and image the element it belongs to."""
     pdfs = render(grouped(table(spark, sf_dir, "customer"), "c_nationkey", "c_custkey", "c_name", "c_mktsegment", "c_acctbal"), with_forms)
-    nodes = relation(pdfs, "struct_nodes").where("kind = 'element' and role <> 'Document' or kind = 'item'")
-    items = relation(pdfs, "content_objects", kinds=["text", "image"], columns=[*L.SECTION_COLUMNS, "parent_key", "own_key"])
+    read = relations(pdfs, {"struct_nodes": {}, "content_objects": {"kinds": ["text", "image"], "columns": [*L.SECTION_COLUMNS, "parent_key", "own_key"]}, "parent_tree": {}})
+    nodes, items = read["struct_nodes"].where("kind = 'element' and role <> 'Document' or kind = 'item'"), read["content_objects"]
     own = L.element_text(nodes, L.marked_content(items.where("object_type = 'text'"))).select("doc_id", "node_id", "text")
     elements = nodes.where("kind = 'element'").select("doc_id", "node_id", "page_idx", "title", "alt", F.col("objid").alias("element_objid"))
-    up = L.content_elements(items, relation(pdfs, "parent_tree")).select("doc_id", "chars", "element_objid")
+    up = L.content_elements(items, read["parent_tree"]).select("doc_id", "chars", "element_objid")
     at = up.join(elements, ["doc_id", "element_objid"]).select("doc_id", "node_id", F.coalesce("chars", "alt").alias("seen"), F.col("title").alias("parent"))
     out = elements.join(own, ["doc_id", "node_id"]).select("doc_id", "node_id", "title", "page_idx", F.when(F.col("title") == "image", F.col("alt")).otherwise(F.col("text")).alias("said"))
     return out.join(at, ["doc_id", "node_id"]).where("seen = said").select("doc_id", "title", "said", "page_idx", "parent")
@@ -583,8 +583,9 @@ def revised(doc_id: int, rows: Rows) -> bytes:
 @query("SELECT CAST(o_custkey AS BIGINT) AS doc_id, CAST(arg_max(o_orderkey, (o_orderkey, o_totalprice)) AS BIGINT) AS last_order, CAST(count(*) + 1 AS BIGINT) AS revisions FROM orders GROUP BY 1")
 def xref_latest_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     pdfs = render(grouped(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_totalprice"), revised)
-    entries = L.latest_objects(relation(pdfs, "xref_entries")).select("doc_id", "objid", "pos")
-    objects = relation(pdfs, "objects", key="Order", columns=["objid", "pos", "obj"]).select("doc_id", "objid", "pos", F.get_json_object("obj", "$.Order").cast("bigint").alias("last_order"))
+    read = relations(pdfs, {"xref_entries": {}, "objects": {"key": "Order", "columns": ["objid", "pos", "obj"]}})
+    entries = L.latest_objects(read["xref_entries"]).select("doc_id", "objid", "pos")
+    objects = read["objects"].select("doc_id", "objid", "pos", F.get_json_object("obj", "$.Order").cast("bigint").alias("last_order"))
     counts = objects.groupBy("doc_id").agg(F.count("*").alias("revisions"))
     return objects.join(entries, ["doc_id", "objid", "pos"]).join(counts, "doc_id").select("doc_id", "last_order", "revisions")
 
