@@ -357,3 +357,15 @@ def test_forms_of_values():
 def test_glyph_names_and_widths_of_symbols():
     assert {n: glyph_text(n) for n in ("kahiragana", "smallhiragana", "acyrillic", "alefhebrew", "onecircle", "Amonospace", "fivesuperior", "kadeva")} == {"kahiragana": "か", "smallhiragana": "", "acyrillic": "а", "alefhebrew": "א", "onecircle": "①", "Amonospace": "Ａ", "fivesuperior": "⁵", "kadeva": "क"}
     assert core_widths("Symbol")["α"] == 631 and core_widths("ZapfDingbats")["✁"] == 974 and core_widths("Symbol")["∞"] == 713
+
+
+def test_figures_have_their_own_parts():
+    w = Writer()
+    fonts = {"Font": {"F1": w.core_font()}}
+    inner = w.stream(b"BT /F1 9 Tf 1 0 0 1 40 500 Tm (in) Tj ET 0 0 5 5 re f", Type=Name("XObject"), Subtype=Name("Form"), BBox=[0, 0, 600, 800], Resources=fonts)
+    w.page(b"BT /F1 9 Tf 1 0 0 1 40 700 Tm (out) Tj ET /A Do", fonts | {"XObject": {"A": inner}})
+    doc = Document(w.save())
+    shape = lambda parts: [(q.kind, q.text, shape(q.parts) if q.kind == "figure" else None) for q in parts]
+    read = lambda params: shape(analyse(Interpreter(doc, doc.pages()[0], "page"), params))
+    assert read(LayoutParams()) == [("textbox", "out\n", None), ("figure", "", [("char", "i", None), ("char", "n", None), ("rect", "", None)])]
+    assert read(LayoutParams(all_texts=True)) == [("textbox", "out\n", None), ("figure", "", [("textbox", "in\n", None), ("rect", "", None)])]

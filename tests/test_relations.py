@@ -304,3 +304,10 @@ def test_several_relations_from_one_pass(spark, pdfs):
     assert read["pages"].columns == ["doc_id", "page_idx", "mediabox"] and read["pages"].count() == 3
     assert sorted(map(str, read["content_objects"].collect())) == sorted(map(str, relation(pdfs, "content_objects", kinds=["text"], space="default").collect()))
     assert all(df.count() == 0 for df in relations(pdfs.where("false"), {"pages": {}, "fonts": {}}).values())
+
+
+def test_fonts_and_tokens_of_forms(spark):
+    data, forms = forms_file()
+    pdfs = spark.createDataFrame([(1, bytearray(data))], "doc_id bigint, content binary")
+    assert {r["form_objid"] for r in relation(pdfs, "fonts", forms=True).collect()} == {None, *forms} and relation(pdfs, "fonts").where("form_objid is null").count() == 1
+    assert {r["stream_id"] for r in relation(pdfs, "tokens", of="forms").where("text = 'BDC'").collect()} == set(forms)

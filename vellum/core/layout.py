@@ -308,29 +308,50 @@ def _upright(c: Sequence[Point]) -> bool:
     return c[0][0] == c[1][0] and c[1][1] == c[2][1] and c[2][0] == c[3][0] and c[3][1] == c[0][1] or c[0][1] == c[1][1] and c[1][0] == c[2][0] and c[2][1] == c[3][1] and c[3][0] == c[0][0]
 
 
+class Container:
+    """What a page or a form paints, in the order of painting."""
+
+    def __init__(self) -> None:
+        self.parts: list[Part] = []
+
+    def analysed(self, p: LayoutParams) -> list[Part]:
+        """The boxes, then what isn't text, then lines without text."""
+        chars = [q for q in self.parts if q.kind == "char"]
+        others = [q for q in self.parts if q.kind != "char"]
+        lines = list(lines_of(chars, p))
+        empty = [q for q in lines if q.width <= 0 or q.height <= 0 or not q.text.strip()]
+        without = set(map(id, empty))
+        boxes = boxes_of([q for q in lines if id(q) not in without], p)
+        if p.boxes_flow is None:
+            boxes.sort(key=lambda b: (0, -b.bbox[2], -b.bbox[1]) if b.vertical else (1, -b.bbox[1], b.bbox[0]))
+            for k, b in enumerate(boxes):
+                b.index = k
+        else:
+            number_boxes(grouped(boxes, p.boxes_flow))
+            boxes.sort(key=lambda b: b.index or 0)
+        return [*boxes, *others, *empty]
+
+
 def analyse(items: Iterable[Item], p: LayoutParams = LayoutParams()) -> list[Part]:
-    """The boxes, then the other parts, of a page. Items inside forms take part only with all_texts."""
-    chars: list[Part] = []
-    others: list[Part] = []
+    """The parts of a page. A form is a figure with what it paints as its parts: as they come, or with all_texts by an analysis of its own."""
+    page = Container()
+    inside: dict[tuple[int, ...], Container] = {(): page}
+    figures: list[tuple[Part, Container]] = []
     for it in items:
-        if it.kind == "text" and (p.all_texts or not it.forms):
-            for g in it.glyphs:
-                chars.append(Part("char", g.bbox, g.text or f"(cid:{g.cid})", size=g.bbox[3] - g.bbox[1]))
+        own = inside.get(it.forms, page).parts
+        if it.kind == "text":
+            own += [Part("char", g.bbox, g.text or f"(cid:{g.cid})", size=g.bbox[3] - g.bbox[1]) for g in it.glyphs]
         elif it.kind == "path":
-            others += path_parts(it.segments, it.stroke, it.fill)
-        elif it.kind in ("image", "xobject") and it.bbox:
-            others.append(Part("image" if it.kind == "image" else "figure", it.bbox))
-    lines = list(lines_of(chars, p))
-    empty = [q for q in lines if q.width <= 0 or q.height <= 0 or not q.text.strip()]
-    boxes = boxes_of([q for q in lines if q not in empty], p)
-    if p.boxes_flow is None:
-        boxes.sort(key=lambda b: (0, -b.bbox[2], -b.bbox[1]) if b.vertical else (1, -b.bbox[1], b.bbox[0]))
-        for k, b in enumerate(boxes):
-            b.index = k
-    else:
-        number_boxes(grouped(boxes, p.boxes_flow))
-        boxes.sort(key=lambda b: b.index or 0)
-    return [*boxes, *others, *empty]
+            own += path_parts(it.segments, it.stroke, it.fill)
+        elif it.kind == "image" and it.bbox:
+            own.append(Part("image", it.bbox))
+        elif it.kind == "xobject" and it.bbox:
+            own.append(Part("figure", it.bbox))
+            figures.append((own[-1], Container()))
+            inside[*it.forms, it.stream.objid if it.stream else 0] = figures[-1][1]
+    for figure, container in figures:
+        figure.parts = container.analysed(p) if p.all_texts else container.parts
+    return page.analysed(p)
 
 
 def rows(parts: Sequence[Part]) -> Iterator[dict[str, Any]]:

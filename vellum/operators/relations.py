@@ -28,7 +28,7 @@ from ..core.layout import rows as layout_rows
 from ..core.lexer import content_operations
 from ..core.lexer import tokens as lexer_tokens
 from ..core.text import tagged_text, untagged_text
-from ..core.values import PdfError, Stream, kind_of, plain
+from ..core.values import PdfError, Ref, Stream, kind_of, plain
 
 RECT = "struct<x0:double,y0:double,x1:double,y1:double>"
 MATRIX = "struct<a:double,b:double,c:double,d:double,e:double,f:double>"
@@ -49,7 +49,7 @@ SCHEMAS: dict[str, str] = {
     "page_ops": "doc_id bigint, page_idx int, op_seq int, pos bigint, op string, args string",
     "content_objects": f"doc_id bigint, page_idx int, op_seq int, item_seq int, xobj_path array<bigint>, object_type string, bbox {RECT}, ctm {MATRIX}, mcid int, mcid_stream bigint, mcstack array<{MARK}>, parent_key int, own_key int, gstate {GSTATE}, chars string, n_glyphs int, matrix {MATRIX}, origin {POINT}, displacement {POINT}, vertical boolean, fontbase string, size double, segments array<struct<op:string,points:array<{POINT}>>>, stroke boolean, fill boolean, evenodd boolean, name string, stream_id bigint, width int, height int, bits int, colorspace string, imagemask boolean, filters array<string>, tag {MARK}",
     "glyphs": f"doc_id bigint, page_idx int, op_seq int, item_seq int, xobj_path array<bigint>, glyph_idx int, cid int, text string, matrix {MATRIX}, dx double, dy double, bbox {RECT}, fontname string",
-    "fonts": f"doc_id bigint, page_idx int, ordinal int, resource_name string, font_objid bigint, fontname string, fontbase string, font_type string, vertical boolean, ascent double, descent double, default_width double, flags int, bbox {RECT}, embedded_kind string, program binary",
+    "fonts": f"doc_id bigint, page_idx int, form_objid bigint, ordinal int, resource_name string, font_objid bigint, fontname string, fontbase string, font_type string, vertical boolean, ascent double, descent double, default_width double, flags int, bbox {RECT}, embedded_kind string, program binary",
     "annotations": f"doc_id bigint, page_idx int, annot_idx int, objid bigint, annot_type string, rect {RECT}, contents string, name string, mtime string, struct_parent int, action_type string, uri string, dest_name string, dest_page_idx int",
     "destinations": f"doc_id bigint, ordinal int, name string, page_idx int, display string, top double, left double, bbox {RECT}, zoom double",
     "outline_items": "doc_id bigint, node_id int, parent_id int, depth int, path array<int>, title string, action_type string, uri string, dest_page_idx int, display string, top double, left double, element_objid bigint",
@@ -138,7 +138,13 @@ def _token_rows(data: bytes, stream: int | None) -> Iterator[dict[str, Any]]:
 
 
 def tokens(doc: Document, o: Options) -> Iterator[dict[str, Any]]:
-    """Of the whole file, or with `of="pages"` of the pages' streams."""
+    """Of the whole file, with `of="pages"` of the pages' streams, with `of="forms"` of the forms that pages use, each once."""
+    if o.get("of") == "forms":
+        seen: set[int] = set()
+        for page in doc.pages():
+            for objid, form in _forms(doc, doc.dict_of(page.attrs.get("Resources")), seen):
+                yield from _token_rows(doc.stream_bytes(form), objid)
+        return
     if o.get("of") != "pages":
         yield from _token_rows(doc.data, None)
         return
@@ -147,6 +153,18 @@ def tokens(doc: Document, o: Options) -> Iterator[dict[str, Any]]:
             yield from _token_rows(doc.stream_bytes(s), s.objid)
 
 
+def _forms(doc: Document, resources: dict[str, Any], seen: set[int]) -> Iterator[tuple[int, Stream]]:
+    """(object number, form) of what resources name and what that names, each once."""
+    stack = [resources]
+    while stack:
+        for ref in doc.dict_of(stack.pop().get("XObject")).values():
+            form = doc.resolve(ref)
+            if isinstance(ref, Ref) and isinstance(form, Stream) and ref.objid not in seen and doc.resolve(form.attrs.get("Subtype")) == "Form":
+                seen.add(ref.objid)
+                yield ref.objid, form
+                stack.append(doc.dict_of(form.attrs.get("Resources")))
+
+
 def pages(doc: Document, o: Options) -> Iterator[dict[str, Any]]:
     for p in doc.pages():
         key = doc.resolve(p.attrs.get("StructParents"))
@@ -228,14 +246,15 @@ def glyph_contents(doc: Document, o: Options) -> Iterator[dict[str, Any]]:
 
 
 def fonts(doc: Document, o: Options) -> Iterator[dict[str, Any]]:
-    known: dict[int, Font] = {}
+    """Of the pages' resources; option forms: of the forms they use as well."""
+    known: dict[Any, Font] = {}
     for p in _selected(doc, o):
         resources = doc.dict_of(p.attrs.get("Resources"))
         reader = Interpreter(doc, p, fonts=known)
-        for k, name in enumerate(doc.dict_of(resources.get("Font"))):
-            f = reader.font(resources, name)
+        below = ((objid, doc.dict_of(form.attrs.get("Resources"))) for objid, form in _forms(doc, resources, set())) if o.get("forms") else ()
+        for form, k, name, f in ((form, k, name, reader.font(own, name)) for form, own in ((None, resources), *below) for k, name in enumerate(doc.dict_of(own.get("Font")))):
             program = f._bytes(f.program) if o.get("programs") and f.program is not None else None
-            yield {"page_idx": p.index, "ordinal": k, "resource_name": name, "font_objid": f.objid, "fontname": f.name, "fontbase": f.name.split("+")[-1], "font_type": f.type, "vertical": f.vertical, "ascent": float(f.ascent), "descent": float(f.descent), "default_width": f.default_width, "flags": f.flags, "bbox": _rect([float(x) for x in f.bbox]), "embedded_kind": f.embedded, "program": program}
+            yield {"page_idx": p.index, "form_objid": form, "ordinal": k, "resource_name": name, "font_objid": f.objid, "fontname": f.name, "fontbase": f.name.split("+")[-1], "font_type": f.type, "vertical": f.vertical, "ascent": float(f.ascent), "descent": float(f.descent), "default_width": f.default_width, "flags": f.flags, "bbox": _rect([float(x) for x in f.bbox]), "embedded_kind": f.embedded, "program": program}
 
 
 def annotations(doc: Document, o: Options) -> Iterator[dict[str, Any]]:
