@@ -55,6 +55,20 @@ def test_odd_and_empty_input(spark, odd, name):
     f(only_nulls).collect()
 
 
+def test_odd_rows_have_their_values(odd):
+    """What nulls, empty, long and repeated rows give, not only that they give something."""
+    by = {}
+    for r in quality.score_fertility(odd).collect():
+        by.setdefault(r["doc_id"], []).append((r["keep"], r["reason"]))
+    assert by[1] == by[2] == by[3] == [(False, "empty")] and by[4] == [(False, "low entropy")] * 2 and by[6] == [(False, "low entropy")] and by[8][0][1] == "low entropy"
+    assert sorted(by[None], key=str) == [(False, "empty"), (True, None)]
+    assert secret_scan.scan_secrets(odd).count() == 0 and license_scan.scan_licenses(odd).count() == 0
+    assert {(r["doc_id"], r["kind"]) for r in pii.find_pii(odd).collect()} == {(7, "email"), (7, "phone")}
+    marked = odd.withColumn("text", F.concat("text", F.lit("\nReleased under the MIT License.\napi_key: sk9fJ3kQ8zLx02PqWvT7rBnM")))
+    assert Counter(r["doc_id"] for r in license_scan.scan_licenses(marked).collect()) == Counter({2: 1, 3: 1, 4: 2, 5: 1, 6: 1, 7: 1, 8: 1, None: 1})
+    assert Counter(r["doc_id"] for r in secret_scan.scan_secrets(marked).collect()) == Counter({2: 1, 3: 1, 4: 2, 5: 1, 6: 1, 7: 1, 8: 1, None: 1})
+
+
 # packing
 
 

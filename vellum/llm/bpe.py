@@ -8,7 +8,7 @@ of two adjacent tokens is memoised and positions once given up are never tried a
 the work is linear. The result is the merges' result, token for token.
 
 Defined results: a null text has null tokens; an empty text has none; repeated rows are
-encoded each; an empty table gives an empty table. Texts are taken whole, in any length.
+encoded each; no two merges have one rank, so there are no ties; an empty table gives an empty table. Texts are taken whole, in any length.
 Only doc_id and text are read, so other columns may have any name.
 """
 

@@ -14,7 +14,8 @@ and not by the data (six kinds, three votes of each of six labelers, 20 shapes:
 at most, a broadcast of some 5 MB). Overlapping candidates: the earlier kind of KINDS goes first, then the
 earlier start.
 
-Defined results: null and empty texts have no spans and stay as they are; a null doc_id is
+Defined results: null and empty texts have no spans and stay as they are; a probability that
+equals the threshold is enough; digits are ASCII digits; a null doc_id is
 reported as null; repeated rows are treated each; a corpus without candidates, or an empty
 table, gives no spans. Whole texts are scanned. Only doc_id and text (and n_chars, where
 texts are masked) are used, so other columns may have any name.

@@ -6,7 +6,8 @@ as bytes. Each language, else each script, has a band of admissible values.
 
 Defined results: a null text, an empty text and one of white space alone are rejected
 (reason "empty"); the ratios of a short text scatter, so below ``short`` tokens its band is
-wider, the more so the fewer they are; repeated rows are judged one by one; a null or unknown language
+wider, the more so the fewer they are; a measure that equals a bound is within it; texts are measured whole, in any length;
+repeated rows are judged one by one; a null or unknown language
 takes the band of the text's script, and a script without a band the default band. An
 empty table gives an empty table. Only doc_id, text and lang are read, so other columns
 may have any name.

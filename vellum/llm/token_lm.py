@@ -15,7 +15,8 @@ by row, weighted by how often a copy trained the row, in two levels), a third sc
 Scores depend on how the table is split into tasks.
 
 Defined results: a null or empty text has no words, score 0 and a null mean; the mean is
-for a word, a run without white space; repeated rows are counted and scored each; a null
+for a word, a run without white space; repeated rows are counted and scored each; tokens of
+one count are joined in the tree by their numbers; a text of any length is one line of windows; a null
 doc_id is scored like any other; an empty table gives an empty result. Whole texts are
 read. Only doc_id and text are read, so other columns may have any name.
 """
