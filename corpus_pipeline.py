@@ -2,7 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept;
 all but the last return the columns of documents. Empty input gives an empty result of the
-last stage's columns; null and repeated rows are treated as each operator states.
+last stage's columns. Null and empty texts are rejected in the first stage; rows without a
+doc_id pass the second; of rows with one doc_id the one of the least text stays; of a group
+of near copies the document with the least doc_id stays. Texts of any length are read whole,
+and further columns pass all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
