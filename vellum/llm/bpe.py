@@ -14,9 +14,9 @@ Only doc_id and text are read, so other columns may have any name.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,21 +28,22 @@ from .common import PATTERN, TOKENIZERS, load_ranks
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Words whose tokens a process keeps; beyond it the memo starts anew.
 MEMO = 300_000
+#: Characters of texts whose tokens are gathered at once, and stretches whose places are.
+TOGETHER = 1 << 20
+STRETCHES = 1 << 17
 #: Cuts a text where the pattern always cuts it, for texts with runs of white space.
 CHUNKS = regex.compile(r"\s+(?!\S)| ?\S+|\s+")
 COLUMNS = "doc_id bigint, tokens array<int>, n_tokens bigint, roundtrip boolean"
 
 
 class Memo(dict):
-    """The tokens of words, each with an optional space before it."""
+    """The numbers, in a codec's pool, of words, each with an optional space before it."""
 
     def __init__(self, codec: Codec, before: str) -> None:
         self.codec, self.before = codec, before
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= MEMO:
-            self.clear()
-        found = tuple(self.codec.encode_chunk(self.before + word))
+    def __missing__(self, word: str) -> int:
+        found = self.codec.keep(self.codec.encode_chunk(self.before + word))
         if len(word) < 100:
             self[word] = found
         return found
@@ -65,6 +66,12 @@ class Codec:
         self.pieces: dict[str, list[int]] = {}
         self.pattern = regex.compile(PATTERN)
         self.word, self.spaced, self.chunk = Memo(self, ""), Memo(self, " "), Memo(self, "")
+        # the tokens of the words that are known: where they start, and how many there are
+        self.pool, self.starts, self.sizes = array("i"), array("q"), array("q")
+        self.token_sizes = np.zeros(max(self.bytes_of) + 1, np.int64)
+        self.token_sizes[list(self.length)] = list(self.length.values())
+        self.token_starts = np.cumsum(self.token_sizes) - self.token_sizes
+        self.blob = np.frombuffer(b"".join(self.bytes_of[i] for i in sorted(self.bytes_of)), np.uint8)
 
     def prefix(self, token: int) -> int | None:
         """The longest token that is a proper prefix of a token."""
@@ -155,23 +162,75 @@ class Codec:
             out += found
         return out
 
-    def encode(self, text: str) -> Iterator[int]:
+    def keep(self, tokens: Sequence[int]) -> int:
+        self.starts.append(len(self.pool))
+        self.sizes.append(len(tokens))
+        self.pool.extend(tokens)
+        return len(self.starts) - 1
+
+    def words(self, text: str) -> list[int]:
+        """The numbers of a text's words."""
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in " \n" or text[-1:] in " \n":
-            return chain.from_iterable(map(self.chunk.__getitem__, CHUNKS.findall(text)))
-        newline = self.word["\n"]
-        parts: list[tuple[int, ...]] = []
+            return list(map(self.chunk.__getitem__, CHUNKS.findall(text)))
+        out: list[int] = []
         for k, line in enumerate(text.split("\n")):
             words = line.split(" ")
             if k:
-                parts.append(newline)
-            parts.append(self.word[words[0]])
-            parts += map(self.spaced.__getitem__, words[1:])
-        return chain.from_iterable(parts)
+                out.append(self.word["\n"])
+            out.append(self.word[words[0]])
+            out += map(self.spaced.__getitem__, words[1:])
+        return out
+
+    def encode(self, text: str) -> Iterator[int]:
+        return iter(self.encode_all([text])[0].tolist())
+
+    def encode_all(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of several texts, one after the other, and how many each has."""
+        if len(self.starts) >= MEMO:  # never while a number is in use
+            for known in (self.word, self.spaced, self.chunk):
+                known.clear()
+            self.pool, self.starts, self.sizes = array("i"), array("q"), array("q")
+        found: list[int] = []
+        ends = [0]
+        for t in texts:
+            found += self.words(t)
+            ends.append(len(found))
+        own = np.array(found, np.int64)
+        sizes = np.array(self.sizes, np.int64)[own]
+        tokens = gathered(np.array(self.pool, np.int32), np.array(self.starts, np.int64)[own], sizes)
+        return tokens, np.diff(np.append(0, np.cumsum(sizes))[ends])
+
+    def decode_all(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of tokens, and how many each has."""
+        sizes = self.token_sizes[tokens]
+        return gathered(self.blob, self.token_starts[tokens], sizes), sizes
 
     def decode(self, tokens: Sequence[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, tokens))
 
 
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of values, one after the other; their places are computed for some at a time."""
+    out = [values[:0]]
+    for k in range(0, len(starts), STRETCHES):
+        first, n = starts[k : k + STRETCHES], sizes[k : k + STRETCHES]
+        ends = np.cumsum(n)
+        out.append(values[np.arange(ends[-1]) + np.repeat(first - (ends - n), n)])
+    return np.concatenate(out)
+
+
+def same_bytes(raw: Sequence[bytes], found: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each text, whether the bytes found for it, so many, are its own."""
+    lengths = np.array(list(map(len, raw)), np.int64)
+    if not (lengths == sizes).all():
+        ends = np.cumsum(sizes)
+        return np.array([found[e - n : e].tobytes() == r for r, e, n in zip(raw, ends, sizes, strict=True)], bool)
+    out = np.ones(len(raw), bool)
+    wrong = np.flatnonzero(found != np.frombuffer(b"".join(raw), np.uint8))
+    out[np.searchsorted(np.cumsum(lengths), wrong, side="right")] = False
+    return out
+
+
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     return Codec(load_ranks(path))
@@ -183,23 +242,20 @@ def encode_documents(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabulary:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
-            flat: list[np.ndarray] = []
-            offsets, same = [0], []
-            texts = b.column(1).to_pylist()
-            for t in texts:
-                if t is None:
-                    same.append(None)
-                    offsets.append(offsets[-1])
-                    continue
-                tokens = list(c.encode(t))
-                same.append(c.decode(tokens) == t.encode())
-                flat.append(np.array(tokens, np.int32))
-                offsets.append(offsets[-1] + len(tokens))
-            ends = pa.array(offsets, pa.int32(), mask=np.array([t is None for t in texts] + [False]))
-            values = pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32))
-            counts = pa.array([None if t is None else int(n) for t, n in zip(texts, np.diff(offsets), strict=True)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, values), counts, pa.array(same, pa.bool_())], ["doc_id", "tokens", "n_tokens", "roundtrip"])
+        for whole in batches:
+            sizes = np.cumsum([len(t or "") for t in whole.column(1).to_pylist()])
+            cuts = [0, *(np.flatnonzero(np.diff(sizes // TOGETHER)) + 1).tolist(), whole.num_rows]
+            for k, end in zip(cuts, cuts[1:], strict=False):
+                b = whole.slice(k, end - k)
+                null = b.column(1).is_null().to_numpy(zero_copy_only=False)
+                texts = [t or "" for t in b.column(1).to_pylist()]
+                tokens, counts = c.encode_all(texts)
+                found, lengths = c.decode_all(tokens)
+                ends = np.append(0, np.cumsum(counts))
+                back = np.diff(np.append(0, np.cumsum(lengths))[ends])
+                same = same_bytes([t.encode() for t in texts], found, back)
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32), pa.int32(), mask=np.append(null, False)), pa.array(tokens))
+                yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(counts, mask=null), pa.array(same, mask=null)], ["doc_id", "tokens", "n_tokens", "roundtrip"])
 
     return docs.select("doc_id", "text").mapInArrow(run, COLUMNS)
 
