@@ -1,6 +1,7 @@
 """op2 over tokens: every token has a probability of its own, and tokens are predicted from both sides."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -60,3 +61,41 @@ def test_every_window_is_trained(spark, tmp_path, monkeypatch):
     out = scores(spark, tmp_path, ["one two", "three"])
     assert len(out) == 2
     assert all(token_lm.drawn(np.arange(n, dtype=np.uint16), seen[0]).all() for n in range(1, 50))
+
+
+def zipf_tree(size=2000):
+    counts = (1e6 / np.arange(1, size + 1)).astype(int)
+    return token_lm.huffman(counts), counts / counts.sum()
+
+
+def test_groups_and_the_rest_are_the_whole_path():
+    tree, _ = zipf_tree()
+    net = token_lm.Network.fresh(tree)
+    assert 1 < len(tree.groups) and sum(len(g.nodes) for g in tree.groups) == token_lm.TOP
+    for t in range(2000):
+        found = dict(zip(*map(np.ndarray.tolist, net.rest(np.array([t]))[:2]), strict=True))
+        for _, _, n, nodes, sides, _ in net.spans(np.array([t])):
+            way = sides[np.flatnonzero(n)[0]]
+            found |= {int(k): s for k, s in zip(nodes, way, strict=True) if s}
+        at = slice(tree.start[t], tree.start[t] + tree.depth[t])
+        assert found == dict(zip(tree.nodes[at].tolist(), tree.sides[at].tolist(), strict=True))
+
+
+def test_a_step_multiplies_windows_only_by_nodes_near_their_paths():
+    """4,096 windows by all nodes of the tree's top took over 8 MB, and most of the time of a step."""
+    tree, p = zipf_tree()
+    rng = np.random.default_rng(1)
+    net = token_lm.Network.fresh(tree)
+    squares, times = np.ones_like(net.rows), np.zeros(len(net.rows), np.float32)
+    context, target = rng.choice(2000, (4, token_lm.STEP), p=p), rng.choice(2000, token_lm.STEP, p=p)
+    tracemalloc.start()
+    net.train(context, target, squares, times)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5e6
+    assert times.sum() == tree.depth[target].sum() + context.size
+
+
+def test_large_activations_keep_their_logarithm():
+    z = np.array([[-300, -90, 0, 90, 300]], np.float32)
+    assert token_lm.softplus(z)[0] == pytest.approx([0, 0, np.log(2), 90, 300], rel=1e-6)

@@ -47,8 +47,11 @@ SEED = 7
 BLOCK = 1024
 FAN_IN = 64
 TOGETHER = 8192
-#: Nodes of the tree, the most visited ones, that a step multiplies as one matrix; the rest go path by path.
+#: Nodes of the tree, the most visited ones, that a step multiplies as matrices of up to so many; the rest go path by path.
 TOP = 256
+TOGETHER_NODES = 16
+#: Rows of a stretch up to which all stretches are added row by row.
+FEW = 3
 COLUMNS = "doc_id bigint, n_words bigint, log_likelihood double, mean_log_likelihood double"
 
 
@@ -62,7 +65,7 @@ def encoded(docs: DataFrame, tokenizers: str = TOKENIZERS) -> DataFrame:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
                 found = [(t or "").lower().split() for t in part.column(1).to_pylist()]
-                tokens = [enc.encode_to_numpy(" ".join(f)).astype(np.uint16).tobytes() if f else b"" for f in found]
+                tokens = [np.array(enc.encode_ordinary(" ".join(f)), np.uint16).tobytes() if f else b"" for f in found]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, found), pa.int64()), pa.array(tokens, pa.binary())], ["doc_id", "n_words", "tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_words bigint, tokens binary")
@@ -85,27 +88,85 @@ def count_tokens(rows: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+@dataclass
+class Group:
+    """Connected nodes of the tree's top. Way out e, a child that isn't one of them, has the leaves of
+    rank bounds[e] to bounds[e + 1] under it, and sides[e] are the sides taken to it, 0 at nodes not passed."""
+
+    nodes: np.ndarray
+    bounds: np.ndarray
+    sides: np.ndarray
+
+
 @dataclass
 class Tree:
-    """A token's path is nodes[start[t] : start[t] + depth[t]], and the side it takes at each (1 or -1)."""
+    """A token's path, from its leaf up, is nodes[start[t] : start[t] + depth[t]], and the side it takes at each (1 or -1).
+    rank is the token's place among the leaves from left to right."""
 
     start: np.ndarray
     depth: np.ndarray
     nodes: np.ndarray
     sides: np.ndarray
     odds: np.ndarray
+    rank: np.ndarray
+    groups: list[Group]
+
+
+def grouped(children: list[tuple[int, int]], weights: list[int], size: int) -> tuple[np.ndarray, list[Group]]:
+    """Ranks of the leaves, and TOP nodes at most in groups, from the root down to the most visited; children are leaves, or size and up for nodes."""
+    leaves = [1] * size + [0] * (size - 1)
+    for k, (x, y) in enumerate(children):
+        leaves[size + k] = leaves[x] + leaves[y]
+    first = [0] * (2 * size - 1)
+    for k in range(size - 2, -1, -1):  # a node is made after its children
+        x, y = children[k]
+        first[x], first[y] = first[size + k], first[size + k] + leaves[x]
+    rank = np.array(first[:size], np.uint16)
+    groups: list[Group] = []
+    roots, left = [(-weights[-1], 2 * size - 2)], TOP
+    while roots and left > 0:
+        inside: dict[int, int] = {}
+        edge = [heapq.heappop(roots)]
+        while edge and len(inside) < min(left, TOGETHER_NODES):
+            k = heapq.heappop(edge)[1]
+            inside[k] = len(inside)
+            for child in children[k - size]:
+                if child >= size:
+                    heapq.heappush(edge, (-weights[child - size], child))
+        for x in edge:
+            heapq.heappush(roots, x)
+        left -= len(inside)
+        ways: list[tuple[int, np.ndarray]] = []
+        open_ = [(next(iter(inside)), np.zeros(len(inside), np.float32))]
+        while open_:
+            k, taken = open_.pop()
+            if k not in inside:
+                ways.append((first[k], taken))
+                continue
+            for child, side in zip(children[k - size], (1, -1), strict=True):
+                own = taken.copy()
+                own[inside[k]] = side
+                open_.append((child, own))
+        ways.sort(key=lambda x: x[0])
+        root = next(iter(inside))
+        groups.append(Group(np.array([k - size for k in inside]), np.array([*(w for w, _ in ways), first[root] + leaves[root]]), np.array([t for _, t in ways])))
+    return rank, groups
 
 
 def huffman(counts: np.ndarray) -> Tree:
     size = len(counts)
     heap = [(int(n) + 1, k) for k, n in enumerate(counts)]
     heapq.heapify(heap)
+    children: list[tuple[int, int]] = []
+    weights: list[int] = []
     above, side, odds = np.zeros(2 * size - 1, np.int64), np.zeros(2 * size - 1, np.int8), np.zeros(size - 1, np.float32)
     for k in range(size - 1):
         (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
         above[x] = above[y] = size + k
         side[x], side[y] = 1, -1
         odds[k] = np.log(a / b)
+        children.append((x, y))
+        weights.append(a + b)
         heapq.heappush(heap, (a + b, size + k))
     nodes: list[int] = []
     sides: list[int] = []
@@ -118,7 +179,7 @@ def huffman(counts: np.ndarray) -> Tree:
             k = up[k]
             nodes.append(k - size)
         depth[t] = len(nodes) - before
-    return Tree(np.cumsum(depth) - depth, depth, np.array(nodes, np.uint16), np.array(sides, np.float32), odds)
+    return Tree(np.cumsum(depth) - depth, depth, np.array(nodes, np.uint16), np.array(sides, np.float32), odds, *grouped(children, weights, size))
 
 
 class Network:
@@ -128,8 +189,14 @@ class Network:
     def __init__(self, tree: Tree, rows: np.ndarray) -> None:
         self.tree, self.rows, self.size = tree, rows, len(tree.depth)
         self.out, inputs = rows[: self.size - 1], rows[self.size - 1 :]
-        self.top = max(0, self.size - 1 - TOP)  # a node made later is visited as often or more
         self.inputs = inputs.reshape(len(OFFSETS), self.size + 1, WIDTH + 1)
+        outside = np.ones(self.size - 1, bool)
+        outside[np.concatenate([g.nodes for g in tree.groups])] = False
+        self.below = np.add.reduceat(outside[tree.nodes], tree.start, dtype=np.int64)  # nodes of a path that are in no group; they come first
+        self.bounds = np.concatenate([g.bounds for g in tree.groups])
+        ends = np.cumsum([len(g.bounds) for g in tree.groups]).tolist()
+        passed = [np.abs(g.sides) for g in tree.groups]
+        self.groups = [(g.nodes, g.sides, p, slice(e - len(g.bounds), e - 1)) for g, p, e in zip(tree.groups, passed, ends, strict=True)]
 
     @classmethod
     def fresh(cls, tree: Tree) -> Network:
@@ -141,75 +208,134 @@ class Network:
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         """context: (offset, window)."""
-        h = self.inputs[0][context[0]]
+        h = self.inputs[0].take(context[0], axis=0)
         for k in range(1, len(OFFSETS)):
-            h += self.inputs[k][context[k]]
+            h += self.inputs[k].take(context[k], axis=0)
         np.tanh(h, out=h)
         h[:, WIDTH] = 1
         return h
 
-    def paths(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The nodes and sides of all targets' paths, the window of each, and where each target's path begins."""
-        depth = self.tree.depth[target]
+    def ordered(self, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The windows' order by the rank of their targets, and context and target in it."""
+        order = np.argsort(self.tree.rank.take(target), kind="stable")
+        return order, context.take(order, axis=1), target.take(order)
+
+    def spans(self, target: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each group that ordered targets pass: their windows' begin and end, how many take each way out, and the group's nodes, sides and nodes passed."""
+        at = np.searchsorted(self.tree.rank.take(target), self.bounds)
+        counts = at[1:] - at[:-1]
+        where = at.tolist()
+        for nodes, sides, passed, ways in self.groups:
+            a, b = where[ways.start], where[ways.stop]
+            if a < b:
+                yield a, b, counts[ways], nodes, sides, passed
+
+    def rest(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The nodes and sides of all targets' paths under the groups, and the window of each."""
+        depth = self.below.take(target)
         ends = np.cumsum(depth)
-        begin = ends - depth
         of = np.repeat(np.arange(len(target)), depth)
-        at = np.arange(ends[-1]) + (self.tree.start[target] - begin)[of]
-        return self.tree.nodes[at], self.tree.sides[at], of, begin
-
-    def forward(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(nodes, sides, window of each, which of them lie under the tree's top, side times activation)."""
-        nodes, sides, of, _ = self.paths(target)
-        low = np.flatnonzero(nodes < self.top)
-        z = (h @ self.out[self.top :].T).ravel()[np.maximum(of * (self.size - 1 - self.top) + nodes - self.top, 0)]
-        z[low] = np.einsum("ij,ij->i", h[of[low]], self.out[nodes[low]])
-        return nodes, sides, of, low, z * sides
+        at = np.arange(len(of)) + (self.tree.start.take(target) - ends + depth).take(of)
+        return self.tree.nodes.take(at), self.tree.sides.take(at), of
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        _, _, of, _, z = self.forward(self.hidden(context), target)
-        return np.bincount(of, weights=-np.logaddexp(np.float32(0), -z), minlength=len(target))
+        order, context, target = self.ordered(context, target)
+        h = self.hidden(context)
+        nodes, sides, of = self.rest(target)
+        z = np.einsum("ij,ij->i", h.take(of, axis=0), self.out.take(nodes, axis=0))
+        logs = -np.bincount(of, weights=softplus(-sides * z), minlength=len(target)).astype(float)  # whole numbers if no path has a rest
+        for a, b, n, nodes, sides, passed in self.spans(target):
+            z = h[a:b] @ self.out.take(nodes, axis=0).T
+            z *= np.repeat(-sides, n, axis=0)  # 0 at nodes not passed, which then have the softplus log 2
+            logs[a:b] += np.repeat((len(nodes) - passed.sum(axis=1)) * np.log(2), n) - softplus(z) @ np.ones(len(nodes), z.dtype)
+        out = np.empty(len(target))
+        out[order] = logs
+        return out
 
     def train(self, context: np.ndarray, target: np.ndarray, squares: np.ndarray, times: np.ndarray, rate: float = RATE) -> None:
         """One AdaGrad step of the rows that the windows touch; times: how often each was."""
+        _, context, target = self.ordered(context, target)
         h = self.hidden(context)
-        nodes, sides, of, low, z = self.forward(h, target)
-        g = (-sides / (1 + np.exp(np.minimum(z, 60)))).astype(np.float32)
-        # the top as a dense matrix (window, node), in which the nodes of a low path stay 0
-        dense = np.zeros((len(h), self.size - 1 - self.top), np.float32)
-        high = np.flatnonzero(nodes >= self.top)
-        dense[of[high], nodes[high] - self.top] = g[high]
-        dh = dense @ self.out[self.top :]
-        if len(low):
-            below = of[low]
-            cuts = np.flatnonzero(np.diff(below, prepend=-1))
-            dh[below[cuts]] += sums(self.out[nodes[low]] * g[low][:, None], cuts)
-        dh *= 1 - h * h  # 0 in the last column, where h is 1
-        order = low[np.argsort(nodes[low].astype(np.uint16), kind="stable")]
-        push = h[of[order]] * g[order][:, None]
-        grad, touched = dense.T @ h, np.bincount(nodes[high] - self.top, minlength=self.size - 1 - self.top)
-        if len(order):
-            self._move(0, nodes[order], push, squares, times, rate)
-        self._step(slice(self.top, self.size - 1), grad, touched, squares, times, rate)
+        dh = np.zeros_like(h)
+        grads, touched, top = [], [], []
+        with np.errstate(over="ignore"):
+            for a, b, n, nodes, sides, passed in self.spans(target):
+                x, w, s = h[a:b], self.out.take(nodes, axis=0), np.repeat(sides, n, axis=0)
+                z = x @ w.T
+                z *= s
+                np.exp(z, out=z)
+                z += 1
+                np.divide(s, z, out=z)
+                dh[a:b] -= z @ w
+                grads.append(-(z.T @ x))
+                touched.append(n @ passed)
+                top.append(nodes)
+        dh = np.ascontiguousarray(dh[:, :WIDTH])
+        nodes, sides, of = self.rest(target)
+        if len(nodes):
+            x, w = h.take(of, axis=0), self.out.take(nodes, axis=0)
+            z = np.einsum("ij,ij->i", x, w) * sides
+            g = (-sides / (1 + np.exp(np.minimum(z, 60))))[:, None]
+            cuts = begins(of)
+            dh[of[cuts]] += sums(np.ascontiguousarray(w[:, :WIDTH]) * g, cuts)
+            order = np.argsort(nodes, kind="stable")
+            self._move(0, nodes[order], (x * g).take(order, axis=0), squares, times, rate)
+        h = h[:, :WIDTH]
+        dh *= 1 - h * h
+        self._step(np.concatenate(top), np.concatenate(grads), np.concatenate(touched), squares, times, rate)
         for k in range(len(OFFSETS)):
             order = np.argsort(context[k].astype(np.uint16), kind="stable")
-            self._move(self.size - 1 + k * (self.size + 1), context[k][order], dh[order], squares, times, rate)
+            self._move(self.size - 1 + k * (self.size + 1), context[k].take(order), dh.take(order, axis=0), squares, times, rate)
 
     def _move(self, base: int, ids: np.ndarray, push: np.ndarray, squares: np.ndarray, times: np.ndarray, rate: float) -> None:
-        cuts = np.flatnonzero(np.diff(ids.astype(np.int64), prepend=-1))
-        self._step(ids[cuts].astype(np.int64) + base, sums(push, cuts), np.diff(cuts, append=len(ids)), squares, times, rate)
+        cuts = begins(ids)
+        grad = np.zeros((len(cuts), WIDTH + 1), push.dtype)
+        grad[:, : push.shape[1]] = sums(push, cuts)
+        self._step(ids[cuts].astype(np.int64) + base, grad, np.diff(cuts, append=len(ids)), squares, times, rate)
 
-    def _step(self, at: np.ndarray | slice, grad: np.ndarray, touched: np.ndarray, squares: np.ndarray, times: np.ndarray, rate: float) -> None:
+    def _step(self, at: np.ndarray, grad: np.ndarray, touched: np.ndarray, squares: np.ndarray, times: np.ndarray, rate: float) -> None:
+        """at: rows, each once."""
         times[at] += touched
-        total = squares[at] + grad * grad
+        total = grad * grad
+        total += squares.take(at, axis=0)
         squares[at] = total
-        self.rows[at] -= rate * grad / np.sqrt(total)
+        np.sqrt(total, out=total)
+        grad *= -rate
+        grad /= total
+        grad += self.rows.take(at, axis=0)
+        self.rows[at] = grad
+
+
+def softplus(z: np.ndarray) -> np.ndarray:
+    """log(1 + exp(z)), also where exp(z) is too large."""
+    if z.size and z.max() > 80:
+        return np.log(1 + np.exp(-np.abs(z))) + np.maximum(z, 0)
+    out = np.exp(z)
+    out += 1
+    return np.log(out, out=out)
+
+
+def begins(ids: np.ndarray) -> np.ndarray:
+    """Where each stretch of equal ids begins."""
+    return np.append(0, np.flatnonzero(ids[1:] != ids[:-1]) + 1)
 
 
 def sums(rows: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """The sum of each stretch of rows that begins at a cut; the first cut is 0."""
-    running = np.cumsum(rows, axis=0, dtype=np.float64)[np.append(cuts[1:], len(rows)) - 1]
-    running[1:] -= running[:-1].copy()
-    return running.astype(np.float32)
+    """The sum of each stretch of rows that begins at a cut; the first cut is 0. Short ones are added row by row,
+    all at once; in the others two columns are added as one complex number, if they are even."""
+    n = np.append(cuts[1:], len(rows)) - cuts
+    out = rows.take(cuts, axis=0)
+    few = np.flatnonzero((n > 1) & (n <= FEW))
+    for k in range(1, FEW):
+        out[few] += rows.take(cuts.take(few) + k, axis=0)
+        few = few[n.take(few) > k + 1]
+    if len(many := np.flatnonzero(n > FEW)):
+        m = n.take(many)
+        x = rows.take(np.flatnonzero(np.repeat(n > FEW, n)), axis=0)
+        if x.shape[1] % 2 == 0:
+            x = x.view(np.result_type(x, np.complex64))
+        out[many] = np.add.reduceat(x, np.cumsum(m) - m, axis=0).view(rows.dtype)
+    return out
 
 
 def lines(texts: list[np.ndarray], border: int) -> tuple[np.ndarray, np.ndarray]:
