@@ -3,8 +3,8 @@
 A 256-bit fingerprint of a text's distinct words; documents within ``max_distance`` bits
 belong to one group, transitively, and its least doc_id stays. Equal fingerprints are
 collapsed first, which is exact. Of the rest, each of several tables samples some bit
-positions and groups on them; a bucket beyond ``cap`` is split by additional sampled bits,
-in ``fan`` different ways, again and again until its parts are within the cap; every pair
+positions and groups on them; of a bucket beyond ``cap`` the dense cores (rows within half the
+distance of one) are linked whole, and what is left is split by additional sampled bits, in ``fan`` different ways, again and again until its parts are within the cap; every pair
 of every final bucket is then verified. Nothing is dropped: the cap only decides when more
 bits are added. How many bits there are follows from the number of different fingerprints,
 and how many tables from that and from the sizes of one table's buckets, so that
@@ -42,6 +42,8 @@ RECALL = 0.95
 SEED = 20_011
 #: More tables than these can't be told apart by their keys.
 TABLES = 4096
+#: Pivots in turn without a dense core after which an oversized bucket is split.
+PIVOTS = 4
 
 
 _STEPS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 for k in range(1, WORDS + 1)], np.uint64)
@@ -156,8 +158,39 @@ def linked(ids: np.ndarray, h: np.ndarray, distance: int) -> Iterator[np.ndarray
     yield np.stack([ids[moved], ids[label[moved]]], axis=1)
 
 
+def far_from(row: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(h ^ row).sum(axis=1, dtype=np.int64)
+
+
+def without_cores(ids: np.ndarray, h: np.ndarray, rng: np.random.Generator, distance: int, cap: int, out: list[np.ndarray]) -> np.ndarray:
+    """Positions that are left of an oversized bucket when its dense cores are linked; the links go to out.
+
+    Rows within half the distance of a pivot are within the distance of each other, so they are one group and
+    only the pivot stays. No link is lost: a row that is linked to one of those that go is either within the
+    distance of the pivot, or within one and a half of it, and then compared with each. More bits hardly
+    ever split such rows, so without this their bucket is split again and again, in fan ways each time.
+    """
+    left, missed = np.arange(len(ids)), 0
+    while len(left) > cap and missed < PIVOTS:
+        pivot = left[rng.integers(len(left))]
+        far = far_from(h[pivot], h[left])
+        core = left[(far <= distance // 2) & (left != pivot)]
+        if len(core) < len(left) / 32:
+            missed += 1
+            continue
+        missed = 0
+        out.append(np.stack([ids[core], np.full(len(core), ids[pivot])], axis=1))
+        for at in left[(far > distance) & (far <= distance + distance // 2)]:
+            if (near := far_from(h[at], h[core]) <= distance).any():
+                out.append(np.array([[ids[at], ids[core[near.argmax()]]]]))
+        near = left[(far > distance // 2) & (far <= distance)]
+        out.append(np.stack([ids[near], np.full(len(near), ids[pivot])], axis=1))
+        left = left[(far > distance // 2) | (left == pivot)]
+    return left
+
+
 def refined(ids: np.ndarray, h: np.ndarray, used: np.ndarray, rng: np.random.Generator, distance: int, cap: int, fan: int) -> Iterator[np.ndarray]:
-    """The links of a bucket; beyond the cap, of its parts by additional bits, in fan ways."""
+    """The links of a bucket; beyond the cap, of its dense cores and of the other rows' parts by additional bits, in fan ways."""
     if len(ids) < 2:
         return
     free = np.flatnonzero(used == 0)
@@ -171,6 +204,13 @@ def refined(ids: np.ndarray, h: np.ndarray, used: np.ndarray, rng: np.random.Gen
                     k = np.r_[i : min(i + step, len(ids))] if i == j else np.r_[i : min(i + step, len(ids)), j : min(j + step, len(ids))]
                     yield from linked(ids[k], h[k], distance)
         return
+    out: list[np.ndarray] = []
+    left = without_cores(ids, h, rng, distance, cap, out)
+    yield from out
+    ids, h = ids[left], h[left]
+    if len(ids) <= cap:
+        yield from linked(ids, h, distance)
+        return
     for _ in range(fan):
         more = np.zeros(BITS, np.uint8)
         more[rng.choice(free, min(EXTRA_BITS, len(free)), replace=False)] = 1
