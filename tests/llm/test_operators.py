@@ -112,6 +112,16 @@ def test_packed_documents(docs):
     assert all(len(s) == len(set(s)) for s in sources.values())
 
 
+def test_tokens_are_counted_without_a_search_for_special_ones():
+    enc = encoding(f"{TOKENIZERS}/{packing.VOCABULARY}")
+
+    class Ordinary:
+        encode_ordinary = staticmethod(enc.encode_ordinary)
+
+    texts = [None, "", " \n", "two words", "<|endoftext|> 日本語 \U0001f600", "x" * 5000]
+    assert packing.token_lengths(Ordinary(), texts) == [len(enc.encode_to_numpy(t)) if t else 0 for t in texts]
+
+
 def test_near_copies_never_share_a_bin(spark, docs):
     clusters = simhash_dedup.near_duplicates(docs).cache()
     group = {r["doc_id"]: r["group_id"] for r in clusters.collect()}

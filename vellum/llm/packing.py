@@ -25,6 +25,7 @@ from __future__ import annotations
 from bisect import insort
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -133,6 +134,11 @@ def pack(lengths: Sequence[int], sources: Sequence[object], clusters: Sequence[o
     return [bins.put(n, s, c, capacity) for n, s, c in zip(lengths, bitmap(sources), bitmap(clusters), strict=True)]
 
 
+def token_lengths(enc: Any, texts: Sequence[str | None]) -> list[int]:
+    """The tokens of each text; encode_ordinary, because the other encoders look for special tokens at every position."""
+    return [len(enc.encode_ordinary(t)) if t else 0 for t in texts]
+
+
 def token_counts(docs: DataFrame, tokenizers: str = TOKENIZERS) -> DataFrame:
     """(doc_id, source, cluster, n_tokens) of each row; the cluster is a hash of the text."""
     path = f"{tokenizers}/{VOCABULARY}"
@@ -140,7 +146,7 @@ def token_counts(docs: DataFrame, tokenizers: str = TOKENIZERS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
         for b in batches:
-            n = pa.array([len(enc.encode_to_numpy(t)) if t else 0 for t in b.column(3).to_pylist()], pa.int64())
+            n = pa.array(token_lengths(enc, b.column(3).to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), n], ["doc_id", "source", "cluster", "n_tokens"])
 
     return docs.select("doc_id", "source", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("cluster"), "text").mapInArrow(run, "doc_id bigint, source string, cluster bigint, n_tokens bigint")
