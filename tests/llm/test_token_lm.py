@@ -99,3 +99,63 @@ def test_a_step_multiplies_windows_only_by_nodes_near_their_paths():
 def test_large_activations_keep_their_logarithm():
     z = np.array([[-300, -90, 0, 90, 300]], np.float32)
     assert token_lm.softplus(z)[0] == pytest.approx([0, 0, np.log(2), 90, 300], rel=1e-6)
+
+
+def test_texts_are_cut_like_the_shared_pattern():
+    """Without the look ahead, which took half of the time."""
+    path = f"{token_lm.TOKENIZERS}/{token_lm.VOCABULARY}"
+    one, other = token_lm.spaced(path), token_lm.encoding(path)
+    assert "(?!" not in one._pat_str
+    rng = random.Random(5)
+    odd = ["'s", "'", "''ll", "it's", "we'rex", "'d'", "'m3", "x'", "３", "½a", "á", "é", "中文字", "🙂🙂", "​", "᠎", "\x00", "_", "a_b-1", "﻿", "ﬁ", "'Tİ", "9'9", "…'ve", "\x1b["]
+    for k in range(3000):
+        found = " ".join("".join(rng.choices(odd, k=rng.randrange(1, 4))) for _ in range(rng.randrange(0, 8))).lower().split()
+        text = " ".join(found)
+        assert one.encode_ordinary(text) == other.encode_ordinary(text)
+        assert other.decode(one.encode_ordinary(text)) == text
+
+
+def test_pairs_under_the_groups_come_level_by_level():
+    """So that a window's pairs are added to the one before them without looking for where they begin."""
+    tree, p = zipf_tree()
+    net = token_lm.Network.fresh(tree)
+    target = np.random.default_rng(2).choice(2000, 500, p=p)
+    nodes, _, of, ends = net.rest(target)
+    assert len(nodes) == net.below[target].sum() and ends[-1] == len(nodes)
+    for a, b in zip([0, *ends], ends, strict=False):
+        assert of[a:b].tolist() == of[: b - a].tolist() and len(set(of[a:b].tolist())) == b - a
+    for k in range(500):
+        at = tree.start[target[k]]
+        assert nodes[of == k].tolist() == tree.nodes[at : at + net.below[target[k]]].tolist()
+
+
+def test_a_step_is_the_gradient_of_the_probability():
+    tree, p = zipf_tree()
+    rng = np.random.default_rng(4)
+    net = token_lm.Network.fresh(tree)
+    net.rows[: net.size - 1] += rng.normal(0, 0.1, (net.size - 1, token_lm.WIDTH + 1)).astype(np.float32)
+    context, target = rng.choice(2000, (4, 300), p=p), rng.choice(2000, 300, p=p)
+    h = np.tanh(sum(net.inputs[k][context[k], : token_lm.WIDTH] for k in range(4)).astype(float))
+    h = np.concatenate([h, np.ones((300, 1))], axis=1)
+    want, logs = np.zeros(net.rows.shape), np.zeros(300)
+    for i, t in enumerate(target):
+        at = slice(tree.start[t], tree.start[t] + tree.depth[t])
+        w, s = net.out[tree.nodes[at]].astype(float), tree.sides[at]
+        z = s * (w @ h[i])
+        logs[i] = -np.log1p(np.exp(-z)).sum()
+        g = s / (1 + np.exp(z))
+        np.add.at(want, tree.nodes[at].astype(int), g[:, None] * h[i])
+        for k in range(4):
+            want[net.size - 1 + k * (net.size + 1) + context[k, i], : token_lm.WIDTH] += ((g @ w) * (1 - h[i] ** 2))[: token_lm.WIDTH]
+    assert net.log_probability(context, target) == pytest.approx(logs, abs=1e-4)
+    before, squares = net.rows.copy(), np.ones_like(net.rows)
+    net.train(context, target, squares, np.zeros(len(net.rows), np.float32))
+    assert net.rows - before == pytest.approx(token_lm.RATE * want / np.sqrt(1 + want**2), abs=1e-4)
+
+
+def test_sums_of_logarithms_by_products():
+    z = np.random.default_rng(3).normal(0, 4, (16, 50)).astype(np.float32)
+    for rows in (1, 2, 6, 7, 16):
+        for most in (19.9, 90):
+            x = np.vstack([z[: rows - 1], np.full((1, 50), most, np.float32)])
+            assert token_lm.softplus_sum(x) == pytest.approx(np.logaddexp(0, x.astype(float)).sum(axis=0), rel=1e-5)
