@@ -198,11 +198,36 @@ def _selected(doc: Document, o: Options) -> list[Page]:
 def _items(doc: Document, o: Options, kinds: Any) -> Iterator[tuple[Page, int, Item]]:
     fonts: dict[int, Font] = {}
     for p in _selected(doc, o):
-        for k, item in enumerate(Interpreter(doc, p, o.get("space", "screen"), kinds, o.get("flat", True), fonts, "columns" not in o or "bbox" in o["columns"])):
+        for k, item in enumerate(Interpreter(doc, p, o.get("space", "screen"), kinds, o.get("flat", True), fonts, *("columns" not in o or c in o["columns"] for c in ("bbox", "gstate", "segments")))):
             yield p, k, item
 
 
+#: Columns of content_objects that are built by themselves, without the rest of the row.
+_PARTS: dict[str, Callable[[Page, int, Item], Any]] = {
+    "page_idx": lambda p, k, x: p.index,
+    "op_seq": lambda p, k, x: x.seq,
+    "item_seq": lambda p, k, x: k,
+    "object_type": lambda p, k, x: x.kind,
+    "bbox": lambda p, k, x: _rect(x.bbox),
+    "mcid": lambda p, k, x: x.mcid,
+    "mcid_stream": lambda p, k, x: n.stream if (n := x.numbered) else None,
+    "mcstack": lambda p, k, x: [_mark(m) for m in x.marks],
+    "parent_key": lambda p, k, x: n.key if (n := x.numbered) else x.parent_key,
+    "own_key": lambda p, k, x: x.own_key,
+    "chars": lambda p, k, x: x.chars if x.kind == TEXT else None,
+    "n_glyphs": lambda p, k, x: x.n_glyphs if x.kind == TEXT else None,
+    "stroke": lambda p, k, x: x.stroke if x.kind == PATH else None,
+    "fill": lambda p, k, x: x.fill if x.kind == PATH else None,
+    "evenodd": lambda p, k, x: x.evenodd if x.kind == PATH else None,
+}
+
+
 def content_objects(doc: Document, o: Options) -> Iterator[dict[str, Any]]:
+    if o.get("columns") is not None and _PARTS.keys() >= (own := {c for c in o["columns"] if c != "doc_id"}):
+        parts = [(c, _PARTS[c]) for c in own]
+        for p, k, x in _items(doc, o, o.get("kinds") or (TEXT, PATH, IMAGE, FORM, TAG)):
+            yield {c: f(p, k, x) for c, f in parts}
+        return
     blank = dict.fromkeys(("chars", "n_glyphs", "matrix", "origin", "displacement", "vertical", "fontbase", "size", "segments", "stroke", "fill", "evenodd", "name", "stream_id", "width", "height", "bits", "colorspace", "imagemask", "filters", "tag"))
     wanted = o.get("columns")
     for p, k, x in _items(doc, o, o.get("kinds") or (TEXT, PATH, IMAGE, FORM, TAG)):
@@ -215,7 +240,7 @@ def content_objects(doc: Document, o: Options) -> Iterator[dict[str, Any]]:
         if x.kind == TEXT:
             m, font = x.matrix, x.state.font
             vertical = bool(font and font.vertical)
-            row |= {"chars": x.chars, "n_glyphs": len(x.glyphs), "matrix": _matrix(m), "origin": _point((m[4], m[5])), "displacement": _point((x.end[0] - m[4], x.end[1] - m[5])), "vertical": vertical, "fontbase": font.name.split("+")[-1] if font else None, "size": (m[0] ** 2 + m[1] ** 2) ** 0.5 if vertical else (m[2] ** 2 + m[3] ** 2) ** 0.5}
+            row |= {"chars": x.chars, "n_glyphs": x.n_glyphs, "matrix": _matrix(m), "origin": _point((m[4], m[5])), "displacement": _point((x.end[0] - m[4], x.end[1] - m[5])), "vertical": vertical, "fontbase": font.name.split("+")[-1] if font else None, "size": (m[0] ** 2 + m[1] ** 2) ** 0.5 if vertical else (m[2] ** 2 + m[3] ** 2) ** 0.5}
         elif x.kind == PATH:
             row |= {"segments": [{"op": op, "points": [_point(q) for q in ps]} for op, ps in x.segments] if wanted is None or "segments" in wanted else None, "stroke": x.stroke, "fill": x.fill, "evenodd": x.evenodd}
         elif x.kind in (IMAGE, FORM):
@@ -312,7 +337,7 @@ def page_text(doc: Document, o: Options) -> Iterator[dict[str, Any]]:
     tagged, known = doc.tagged and o.get("bbox") is None, {}
     space = o.get("space", "screen")
     for p in _selected(doc, o):
-        own = (text_record(t) for t in Interpreter(doc, p, space, (TEXT,), fonts=known, boxes=False) if t.glyphs)
+        own = (text_record(t) for t in Interpreter(doc, p, space, (TEXT,), fonts=known, boxes=False, states=False) if t.n_glyphs)
         yield {"page_idx": p.index, "label": p.label, "text": tagged_text(own, space) if tagged else untagged_text(own, space, o.get("bbox"))}
 
 
