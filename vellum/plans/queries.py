@@ -650,41 +650,35 @@ def codec_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lzw_codes(raw: bytes) -> bytes:
     """LZW with matches and codes of 9 to 12 bits, and a clear code when the table is full."""
-    out, held, width = 0, 0, 9
-    packed = bytearray()
-    table: dict[bytes, int] = {bytes([k]): k for k in range(256)}
-
-    def put(code: int) -> None:
-        nonlocal out, held
-        out, held = out << width | code, held + width
-        while held >= 8:
-            held -= 8
-            packed.append(out >> held)
-            out &= (1 << held) - 1
-
-    put(256)
-    size, at = 258, b""
-    for k in range(len(raw)):
-        c = raw[k : k + 1]
-        if at + c in table:
-            at += c
+    import numpy as np
+
+    codes = [256]
+    table: dict[int, int] = {}  # (code of the start, next byte) -> code
+    size, at = 258, -1
+    for c in raw:
+        if at < 0:
+            at = c
+            continue
+        key = at << 8 | c
+        if (known := table.get(key)) is not None:
+            at = known
             continue
-        put(table[at])
-        table[at + c] = size
+        codes.append(at)
+        table[key] = size
         size += 1
-        width = min(12, max(9, size.bit_length()))
         if size == 4095:
-            put(256)
-            table, size, width = {bytes([k]): k for k in range(256)}, 258, 9
+            codes.append(256)
+            table, size = {}, 258
         at = c
-    if at:
-        put(table[at])
-        size += 1
-        width = min(12, max(9, size.bit_length()))
-    put(257)
-    if held:
-        packed.append(out << (8 - held) & 255)
-    return bytes(packed)
+    if at >= 0:
+        codes.append(at)
+    codes.append(257)
+    # every code but the first adds an entry, and 3,838 of them with the clear code fill a table
+    entries = 258 + np.arange(len(codes) - 1) % 3838
+    widths = np.concatenate([[9], 9 + (entries >= 512) + (entries >= 1024) + (entries >= 2048)])
+    places = np.arange(11, -1, -1)
+    bits = np.array(codes)[:, None] >> places & 1
+    return np.packbits(bits[places < widths[:, None]].astype(np.uint8)).tobytes()
 
 
 def run_lengths(raw: bytes) -> bytes:
@@ -706,17 +700,18 @@ def run_lengths(raw: bytes) -> bytes:
 
 def png_rows(raw: bytes, size: int) -> bytes:
     """Every kind of PNG prediction by turns: none, left, up, average, Paeth."""
-    above, out = bytes(size), bytearray()
-    for n, k in enumerate(range(0, len(raw), size)):
-        line, how = raw[k : k + size], n % 5
-        left, corner = bytes(1) + line[:-1], bytes(1) + above[:-1]
-        if how == 4:
-            guess = bytes(min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2] for a, b, c in zip(left, above, corner, strict=True))
-        else:
-            guess = (bytes(size), left, above, bytes((a + b) // 2 for a, b in zip(left, above, strict=True)))[how]
-        out += bytes([how]) + bytes((x - g) & 255 for x, g in zip(line, guess, strict=True))
-        above = line
-    return bytes(out)
+    import numpy as np
+
+    if not raw:
+        return b""
+    line = np.frombuffer(raw, np.uint8).reshape(-1, size).astype(np.int16)
+    above = np.vstack([np.zeros((1, size), np.int16), line[:-1]])
+    left, corner = (np.hstack([np.zeros((len(x), 1), np.int16), x[:, :-1]]) for x in (line, above))
+    dl, du, dc = abs(above - corner), abs(left - corner), abs(left + above - 2 * corner)
+    paeth = np.where((dl <= du) & (dl <= dc), left, np.where(du <= dc, above, corner))
+    how = np.arange(len(line)) % 5
+    guess = np.choose(how[:, None], [np.zeros_like(line), left, above, (left + above) // 2, paeth])
+    return np.hstack([how[:, None], line - guess & 255]).astype(np.uint8).tobytes()
 
 
 def filtered_documents(_: int, rows: Rows) -> bytes:
@@ -728,10 +723,11 @@ def filtered_documents(_: int, rows: Rows) -> bytes:
     for r in rows:
         raw = r["text"].encode()
         padded = raw + b" " * (-len(raw) % 64)
-        w.stream(lzw_codes(raw), Filter=Name("LZWDecode"), Item=r["doc_id"])
+        packed = lzw_codes(raw)
+        w.stream(packed, Filter=Name("LZWDecode"), Item=r["doc_id"])
         w.stream(base64.a85encode(run_lengths(raw)) + b"~>", Filter=[Name("ASCII85Decode"), Name("RunLengthDecode")], Item=r["doc_id"])
         w.stream(zlib.compress(png_rows(padded, 64)), Filter=Name("FlateDecode"), DecodeParms={"Predictor": 15, "Columns": 64}, Item=r["doc_id"])
-        w.stream(lzw_codes(raw).hex().encode() + b">", Filter=[Name("AHx"), Name("LZW")], Item=r["doc_id"])
+        w.stream(packed.hex().encode() + b">", Filter=[Name("AHx"), Name("LZW")], Item=r["doc_id"])
     return w.save(xref="stream")
 
 
