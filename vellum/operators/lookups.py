@@ -97,19 +97,23 @@ def marked_content(items: DataFrame) -> DataFrame:
     """(doc_id, page_idx, mcid_stream, mcid, text, bbox, n_items, first_seq): of runs with one mcid, the last counts.
 
     Numbers hold within a content stream; mcid_stream is the form's object number, null for the page itself.
+    Items without a bbox give sections without one.
     """
     by = ["doc_id", "page_idx"]
     w = Window.partitionBy(*by).orderBy("item_seq")
-    own = F.struct("mcid", "mcid_stream")
-    runs = items.withColumn("new_", (~own.eqNullSafe(F.lag(own).over(w))).cast("int")).withColumn("run_", F.sum("new_").over(w)).where("mcid is not null")
-    last = Window.partitionBy(*by, "mcid_stream", "mcid")
-    kept = runs.withColumn("last_", F.max("run_").over(last)).where("run_ = last_")
     inner = F.try_element_at("mcstack", F.lit(-1))
     actual = F.get_json_object(inner.getField("props"), "$.ActualText")
     said = F.when(F.col("object_type") == "text", F.coalesce(actual, F.col("chars")))
-    texts = kept.withColumn("said_", said)
+    # only what is joined goes through the shuffle, and one sort serves the runs
+    boxes = ["bbox"] if "bbox" in items.columns else []
+    narrow = items.select(*by, "item_seq", "mcid", "mcid_stream", said.alias("said_"), *boxes)
+    own = F.struct("mcid", "mcid_stream")
+    runs = narrow.withColumn("new_", (~own.eqNullSafe(F.lag(own).over(w))).cast("int")).withColumn("run_", F.sum("new_").over(w)).where("mcid is not null")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("said_").isNotNull(), F.struct("item_seq", "said_")))), lambda s: s.getField("said_")), "")
-    return texts.groupBy(*by, "mcid_stream", "mcid").agg(T.without_soft_hyphens(joined).alias("text"), G.union_boxes(F.col("bbox")).alias("bbox"), F.count("*").alias("n_items"), F.min("item_seq").alias("first_seq"))
+    box = [G.union_boxes(F.col("bbox")).alias("bbox")] if boxes else []
+    each = runs.groupBy(*by, "mcid_stream", "mcid", "run_").agg(T.without_soft_hyphens(joined).alias("text"), *box, F.count("*").alias("n_items"), F.min("item_seq").alias("first_seq"))
+    last = each.groupBy(*by, "mcid_stream", "mcid").agg(F.max_by(F.struct("text", *boxes, "n_items", "first_seq"), "run_").alias("last_"))
+    return last.select(*by, "mcid_stream", "mcid", "last_.*")
 
 
 def find_elements(nodes: DataFrame, role: str | None = None, pattern: str | None = None, within: DataFrame | None = None) -> DataFrame:

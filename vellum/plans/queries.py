@@ -270,7 +270,7 @@ _ORDER_TEXT = "CAST(o_orderkey AS VARCHAR) || ' ' || o_orderpriority"
 @query(f"SELECT CAST(o_custkey AS BIGINT) AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_orderpriority) - 1 AS INTEGER) AS mcid, {_ORDER_TEXT} AS text, CAST(2 AS BIGINT) AS n_items FROM orders")
 def marked_content_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pdfs = render(grouped(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_orderpriority"), marked_orders)
-    return L.marked_content(relation(pdfs, "content_objects", kinds=["text"], columns=L.SECTION_COLUMNS)).select("doc_id", "mcid", "text", "n_items")
+    return L.marked_content(relation(pdfs, "content_objects", kinds=["text"], columns=[c for c in L.SECTION_COLUMNS if c != "bbox"])).select("doc_id", "mcid", "text", "n_items")
 
 
 @query(f"SELECT CAST(o_custkey AS BIGINT) AS doc_id, string_agg({_ORDER_TEXT}, chr(10) ORDER BY o_orderkey, o_orderpriority) AS text FROM orders GROUP BY 1")
@@ -929,7 +929,7 @@ _BOXES = "(SELECT p_partkey // 100 AS d, p_partkey AS k, p_size * 9 AS x, p_part
 @query(f"SELECT CAST(a.d AS BIGINT) AS doc_id, CAST(a.k % 100 AS INTEGER) AS item_seq, CAST(b.k % 100 AS INTEGER) AS r_item_seq FROM {_BOXES} a JOIN {_BOXES} b ON a.d = b.d AND a.k < b.k AND b.x + b.w > a.x AND a.x + a.w > b.x AND b.y + b.h > a.y AND a.y + a.h > b.y")
 def spatial_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pdfs = render(grouped(table(spark, sf_dir, "part"), F.floor(F.col("p_partkey") / 100), "p_partkey", "p_size"), placed_boxes)
-    p = relation(pdfs, "content_objects", space="default", kinds=["path"]).select("doc_id", "item_seq", "bbox")
+    p = relation(pdfs, "content_objects", space="default", kinds=["path"], columns=["item_seq", "bbox"])
     return L.spatial_join(p, p, ["doc_id"]).where("item_seq < r_item_seq").select("doc_id", "item_seq", "r_item_seq")
 
 
@@ -984,7 +984,7 @@ def font_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(p_partkey AS BIGINT) AS part, list_extract(['Courier', 'Helvetica', 'Times-Roman'], CAST(p_partkey % 3 + 1 AS INTEGER)) || ' 12' AS textfont FROM part")
 def text_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pdfs = render(grouped(table(spark, sf_dir, "part"), F.floor(F.col("p_partkey") / 100), "p_partkey", "p_size"), many_fonts)
-    t = relation(pdfs, "content_objects", kinds=["text"])
+    t = relation(pdfs, "content_objects", kinds=["text"], columns=["page_idx", "gstate", "size"])
     return t.select((F.col("doc_id") * 100 + F.col("page_idx")).alias("part"), T.text_font(F.col("gstate.fontname"), F.col("size")).alias("textfont"))
 
 
