@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes of files that end a batch: a worker holds no more of them, but for one longer file.
+BATCH_BYTES = 1 << 22
 Build = Callable[[int, list[dict[str, Any]]], bytes]
 
 
@@ -26,8 +28,15 @@ def render(groups: DataFrame, build: Build) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_pylist()
-            files = [build(i, rows) for i, rows in zip(ids, b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(files, pa.binary())], ["doc_id", "content"])
+            ids: list[int] = []
+            files: list[bytes] = []
+            held = 0
+            for k in range(b.num_rows):
+                ids.append(b.column(0)[k].as_py())
+                files.append(build(ids[-1], b.column(1)[k].as_py()))
+                held += len(files[-1])
+                if held >= BATCH_BYTES or k + 1 == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(files, pa.binary())], ["doc_id", "content"])
+                    ids, files, held = [], [], 0
 
     return groups.select("doc_id", "rows").mapInArrow(run, "doc_id bigint, content binary")
